@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.columns import settled
 from linewarden.operators.chunks import chunk_files
 from linewarden.operators.scan import hits_of_lines
 from linewarden.sources.catalogue import Catalogue
@@ -39,7 +40,7 @@ def chunk_hits(
     catalogue = catalogue or Catalogue.builtin()
     chunks = chunk_files(files, keep_preamble=keep_preamble, with_lines=True)
     hits = hits_of_lines("scan_lines", "lang", catalogue, "start_line")
-    return chunks.withColumn("hits", F.expr(hits)).drop("scan_lines")
+    return settled(chunks, hits=F.expr(hits)).drop("scan_lines")
 
 
 def hit_list(hits: Column, start_line: Column, relative: bool = True) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.columns import settled
 from linewarden.functions.json_text import field, first_array, objects, unsigned32
 from linewarden.operators.findings import FINDING_FIELDS
 
@@ -101,16 +102,13 @@ def decode_responses(responses: DataFrame) -> DataFrame:
         ),
     )
     some = F.size("recovered") > 0
-    decoded = F.struct(
-        F.when(F.col("is_strict"), STRICT).when(some, RECOVERED).otherwise(FAILED).alias("parse_status"),
-        F.when(F.col("is_strict"), F.transform("items", _strict_finding))
+    return settled(
+        recovered,
+        parse_status=F.when(F.col("is_strict"), STRICT).when(some, RECOVERED).otherwise(FAILED),
+        answer=F.when(F.col("is_strict"), F.transform("items", _strict_finding))
         .when(some, F.col("recovered"))
-        .otherwise(F.array(_error_finding(F.col("response"))))
-        .alias("answer"),
-    )
-    # Output of a generator: later filters on the status stay above it, where the optimizer would
-    # otherwise copy the whole parse into each of them.
-    return recovered.select(*keys, F.explode_outer(F.array(decoded)).alias("d")).select(*keys, "d.parse_status", "d.answer")
+        .otherwise(F.array(_error_finding(F.col("response")))),
+    ).select(*keys, "parse_status", "answer")
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

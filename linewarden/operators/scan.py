@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.columns import settled
 from linewarden.functions.text import DIALECT, TRIM_PATTERN, fold_case, split_lines, sql_text, trim_unicode
 from linewarden.sources.catalogue import Catalogue, Rule
 from linewarden.sources.rules import LANGUAGES
@@ -142,6 +143,5 @@ def hits_of_lines(lines: str, lang: str, catalogue: Catalogue, first_line: str =
 def file_hits(files: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
     """``path, lang, hits`` with one row per file, clean files included; no shuffle."""
     catalogue = catalogue or Catalogue.builtin()
-    return files.select("path", "lang", split_lines(F.col("content")).alias("lines")).select(
-        "path", "lang", F.expr(hits_of_lines("lines", "lang", catalogue)).alias("hits")
-    )
+    lines = files.select("path", "lang", split_lines(F.col("content")).alias("lines"))
+    return settled(lines, hits=F.expr(hits_of_lines("lines", "lang", catalogue))).select("path", "lang", "hits")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.columns import settled
 from linewarden.functions.text import sql_text
 
 EXTENSION_CYCLE = (".c", ".cpp", ".cs", ".rs")
@@ -128,6 +129,5 @@ def response_sql(array_fn: str, join_fn: str, length_fn: str) -> dict[str, str]:
 def responses_from_chunks(chunks: DataFrame) -> DataFrame:
     """From ``chunk_hits``: answers keyed by (path, chunk_id), made inside the row of a chunk."""
     sql = response_sql("transform", "array_join", "size")
-    return chunks.withColumn("shape", F.expr(sql["shape"])).select(
-        "path", "lang", "chunk_id", "start_line", F.expr(sql["response"]).alias("response")
-    )
+    shaped = chunks.withColumn("shape", F.expr(sql["shape"]))
+    return settled(shaped, response=F.expr(sql["response"])).select("path", "lang", "chunk_id", "start_line", "response")
