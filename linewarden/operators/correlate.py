@@ -13,12 +13,7 @@ def near_lines(hits: DataFrame) -> DataFrame:
     """Every (path, line) with a hit of any rule at most two lines away, once."""
     line = F.col("line").cast("bigint")
     reach = F.sequence(line - NEAR_LINES, line + NEAR_LINES)
-    return (
-        hits.select("path", "line")
-        .distinct()
-        .select("path", F.explode(reach).alias("line"))
-        .distinct()
-    )
+    return hits.select("path", F.explode(reach).alias("line")).distinct()
 
 
 def correlate(findings: DataFrame, hits: DataFrame) -> DataFrame:
@@ -29,7 +24,8 @@ def correlate(findings: DataFrame, hits: DataFrame) -> DataFrame:
     scatter them instead of one hot NULL key.  Each finding meets at most one row, so no rows are
     added and AQE may split a hot (path, line) on the side of the findings.
     """
-    scatter = -1 - F.pmod(F.xxhash64("path", *[c for c in ("chunk_id", "seq", "explanation") if c in findings.columns]), F.lit(4096))
+    # far below the lines that the band can reach
+    scatter = -16 - F.pmod(F.xxhash64("path", *[c for c in ("chunk_id", "seq", "explanation") if c in findings.columns]), F.lit(4096))
     keyed = findings.withColumn("near_line", F.coalesce("line", scatter))
     near = near_lines(hits).select("path", F.col("line").alias("near_line"), F.lit(True).alias("corroborated"))
     joined = keyed.join(near, ["path", "near_line"], "left").drop("near_line")

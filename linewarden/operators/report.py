@@ -8,6 +8,8 @@ many findings becomes several rows (``part`` 0, 1, ...) and never one unbounded
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +163,41 @@ def write_sarif(file_results: DataFrame, path: str, mode: str = "errorifexists")
     sarif_documents(file_results).select("document").write.mode(mode).text(path)
 
 
+def sarif_log_lines(findings: DataFrame) -> DataFrame:
+    """``part, key, text``: one SARIF log for the whole run, one text row per result.
+
+    Sorted by (part, key) the rows are the log: head with all rules, results, tail.  Only the rule list
+    and the key of the first result (it has no comma in front) are gathered, both tiny.
+    """
+    names = [c for c in ("path", "chunk_id", "seq", "line", "rule_ord") if c in findings.columns]
+    key = F.struct(*names)
+    results = findings.select(key.alias("key"), F.struct(*FINDING_FIELDS).alias("f"), F.col("path").alias("file"))
+    first = findings.agg(F.min(key).alias("key"))
+    body = F.to_json(_result_object(F.col("f"), F.col("file")))
+    comma = F.when(F.col("key").eqNullSafe(first.scalar()), "").otherwise(",")
+    rules = findings.agg(F.array_sort(F.collect_set("category")).alias("ids")).select(
+        F.to_json(F.transform("ids", _rule_object)).alias("rules")
+    )
+    driver = {"name": TOOL["name"], "version": TOOL["version"]}
+    head = json.dumps({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION})[:-1] + ', "runs": [{"tool": {"driver": '
+    head += json.dumps(driver)[:-1] + ', "rules": '
+    no_key = F.lit(None).cast(results.schema["key"].dataType).alias("key")
+    return (
+        rules.select(F.lit(0).alias("part"), no_key, F.concat(F.lit(head), "rules", F.lit('}}, "results": [')).alias("text"))
+        .unionByName(results.select(F.lit(1).alias("part"), "key", F.concat(comma, body).alias("text")))
+        .unionByName(findings.sparkSession.range(1).select(F.lit(2).alias("part"), no_key, F.lit("]}]}").alias("text")))
+    )
+
+
+def write_sarif_log(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One SARIF log for the whole run, as text parts that make up the log when joined in name order.
+
+    The sort is by ranges of keys over all tasks, so no task holds the log.  Findings need a key that
+    is unique per row: (path, line, rule_ord) for static, (path, chunk_id, seq) for reviewed ones.
+    """
+    sarif_log_lines(findings).orderBy("part", "key").select("text").write.mode(mode).text(path)
+
+
 # --- text and run summary ---------------------------------------------------------------------
 
 

@@ -2,32 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewarden.functions.text import override_language
 from linewarden.sources.rules import EXTENSIONS
 
-# Spark holds a value of at most 2 GB; longer files are reported, not read.
+# Spark holds a value of at most 2 GB; longer files are reported here and read by lines_from_files.
 MAX_FILE_BYTES = 2_147_483_647 - 64
 
+MAX_BROADCAST_BYTES = 8 << 20
+_BLOCK_ROW_BYTES = 512
+
 EXTENSION_GLOB = "*.{" + ",".join(EXTENSIONS) + "}"
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def _reader(spark: SparkSession, override: str | None):
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if override is None:
+        return reader.option("pathGlobFilter", EXTENSION_GLOB)
+    override_language(override)
+    return reader
+
+
 def read_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
-    """All files below directories, or single files, as raw bytes.
+    """All files below directories, or single files, as ``path, length, content`` (bytes).
 
-    Without an override only files of known extensions are listed.  Spark does not list files and
-    folders whose name starts with ``_`` or ``.``; give such a folder as a path of its own.
+    Without an override only files of known extensions are listed.  Spark's own listing leaves out
+    empty files and names that start with ``_`` or ``.``; those few are listed and read apart.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if override is None:
-        reader = reader.option("pathGlobFilter", EXTENSION_GLOB)
+    seen = _reader(spark, override).load(list(paths)).select("path", "length", "content")
+    missed = [row for path in paths for row in _left_out(path, override)]
+    if not missed:
+        return seen
+    listed = spark.createDataFrame(missed, "path string, length bigint")
+    parts = min(len(missed), spark.sparkContext.defaultParallelism)
+    return seen.unionByName(listed.repartition(parts).mapInPandas(_read_bytes, "path string, length bigint, content binary"))
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    local = path[len("file:") :] if path.startswith("file:") else path
+    return fs.LocalFileSystem(), "/" + local.lstrip("/") if local.startswith("/") else local
+
+
+def _left_out(path: str, override: str | None) -> list[tuple[str, int]]:
+    """Files below a directory that Spark's listing skips, from the metadata of one recursive listing."""
+    from pyarrow import fs
+
+    system, base = _open(path)
+    if any(c in base for c in "*?{["):
+        return []  # a glob pattern: Spark alone resolves it
+    top = system.get_file_info(base)
+    if top.type == fs.FileType.File:
+        entries = [top] if top.size == 0 or _hidden(top.base_name) else []
+        prefix = base.rsplit("/", 1)[0] + "/"
     else:
-        override_language(override)
-    return reader.load(list(paths)).where(F.col("length") <= MAX_FILE_BYTES)
+        entries = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+        prefix = base.rstrip("/") + "/"
+    scheme = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else "file:"
+    return [
+        (scheme + e.path, e.size)
+        for e in entries
+        if e.type == fs.FileType.File
+        and (e.size == 0 or any(_hidden(part) for part in e.path[len(prefix) :].split("/")))
+        and (override is not None or e.base_name.rpartition(".")[0] and e.extension in EXTENSIONS)
+    ]
+
+
+def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, length in zip(batch["path"], batch["length"]):
+            data = b""
+            if length:
+                system, place = _open(path)
+                with system.open_input_stream(place) as stream:
+                    data = stream.read()
+            yield pd.DataFrame({"path": [path], "length": [length], "content": [data]})
 
 
 def decode_files(raw: DataFrame) -> DataFrame:
@@ -38,15 +101,11 @@ def decode_files(raw: DataFrame) -> DataFrame:
 
 def rejected_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
     """``path, length, reason`` of the listed files that an audit skips."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if override is None:
-        reader = reader.option("pathGlobFilter", EXTENSION_GLOB)
-    listed = reader.load(list(paths))
-    long = listed.where(F.col("length") > MAX_FILE_BYTES).select("path", "length", F.lit("too large").alias("reason"))
-    text = F.col("content").cast("string")
+    raw = read_files(spark, *paths, override=override)
+    long = raw.where(F.col("length") > MAX_FILE_BYTES).select("path", "length", F.lit("too large").alias("reason"))
     broken = (
-        listed.where(F.col("length") <= MAX_FILE_BYTES)
-        .where(~F.is_valid_utf8(text))
+        raw.where(F.col("length") <= MAX_FILE_BYTES)
+        .where(~F.is_valid_utf8(F.col("content").cast("string")))
         .select("path", "length", F.lit("not UTF-8").alias("reason"))
     )
     return long.unionByName(broken)
@@ -57,15 +116,55 @@ def sources_from_files(spark: SparkSession, *paths: str, override: str | None =
 
     A single file of an unknown extension gives an empty result instead.
     """
-    raw = read_files(spark, *paths, override=override)
-    if raw.select("path").isEmpty() and not _is_single_file(spark, paths):
+    raw = read_files(spark, *paths, override=override).where(F.col("length") <= MAX_FILE_BYTES)
+    if raw.select("path").isEmpty() and not _is_single_file(paths):
         raise ValueError(f"no supported source files at {', '.join(paths)}")
     return decode_files(raw)
 
 
-def _is_single_file(spark: SparkSession, paths: tuple[str, ...]) -> bool:
+def _is_single_file(paths: tuple[str, ...]) -> bool:
+    from pyarrow import fs
+
     if len(paths) != 1:
         return False
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths[0])
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.exists(path) and system.getFileStatus(path).isFile()
+    system, place = _open(paths[0])
+    return system.get_file_info(place).type == fs.FileType.File
+
+
+def lines_from_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
+    """``path, line, code`` read as split text, for files of any size: no file is ever one value.
+
+    Spark cuts a long file into blocks that many tasks read.  A line's number is its place within the
+    block plus the lines of the blocks before it; only the line counts per block are summed up.  The
+    lines themselves move only if the table of blocks is too long to be sent to every task.  As
+    elsewhere, files that are not UTF-8 are left out whole.  A CR at the very end of a file, without an
+    LF, is dropped too.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    if override is None:
+        reader = reader.option("pathGlobFilter", EXTENSION_GLOB)
+    else:
+        override_language(override)
+    text = reader.text(list(paths))
+    rows = text.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    blocks = rows.groupBy("path", "block").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_id"), F.bool_and(F.is_valid_utf8("value")).alias("valid")
+    )
+    file = Window.partitionBy("path")
+    offsets = blocks.withColumn("earlier", F.sum("lines").over(file.orderBy("block")) - F.col("lines")).withColumn(
+        "valid", F.min("valid").over(file)
+    )
+    places = offsets.where("valid").select("path", "block", "first_id", "earlier")
+    if (len(text.inputFiles()) + text.rdd.getNumPartitions()) * _BLOCK_ROW_BYTES <= MAX_BROADCAST_BYTES:
+        places = F.broadcast(places)  # every block is a task of the scan or the rest of a file in one
+    placed = rows.join(places, ["path", "block"])
+    return placed.select(
+        "path",
+        (F.col("id") - F.col("first_id") + F.col("earlier") + 1).alias("line"),
+        F.regexp_replace("value", r"\r\z", "").alias("code"),
+    )
