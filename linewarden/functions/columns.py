@@ -12,7 +12,10 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     The optimizer copies the expression of a projected column into every filter on that column.  Here
     the columns are the output of a generator over one element, and filters on them stay above it.
     """
-    value = F.struct(*[v.alias(k) for k, v in columns.items()])
     kept = [c for c in df.columns if c not in columns]
+    if len(columns) == 1:
+        [(name, value)] = columns.items()
+        return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+    value = F.struct(*[v.alias(k) for k, v in columns.items()])
     one = df.select(*kept, F.explode_outer(F.array(value)).alias("settled"))
     return one.select(*kept, *[F.col(f"settled.{k}").alias(k) for k in columns])

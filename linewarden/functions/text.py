@@ -40,8 +40,9 @@ def split_lines(content: Column) -> Column:
     return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
 
 
-def fold_case(text: Column) -> Column:
-    return F.lower(F.upper(text))
+def fold_case_sql(text: str) -> str:
+    """Lower case; the long s has no other lower case but matches "s" where case is ignored."""
+    return f"lower(replace({text}, 'ſ', 's'))"
 
 
 def trim_unicode(text: Column) -> Column:

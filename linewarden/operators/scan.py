@@ -1,8 +1,8 @@
 """The rule scan: every line against every rule of its language, at most one hit per rule and line.
 
 The default form puts the patterns into the plan as literals, so each task compiles them once.  A line
-is first tested for the needles of its language with plain byte searches inside generated code; only
-lines that pass meet the regexes.  Nothing here shuffles.
+is first tested for the needles of its language with plain byte searches; only lines that pass meet the
+regexes.  Nothing here shuffles.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.columns import settled
-from linewarden.functions.text import DIALECT, TRIM_PATTERN, fold_case, split_lines, sql_text, trim_unicode
+from linewarden.functions.text import DIALECT, TRIM_PATTERN, fold_case_sql, split_lines, sql_text, trim_unicode
 from linewarden.sources.catalogue import Catalogue, Rule
 from linewarden.sources.rules import LANGUAGES
 
@@ -20,6 +20,8 @@ _HIT_TYPE = "array<struct<rule_ord:int,rule:string,severity:string,description:s
 
 # Above this many rules for one language the plan text grows too large; use the join form.
 MAX_LITERAL_RULES = 200
+# More tests than this would make one generated method too long for the JIT compiler.
+MAX_INLINE_NEEDLES = 8
 MAX_BROADCAST_BYTES = 8 << 20
 
 # The expressions below hold up to a few hundred literals, so they are written as SQL text: Spark
@@ -27,7 +29,11 @@ MAX_BROADCAST_BYTES = 8 << 20
 
 
 def _any_needle(folded: str, needles) -> str:
-    return "(" + " OR ".join(f"contains({folded}, {sql_text(n)})" for n in sorted(set(needles))) + ")"
+    """SQL condition: the text contains one of the needles."""
+    wanted = sorted(n for n in set(needles) if not any(m != n and m in n for m in needles))
+    if len(wanted) > MAX_INLINE_NEEDLES:
+        return f"exists(array({', '.join(map(sql_text, wanted))}), n -> contains({folded}, n))"
+    return "(" + " OR ".join(f"contains({folded}, {sql_text(n)})" for n in wanted) + ")"
 
 
 def _rule_hit(rule: Rule, code: str, folded: str) -> str:
@@ -75,7 +81,8 @@ def scan_lines(lines: DataFrame, catalogue: Catalogue | None = None) -> DataFram
     if max(len(catalogue.of(lang)) for lang in LANGUAGES) > MAX_LITERAL_RULES:
         return scan_lines_by_join(lines, catalogue)
     return (
-        lines.withColumn("folded", fold_case(F.col("code")))
+        # settled: the condition looks at the folded text dozens of times
+        settled(lines, folded=F.expr(fold_case_sql("code")))
         .where(may_hit("lang", "folded", catalogue))
         .select(
             "path",
@@ -132,7 +139,7 @@ def hits_of_lines(lines: str, lang: str, catalogue: Catalogue, first_line: str =
     """
     numbered = (
         f"transform({lines}, (code, i) -> named_struct('line', cast({first_line} + i AS int), 'code', code, "
-        f"'folded', lower(upper(code))))"
+        f"'folded', {fold_case_sql('code')}))"
     )
     candidates = f"filter({numbered}, x -> {may_hit(lang, 'x.folded', catalogue)})"
     fields = ", ".join(f"'{c}', h.{c}" for c in HIT_COLUMNS)
