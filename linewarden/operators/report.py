@@ -22,6 +22,11 @@ TOOL = {"name": "linewarden", "version": "0.1.0"}
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
+# The text around the rules and the results of a log.
+SARIF_HEAD = f'{{"$schema": "{SARIF_SCHEMA}", "version": "{SARIF_VERSION}", "runs": [{{"tool": {{"driver": {json.dumps(TOOL)[:-1]}, "rules": ['
+SARIF_MIDDLE = ']}}, "results": ['
+SARIF_TAIL = "]}]}"
+
 CHUNKS_PER_PART = 1_000
 
 
@@ -164,29 +169,42 @@ def write_sarif(file_results: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def sarif_log_lines(findings: DataFrame) -> DataFrame:
-    """``part, key, text``: one SARIF log for the whole run, one text row per result.
+    """``part, rule_id, key, text``: one SARIF log for the whole run, one text row per rule and result.
 
-    Sorted by (part, key) the rows are the log: head with all rules, results, tail.  Only the rule list
-    and the key of the first result (it has no comma in front) are gathered, both tiny.
+    Sorted by (part, rule_id, key) the rows are the log: head, rules, middle, results, tail.  All that is
+    gathered is one row with the least rule and the least key, as these get no comma in front.  The
+    findings are read twice, so store costly ones before.
     """
-    names = [c for c in ("path", "chunk_id", "seq", "line", "rule_ord") if c in findings.columns]
-    key = F.struct(*names)
+    key = F.struct(*[c for c in ("path", "chunk_id", "seq", "line", "rule_ord") if c in findings.columns])
+    first = findings.agg(F.struct(F.min("category").alias("rule_id"), F.min(key).alias("key")).alias("first")).scalar()
+
+    def comma(column, least):
+        return F.when(column.eqNullSafe(least), "").otherwise(",")
+
     results = findings.select(key.alias("key"), F.struct(*FINDING_FIELDS).alias("f"), F.col("path").alias("file"))
-    first = findings.agg(F.min(key).alias("key"))
     body = F.to_json(_result_object(F.col("f"), F.col("file")))
-    comma = F.when(F.col("key").eqNullSafe(first.scalar()), "").otherwise(",")
-    rules = findings.agg(F.array_sort(F.collect_set("category")).alias("ids")).select(
-        F.to_json(F.transform("ids", _rule_object)).alias("rules")
+    result_rows = results.select(
+        F.lit(3).alias("part"),
+        F.lit(None).cast("string").alias("rule_id"),
+        "key",
+        F.concat(comma(F.col("key"), first["key"]), body).alias("text"),
     )
-    driver = {"name": TOOL["name"], "version": TOOL["version"]}
-    head = json.dumps({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION})[:-1] + ', "runs": [{"tool": {"driver": '
-    head += json.dumps(driver)[:-1] + ', "rules": '
     no_key = F.lit(None).cast(results.schema["key"].dataType).alias("key")
-    return (
-        rules.select(F.lit(0).alias("part"), no_key, F.concat(F.lit(head), "rules", F.lit('}}, "results": [')).alias("text"))
-        .unionByName(results.select(F.lit(1).alias("part"), "key", F.concat(comma, body).alias("text")))
-        .unionByName(findings.sparkSession.range(1).select(F.lit(2).alias("part"), no_key, F.lit("]}]}").alias("text")))
+    rule = F.col("category")
+    rule_rows = (
+        findings.select("category")
+        .distinct()
+        .select(
+            F.lit(1).alias("part"),
+            rule.alias("rule_id"),
+            no_key,
+            F.concat(comma(rule, first["rule_id"]), F.to_json(_rule_object(rule))).alias("text"),
+        )
     )
+    fixed = findings.sparkSession.createDataFrame(
+        [(0, SARIF_HEAD), (2, SARIF_MIDDLE), (4, SARIF_TAIL)], "part int, text string"
+    ).select("part", F.lit(None).cast("string").alias("rule_id"), no_key, "text")
+    return fixed.unionByName(rule_rows).unionByName(result_rows)
 
 
 def write_sarif_log(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -195,7 +213,7 @@ def write_sarif_log(findings: DataFrame, path: str, mode: str = "errorifexists")
     The sort is by ranges of keys over all tasks, so no task holds the log.  Findings need a key that
     is unique per row: (path, line, rule_ord) for static, (path, chunk_id, seq) for reviewed ones.
     """
-    sarif_log_lines(findings).orderBy("part", "key").select("text").write.mode(mode).text(path)
+    sarif_log_lines(findings).orderBy("part", "rule_id", "key").select("text").write.mode(mode).text(path)
 
 
 # --- text and run summary ---------------------------------------------------------------------

@@ -20,6 +20,13 @@ def static_hits(sources: DataFrame, catalogue: Catalogue | None = None, override
     return scan_lines(explode_lines(with_language(sources, override)), catalogue)
 
 
+def static_hits_of_lines(
+    lines: DataFrame, catalogue: Catalogue | None = None, override: str | None = None
+) -> DataFrame:
+    """``path, line, code`` -> all rule hits: for line tables and for files too long to be one value."""
+    return scan_lines(with_language(lines, override), catalogue)
+
+
 def static_audit(
     sources: DataFrame, catalogue: Catalogue | None = None, override: str | None = None, minimum: str = "low"
 ) -> DataFrame:
@@ -89,5 +96,5 @@ def audit_files(spark: SparkSession, *paths: str, override: str | None = None, m
 
 
 __all__ = [
-    "audit_files", "build_prompts", "review", "review_sources", "static_audit", "static_hits", "static_results",
+    "audit_files", "build_prompts", "review", "review_sources", "static_audit", "static_hits", "static_hits_of_lines", "static_results",
 ]

@@ -7,6 +7,7 @@ answers are decoded with JSON functions.
 from __future__ import annotations
 
 from linewarden.operators import prompts as prompting
+from linewarden.operators import report
 from linewarden.operators import responses as reviewing
 from linewarden.operators.chunks import CHUNK_BYTES, FUNCTION_STARTS
 from linewarden.operators.report import SARIF_SCHEMA, SARIF_VERSION, TOOL
@@ -59,6 +60,7 @@ DOCUMENT_SOURCES = f"""SELECT {_path('doc/d', 'doc_id')} AS path,
         lambda s, i: {_pick(corpus.DOCUMENT_FRAGMENTS, 'doc_id * 7 + (i - 1) * 5 + length(s)')} || ' // ' || s), chr(10)) AS content
     FROM documents"""
 TEXT_SOURCES = f"SELECT {_path('txt/d', 'doc_id')} AS path, text AS content FROM documents"
+PAGE_SOURCES = f"SELECT {_path('web/p', 'page_id')} AS path, html AS content FROM pages"
 
 _DETECT = "CASE regexp_extract(path, '[^/][.]([^./]+)$', 1) " + " ".join(
     f"WHEN {q(ext)} THEN {q(lang)}" for ext, lang in EXTENSIONS.items()
@@ -312,6 +314,13 @@ ORACLES: dict[str, str] = {
         SELECT f.path AS file, '{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":"{TOOL['name']}","version":"{TOOL['version']}","rules":['
         || coalesce(rules.body, '') || ']}}}},"results":[' || coalesce(results.body, '') || ']}}]}}' AS document
         FROM files f LEFT JOIN results ON results.path = f.path LEFT JOIN rules ON rules.path = f.path""",
+    "sarif_log": f"""{ORDERS} SELECT 0 AS part, {q(report.SARIF_HEAD)} AS text
+        UNION ALL SELECT 1, CASE WHEN row_number() OVER (ORDER BY category) = 1 THEN '' ELSE ',' END || {_SARIF_RULE}
+            FROM (SELECT DISTINCT category FROM {_STATIC})
+        UNION ALL SELECT 2, {q(report.SARIF_MIDDLE)}
+        UNION ALL SELECT 3, CASE WHEN row_number() OVER (ORDER BY path, line, rule_ord) = 1 THEN '' ELSE ',' END || {_SARIF_RESULT} FROM {_STATIC}
+        UNION ALL SELECT 4, {q(report.SARIF_TAIL)}""",
+    "incremental_scan": f"{ORDERS} SELECT lang, rule AS category, 'MEDIUM' AS confidence, count(*) AS findings FROM hits GROUP BY ALL",
     "cwe_rollup": f"{DOCUMENTS} SELECT cwe, count(*) AS hits FROM hits JOIN {_CWE} USING (lang, rule) GROUP BY cwe",
     "cwe_mentions": f"""{_OVERRIDE_CS} SELECT rule, sum(len(regexp_extract_all(description || ' ' || matched_text, '(CWE-[0-9]+)', 1)))::BIGINT AS mentions
         FROM hits GROUP BY rule""",
@@ -320,6 +329,7 @@ ORACLES: dict[str, str] = {
     "chunk_small": f"""WITH {_files(TEXT_SOURCES)} SELECT path, lang, 0 AS chunk_id, 1 AS start_line, len(lines)::INTEGER AS line_count, content
         FROM files WHERE strlen(content) <= {CHUNK_BYTES}""",
     "chunk_lines": f"WITH RECURSIVE {_files(TEXT_SOURCES)}, {CHUNKS} SELECT {_CHUNK_COLUMNS} FROM chunks",
+    "chunk_pages": f"WITH RECURSIVE {_files(PAGE_SOURCES)}, {CHUNKS} SELECT {_CHUNK_COLUMNS} FROM chunks",
     "chunk_functions": f"WITH RECURSIVE {_files(DOCUMENT_SOURCES)}, {CHUNKS} SELECT {_CHUNK_COLUMNS} FROM chunks",
     "chunk_preamble": f"""WITH RECURSIVE {_files(DOCUMENT_SOURCES)}, {_chunks(preamble=True)}
         SELECT path, lang, chunk_id, start_line, line_count FROM chunks""",

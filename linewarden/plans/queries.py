@@ -21,10 +21,12 @@ from linewarden.operators.lines import explode_lines, with_language
 from linewarden.operators.responses import decode_responses, parse_responses, rebase_lines, response_coverage
 from linewarden.operators.scan import scan_lines, scan_lines_by_join
 from linewarden.plans import audit
+from linewarden.session import work_folder
 from linewarden.sources import corpus
 from linewarden.sources.catalogue import Catalogue
 from linewarden.sources.rules import EXTENSIONS
 from linewarden.sources.tables import read_table, spread
+from linewarden.streaming.incremental import stream_table, write_increment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,6 +198,10 @@ def sarif_documents(spark, sf):
     return report.sarif_documents(audit.static_results(document_sources(spark, sf)))
 
 
+def sarif_log(spark, sf):
+    return report.sarif_log_lines(audit.static_audit(order_sources(spark, sf))).orderBy("part", "rule_id", "key").select("part", "text")
+
+
 def cwe_rollup(spark, sf):
     hits = audit.static_hits(document_sources(spark, sf)).groupBy("lang", "rule").agg(F.count(F.lit(1)).alias("n"))
     rules = CATALOGUE.to_df(spark).select("lang", F.col("name").alias("rule"), "cwe")
@@ -216,6 +222,15 @@ def suppressed(spark, sf):
     return kept.groupBy("lang", "category").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def incremental_scan(spark, sf):
+    """The audit as a stream over the table's files, run until nothing is new; then its output table."""
+    orders = stream_table(spark, sf, "o_orderkey bigint, o_custkey bigint", glob="orders.parquet")
+    out = work_folder(spark, "incremental")
+    write_increment(corpus.sources_from_orders(orders), f"{out}/findings", f"{out}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{out}/findings")
+    return found.groupBy("lang", "category", "confidence").agg(F.count(F.lit(1)).alias("findings"))
+
+
 # --- chunks and prompts -----------------------------------------------------------------------
 
 
@@ -232,6 +247,11 @@ def chunk_lines(spark, sf):
     return _chunk_columns(chunking.chunk_files(with_language(text_sources(spark, sf))))
 
 
+def chunk_pages(spark, sf):
+    pages = spread(read_table(spark, sf, "pages", "page_id", "html"))
+    return _chunk_columns(chunking.chunk_files(with_language(corpus.sources_from_pages(pages))))
+
+
 def chunk_functions(spark, sf):
     return _chunk_columns(chunking.chunk_files(document_files(spark, sf)))
 
@@ -346,8 +366,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         static_scan_counts, document_scan_counts, hits_by_line, matched_text, multi_rule_lines, rule_join_scan, user_rules,
         lang_detect, lang_override, line_split, line_totals, static_findings, critical_only, severity_summary, run_totals,
-        rule_ids, findings_per_file, json_documents, file_report, sarif_results, sarif_rules, sarif_documents, cwe_rollup,
-        cwe_mentions, suppressed, chunk_small, chunk_lines, chunk_functions, chunk_preamble, function_boundaries,
+        rule_ids, findings_per_file, json_documents, file_report, sarif_results, sarif_rules, sarif_documents, sarif_log, cwe_rollup,
+        cwe_mentions, suppressed, incremental_scan, chunk_small, chunk_lines, chunk_pages, chunk_functions, chunk_preamble, function_boundaries,
         hits_in_chunk, prompt_hits, prompt_hits_file_lines, prompts, responses, response_status, response_strict,
         response_recovered, parse_errors, coverage, near_hits, correlated, high_confidence, min_confidence_levels,
         reviewed_files, reviewed_json, reviewed_sarif,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,17 @@ def local_session(cpus: int | str | None = None, app: str = "linewarden", **conf
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, for written intermediate tables and stream checkpoints.
+
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``.  Where that is unset, a local
+    run gets a temporary folder; a cluster run is refused, as its machines share no local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="linewarden-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

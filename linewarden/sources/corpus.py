@@ -85,6 +85,11 @@ def sources_from_texts(documents: DataFrame) -> DataFrame:
     return documents.select(_path("txt/d", F.col("doc_id")).alias("path"), F.col("text").alias("content"))
 
 
+def sources_from_pages(pages: DataFrame) -> DataFrame:
+    """Web pages as files of few and very long lines."""
+    return pages.select(_path("web/p", F.col("page_id")).alias("path"), F.col("html").alias("content"))
+
+
 # Shapes of an answer, chosen per chunk: clean arrays, arrays in prose, arrays with a confidence or
 # with foreign keys, unquoted keys, a missing key, a cut array, an empty array and plain prose.
 RESPONSE_SHAPES = 9

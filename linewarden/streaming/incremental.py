@@ -20,9 +20,11 @@ def stream_files(spark: SparkSession, folder: str, override: str | None = None,
     return decode_files(reader.load(folder))
 
 
-def stream_table(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """New parquet files of a table as an endless frame."""
-    reader = spark.readStream.schema(schema)
+def stream_table(
+    spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """New parquet files of a folder as an endless frame."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
