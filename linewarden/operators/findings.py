@@ -49,7 +49,8 @@ def at_least(confidence: Column, minimum: str) -> Column:
 
 
 def min_confidence(findings: DataFrame, minimum: str = "low") -> DataFrame:
-    return findings.where(at_least(F.col("confidence"), minimum))
+    keep = at_least(F.col("confidence"), minimum)
+    return findings if minimum.upper() == CONFIDENCES[0] else findings.where(keep)
 
 
 def with_severity(findings: DataFrame, severity: str) -> DataFrame:

@@ -37,8 +37,6 @@ def static_file_results(
     findings = F.transform("hits", finding_struct)
     if minimum.upper() != CONFIDENCES[0]:
         findings = F.filter(findings, lambda f: at_least(f["confidence"], minimum))
-    else:
-        at_least(F.lit("LOW"), minimum)  # reject unknown names
     return file_hits(files, catalogue).select(
         F.col("path").alias("file"), F.col("lang").alias("language"), findings.alias("findings")
     )

@@ -271,7 +271,6 @@ def _user_hits() -> str:
 
 
 _OVERRIDE_C = f"WITH {_files(ORDER_SOURCES, 'C')}, {_hits(CATALOGUE.of('C'))}"
-_OVERRIDE_CS = f"WITH {_files(ORDER_SOURCES, 'C#/.NET')}, {_hits(CATALOGUE.of('C#/.NET'))}"
 _CWE = "(VALUES " + ", ".join(f"({q(r.lang)}, {q(r.name)}, {q(r.cwe) if r.cwe else 'NULL'})" for r in CATALOGUE.rules) + ") AS c(lang, rule, cwe)"
 _CHUNK_COLUMNS = "path, lang, chunk_id, start_line, line_count, content"
 _PARSED_COLUMNS = "path, chunk_id, seq, " + _COLUMNS
@@ -322,7 +321,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 4, {q(report.SARIF_TAIL)}""",
     "incremental_scan": f"{ORDERS} SELECT lang, rule AS category, 'MEDIUM' AS confidence, count(*) AS findings FROM hits GROUP BY ALL",
     "cwe_rollup": f"{DOCUMENTS} SELECT cwe, count(*) AS hits FROM hits JOIN {_CWE} USING (lang, rule) GROUP BY cwe",
-    "cwe_mentions": f"""{_OVERRIDE_CS} SELECT rule, sum(len(regexp_extract_all(description || ' ' || matched_text, '(CWE-[0-9]+)', 1)))::BIGINT AS mentions
+    "cwe_mentions": f"""{DOCUMENTS} SELECT rule, sum(len(regexp_extract_all(description || ' ' || matched_text, '(CWE-[0-9]+)', 1)))::BIGINT AS mentions
         FROM hits GROUP BY rule""",
     "suppressed": f"""{ORDERS} SELECT lang, rule AS category, count(*) AS findings FROM hits WHERE NOT (rule = 'gets' AND path IN (
         SELECT {_path('src/f', 'o_orderkey')} FROM orders WHERE o_orderstatus = 'F')) GROUP BY ALL""",

@@ -15,11 +15,11 @@ from linewarden.functions import labels, text
 from linewarden.operators import chunks as chunking
 from linewarden.operators import prompts as prompting
 from linewarden.operators import report
-from linewarden.operators.correlate import correlate, near_lines
-from linewarden.operators.findings import findings_from_hits, min_confidence, suppress, with_severity
+from linewarden.operators.correlate import near_lines
+from linewarden.operators.findings import min_confidence, suppress, with_severity
 from linewarden.operators.lines import explode_lines, with_language
-from linewarden.operators.responses import decode_responses, parse_responses, rebase_lines, response_coverage
-from linewarden.operators.scan import scan_lines, scan_lines_by_join
+from linewarden.operators.responses import decode_responses, parse_responses, response_coverage
+from linewarden.operators.scan import scan_lines_by_join
 from linewarden.plans import audit
 from linewarden.session import work_folder
 from linewarden.sources import corpus
@@ -209,7 +209,7 @@ def cwe_rollup(spark, sf):
 
 
 def cwe_mentions(spark, sf):
-    hits = audit.static_hits(order_sources(spark, sf), override="cs")
+    hits = audit.static_hits(document_sources(spark, sf))
     mentions = labels.cwe_numbers(F.concat_ws(" ", "description", "matched_text"))
     return hits.groupBy("rule").agg(F.sum(F.size(mentions)).alias("mentions"))
 

@@ -48,6 +48,8 @@ DOCUMENT_FRAGMENTS = (
     '  const API_TOKEN: &str = "abc";',
     "  var md5 = MD5.Create();",
     "  rand();",
+    "  aes.Mode = CipherMode.ECB;",
+    "  chroot(dir);",
 )
 
 

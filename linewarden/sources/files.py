@@ -85,8 +85,8 @@ def _left_out(path: str, override: str | None) -> list[tuple[str, int]]:
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, length in zip(batch["path"], batch["length"]):
-            data = b""
-            if length:
+            data = b""  # longer files than a value can be are only reported
+            if 0 < length <= MAX_FILE_BYTES:
                 system, place = _open(path)
                 with system.open_input_stream(place) as stream:
                     data = stream.read()
