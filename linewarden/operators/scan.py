@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.columns import settled
-from linewarden.functions.text import DIALECT, TRIM_PATTERN, fold_case_sql, split_lines, sql_text, trim_unicode
+from linewarden.functions.text import TRIM_PATTERN, fold_case_sql, split_lines, sql_text, trim_unicode
 from linewarden.sources.catalogue import Catalogue, Rule
 from linewarden.sources.rules import LANGUAGES
 
@@ -99,27 +99,29 @@ def scan_lines(lines: DataFrame, catalogue: Catalogue | None = None) -> DataFram
 def scan_lines_by_join(lines: DataFrame, catalogue: Catalogue) -> DataFrame:
     """The same hits for a large catalogue: join on language, pattern test as the residual condition.
 
+    A pattern from a column is compiled whenever it changes, so the needles are tested first here too.
     The rules are broadcast only when their text is known to be small; beyond that Spark joins on the
     language, spread over line buckets so that one language is not one task.
     """
-    spark = lines.sparkSession
-    rules = catalogue.to_df(spark).select(
-        "lang",
-        "rule_ord",
-        F.col("name").alias("rule"),
-        "severity",
-        "description",
-        F.concat(F.lit(DIALECT), "regex").alias("pattern"),
+    rows = [
+        (r.lang, r.rule_ord, r.name, r.severity, r.description, r.pattern, list(r.needles)) for r in catalogue.rules
+    ]
+    rules = lines.sparkSession.createDataFrame(
+        rows,
+        "lang string, rule_ord int, rule string, severity string, description string, pattern string, needles array<string>",
     )
-    size = sum(len(r.regex) + len(r.description) + len(r.name) + 64 for r in catalogue.rules)
+    folded = settled(lines, folded=F.expr(fold_case_sql("code")))
+    size = sum(len(r.regex) + len(r.description) + len(r.name) + len("".join(r.needles)) + 128 for r in catalogue.rules)
     if size <= MAX_BROADCAST_BYTES:
-        joined = lines.join(F.broadcast(rules), "lang")
+        joined = folded.join(F.broadcast(rules), "lang")
     else:
-        buckets = 1024
+        buckets = 256
         spread = rules.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        keyed = lines.withColumn("bucket", F.pmod(F.xxhash64("path", "line"), F.lit(buckets)).cast("int"))
+        keyed = folded.withColumn("bucket", F.pmod(F.xxhash64("path", "line"), F.lit(buckets)).cast("int"))
         joined = keyed.join(spread, ["lang", "bucket"])
-    return joined.where(F.expr("code rlike pattern")).select(
+    return joined.where(
+        "(size(needles) = 0 OR exists(needles, n -> contains(folded, n))) AND rlike(code, pattern)"
+    ).select(
         "path",
         "lang",
         "line",

@@ -53,19 +53,22 @@ def _open(path: str):
     from pyarrow import fs
 
     if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     local = path[len("file:") :] if path.startswith("file:") else path
     return fs.LocalFileSystem(), "/" + local.lstrip("/") if local.startswith("/") else local
 
 
 def _left_out(path: str, override: str | None) -> list[tuple[str, int]]:
     """Files below a directory that Spark's listing skips, from the metadata of one recursive listing."""
-    from pyarrow import fs
+    from pyarrow import ArrowException, fs
 
-    system, base = _open(path)
-    if any(c in base for c in "*?{["):
+    if any(c in path for c in "*?{["):
         return []  # a glob pattern: Spark alone resolves it
-    top = system.get_file_info(base)
+    try:
+        system, base = _open(path)
+        top = system.get_file_info(base)
+    except (ArrowException, OSError):
+        return []  # a store that only Spark can open: its own listing stands
     if top.type == fs.FileType.File:
         entries = [top] if top.size == 0 or _hidden(top.base_name) else []
         prefix = base.rsplit("/", 1)[0] + "/"
@@ -123,12 +126,15 @@ def sources_from_files(spark: SparkSession, *paths: str, override: str | None =
 
 
 def _is_single_file(paths: tuple[str, ...]) -> bool:
-    from pyarrow import fs
+    from pyarrow import ArrowException, fs
 
     if len(paths) != 1:
         return False
-    system, place = _open(paths[0])
-    return system.get_file_info(place).type == fs.FileType.File
+    try:
+        system, place = _open(paths[0])
+        return system.get_file_info(place).type == fs.FileType.File
+    except (ArrowException, OSError):
+        return False
 
 
 def lines_from_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings
@@ -182,8 +183,11 @@ def test_three_scan_forms_agree(spark):
     lines = spark.createDataFrame(rows, "path string, lang string, line int, code string")
     columns = ["lang", "line", "rule_ord", "rule", "severity", "description", "matched_text"]
     literal = sorted(map(tuple, scan_lines(lines, CATALOGUE).select(columns).collect()))
-    joined = sorted(map(tuple, scan_lines_by_join(lines, CATALOGUE).select(columns).collect()))
-    assert literal == joined and len(literal) >= 83 * 2
+    assert len(literal) >= 83 * 2
+    unguarded = Catalogue(tuple(replace(r, needles=()) for r in CATALOGUE.rules))
+    for catalogue in (CATALOGUE, unguarded):
+        assert sorted(map(tuple, scan_lines_by_join(lines, catalogue).select(columns).collect())) == literal
+    assert sorted(map(tuple, scan_lines(lines, unguarded).select(columns).collect())) == literal
     files = spark.createDataFrame([(str(i), lang, code) for i, (lang, code) in enumerate(samples)], "path string, lang string, content string")
     inside = file_hits(files, CATALOGUE).select("path", "lang", F.explode("hits").alias("h")).select(
         "lang", F.col("path").cast("int").alias("line"), *[f"h.{c}" for c in columns[2:]]
@@ -219,6 +223,19 @@ def test_large_catalogue_uses_the_join(spark):
     assert {r["rule"] for r in scan_lines(lines, catalogue).collect()} == {"gets", "r7", "r77"}
 
 
+def test_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("linewarden.operators.scan.MAX_BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("hot", lang, i, code) for lang in FINDS for i, code in enumerate(FINDS[lang].values())]
+        lines = spark.createDataFrame(rows, "path string, lang string, line int, code string")
+        joined = scan_lines_by_join(lines, CATALOGUE)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, scan_lines(lines, CATALOGUE).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_split_lines(spark):
     cases = {
         "": [],
