@@ -13,6 +13,7 @@ from linewarden.operators.report import static_file_results
 from linewarden.operators.responses import parse_responses, rebase_lines
 from linewarden.operators.scan import scan_lines
 from linewarden.sources.catalogue import Catalogue
+from linewarden.sources.files import lines_from_files, long_files, sources_from_files
 
 
 def static_hits(sources: DataFrame, catalogue: Catalogue | None = None, override: str | None = None) -> DataFrame:
@@ -34,6 +35,18 @@ def static_audit(
     return min_confidence(findings_from_hits(static_hits(sources, catalogue, override)), minimum)
 
 
+def static_hits_of_files(
+    spark: SparkSession, *paths: str, catalogue: Catalogue | None = None, override: str | None = None
+) -> DataFrame:
+    """All rule hits of files on disk; files too long to be one value are read as split text."""
+    hits = static_hits(sources_from_files(spark, *paths, override=override), catalogue, override)
+    long = long_files(spark, *paths, override=override)
+    if not long:
+        return hits
+    lines = lines_from_files(spark, *long, override=override)
+    return hits.unionByName(static_hits_of_lines(lines, catalogue, override))
+
+
 def static_results(
     sources: DataFrame, catalogue: Catalogue | None = None, override: str | None = None, minimum: str = "low"
 ) -> DataFrame:
@@ -90,11 +103,10 @@ def review_sources(
 
 def audit_files(spark: SparkSession, *paths: str, override: str | None = None, minimum: str = "low") -> DataFrame:
     """Static audit of files on disk, one result row per file."""
-    from linewarden.sources.files import sources_from_files
-
     return static_results(sources_from_files(spark, *paths, override=override), None, override, minimum)
 
 
 __all__ = [
-    "audit_files", "build_prompts", "review", "review_sources", "static_audit", "static_hits", "static_hits_of_lines", "static_results",
+    "audit_files", "build_prompts", "review", "review_sources", "static_audit", "static_hits", "static_hits_of_files",
+    "static_hits_of_lines", "static_results",
 ]

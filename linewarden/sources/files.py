@@ -119,10 +119,10 @@ def sources_from_files(spark: SparkSession, *paths: str, override: str | None =
 
     A single file of an unknown extension gives an empty result instead.
     """
-    raw = read_files(spark, *paths, override=override).where(F.col("length") <= MAX_FILE_BYTES)
+    raw = read_files(spark, *paths, override=override)
     if raw.select("path").isEmpty() and not _is_single_file(paths):
         raise ValueError(f"no supported source files at {', '.join(paths)}")
-    return decode_files(raw)
+    return decode_files(raw.where(F.col("length") <= MAX_FILE_BYTES))
 
 
 def _is_single_file(paths: tuple[str, ...]) -> bool:
@@ -137,6 +137,12 @@ def _is_single_file(paths: tuple[str, ...]) -> bool:
         return False
 
 
+def long_files(spark: SparkSession, *paths: str, override: str | None = None) -> list[str]:
+    """Paths of the listed files that are too long for one value; from their metadata only."""
+    raw = read_files(spark, *paths, override=override)
+    return [r["path"] for r in raw.where(F.col("length") > MAX_FILE_BYTES).select("path").collect()]
+
+
 def lines_from_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
     """``path, line, code`` read as split text, for files of any size: no file is ever one value.
 
@@ -153,7 +159,10 @@ def lines_from_files(spark: SparkSession, *paths: str, override: str | None = No
         override_language(override)
     text = reader.text(list(paths))
     rows = text.select(
-        F.col("_metadata.file_path").alias("path"),
+        # the metadata column holds an encoded URI; elsewhere paths are plain
+        F.regexp_replace(
+            F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/"
+        ).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
         "value",

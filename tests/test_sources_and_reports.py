@@ -9,7 +9,7 @@ from linewarden.functions import labels
 from linewarden.functions.text import detect_language
 from linewarden.operators import report
 from linewarden.operators.lines import with_language
-from linewarden.plans.audit import audit_files, static_audit, static_results
+from linewarden.plans.audit import audit_files, static_audit, static_hits_of_files, static_results
 from linewarden.sources.files import lines_from_files, rejected_files, sources_from_files
 from linewarden.sources.tables import spread
 from linewarden.streaming.incremental import stream_files, write_increment
@@ -74,6 +74,20 @@ def test_lines_of_split_files(spark, tmp_path):
     assert got == sorted(expected)
 
 
+def test_files_too_long_for_one_value(spark, tmp_path, monkeypatch):
+    root = tmp_path / "two parts+1"
+    root.mkdir()
+    (root / "short.c").write_text("gets(a);\n")
+    (root / "long one.c").write_text("int x;\r\ngets(b);  system(c);\r\n" * 40)
+    columns = ["path", "line", "rule_ord", "rule", "matched_text"]
+    whole = sorted(map(tuple, static_hits_of_files(spark, str(root)).select(columns).collect()))
+    monkeypatch.setattr("linewarden.sources.files.MAX_FILE_BYTES", 100)
+    assert names(sources_from_files(spark, str(root))) == ["short.c"]
+    assert [r["reason"] for r in rejected_files(spark, str(root)).collect()] == ["too large"]
+    assert sorted(map(tuple, static_hits_of_files(spark, str(root)).select(columns).collect())) == whole
+    assert len(whole) == 81
+
+
 def test_single_files_and_empty_input(spark, tree, tmp_path):
     assert names(sources_from_files(spark, str(tree / "a.c"))) == ["a.c"]
     assert sources_from_files(spark, str(tree / "notes.txt")).count() == 0
