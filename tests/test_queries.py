@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from linewarden.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() == 17
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, duck, name):
     frame = entry_points.queries()[name](spark, sf)
     sql = entry_points.oracle_sql()[name]
