@@ -37,8 +37,11 @@ PERCENT = 75
 COUNTERS, BLOCK = 1 << 20, 1 << 16
 #: Parts of the counters that are added up in one group.
 FAN_IN = 64
-#: Cells up to this size are joined pair by pair; larger ones get so many pivots a round, for so many rounds.
-SMALL_CELL, PIVOTS, ROUNDS = 24, 4, 8
+#: Cells up to this size are joined pair by pair; larger ones get so many pivots a round (the first round one),
+#: for so many rounds; what is left then is joined pair by pair.
+SMALL_CELL, PIVOTS, ROUNDS = 8, 2, 3
+#: Cells with at most so many pairs between components for each member are joined pair by pair, too.
+CROSSING = 64
 
 _U = np.uint64
 
@@ -248,24 +251,31 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return _stored(spark, edges.select(F.col("a").alias("sid"), F.col("b").alias("comp")).union(roots), "components")
 
 
-def _pairs(cells: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b) to compare now, and the pivots of the larger cells: (region, a, b) with pivot b."""
-    size = cells.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+def _pairs(cells: DataFrame, percent: int, first: bool, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b) to compare now, and the pivots of the other cells: (region, a, b) with pivot b.
+
+    A cell is joined pair by pair if it is small, or if few of its pairs stand between different components, so
+    that their number stays in proportion to its size.
+    """
+    by_component = cells.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
+    size = by_component.groupBy("region").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inner"))
     sized = cells.join(size, "region")
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    few = sized if last else sized.where(F.col("size") <= SMALL_CELL)
+    direct = F.lit(True) if last else (F.col("size") <= SMALL_CELL)
+    if not first:
+        direct = direct | (F.col("size") * F.col("size") - F.col("inner") <= 2 * CROSSING * F.col("size"))
+    few = sized.where(direct)
     other = few.select("region", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
     small = few.join(other, "region").where("sid < b AND comp <> c").where(fits).select(F.col("sid").alias("a"), "b")
-    large = sized.where(F.lit(not last) & (F.col("size") > SMALL_CELL))
-    ranked = F.struct(F.xxhash64("sid").alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    # The least keys per region come from a bounded partial list: no window over a whole region.
-    slot = F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS)).alias("slot")
-    pivots = large.groupBy("region", slot).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c")
+    large = sized.where(~direct)
+    ranked = F.struct((-F.col("degree")).alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
+    slot = F.lit(0) if first else F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS))
+    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c")
     star = large.join(pivots, "region").where("sid <> b").select("region", F.col("sid").alias("a"), "b", "n", "m", "comp", "c")
     return small, star.withColumn("compare", (F.col("comp") != F.col("c")) & fits)
 
 
-def _next_cells(star: DataFrame, live: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """The larger cells without their pivots, as near cells of each pivot and one far cell.
 
     If one of two linked members lies within the radius of a pivot, both lie within twice the radius; else both
@@ -298,6 +308,9 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     postings = placed.select("text").mapInArrow(_regions(frequency, percent), "shingle long, sid long, n int")
     merged = postings.repartition(F.col("shingle")).mapInArrow(_merged, "region long, sid long, n int")
     cells = _stored(spark, merged.distinct(), "regions")
+    # A document that lies in many regions is close to many others and makes a good pivot.
+    degree = _stored(spark, cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    cells = cells.join(degree, "sid")
     slots = [r[0] for r in cells.select(F.pmod("sid", F.lit(COUNTERS))).distinct().collect()]
     bits = np.zeros(COUNTERS, np.uint8)
     bits[slots] = 1
@@ -318,7 +331,7 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
         live = _stored(spark, live.join(mixed.select("region"), "region", "left_semi"), "cells")
         if live.isEmpty():
             break
-        small, star = _pairs(live, percent, number == ROUNDS)
+        small, star = _pairs(live, percent, number == 0, number == ROUNDS)
         star = _stored(spark, star, "stars")
         asked = star.where("compare").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         asked = small.union(asked).distinct()
@@ -332,7 +345,7 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
         links = judged.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
         sid_links = links if sid_links is None else sid_links.union(links)
         labels = components(spark, sid_links)
-        cells = _stored(spark, _next_cells(star, live, tested, percent), "regions")
+        cells = _stored(spark, _next_cells(star, tested, percent).join(degree, "sid"), "regions")
     if labels is None:
         labels = spark.createDataFrame([], "sid long, comp long")
     return sets, labels
