@@ -35,6 +35,8 @@ from linewarden.session import work_folder
 PERCENT = 75
 #: Counters that estimate how frequent a shingle is; the number is fixed, so what is sent to tasks is bounded.
 COUNTERS, BLOCK = 1 << 20, 1 << 16
+#: Bits of the map of documents whose sets are compared.
+SLOTS = 1 << 22
 #: Parts of the counters that are added up in one group.
 FAN_IN = 64
 #: Cells up to this size are joined pair by pair; larger ones get so many pivots a round (the first round one),
@@ -189,18 +191,28 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], schema=schema)
 
 
+def _slot(places: np.ndarray) -> np.ndarray:
+    return (mix(places.astype(np.uint64) + _U(7)) % _U(SLOTS)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("slot", pa.int64())])
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(np.asarray(batch.column(0)))))], schema=schema)
+
+
 def _sets(needed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted hashes of the documents whose bit is set in a bitmap of fixed size."""
+    """(sid, sorted hashes) of the documents whose place is in a bitmap of fixed size."""
     schema = pa.schema([("sid", pa.int64()), ("hashes", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little")
+        bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
+            texts = batch.column(1).filter(pa.array(bits[_slot(np.asarray(batch.column(0)))]))
             sids, sets = [], []
-            for _, hashes in shingle_sets(batch.column(0)):
-                sid = _set_id(hashes)
-                if len(hashes) and bits[sid % COUNTERS]:
-                    sids.append(sid)
+            for _, hashes in shingle_sets(texts):
+                if len(hashes):
+                    sids.append(_set_id(hashes))
                     sets.append(hashes.tobytes())
                 if len(sets) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
@@ -210,6 +222,18 @@ def _sets(needed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return made
 
 
+def _hashes(placed: DataFrame, sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """Stored sets of the members of the pairs, one document for each, and of a few others."""
+    spark = placed.sparkSession
+    members = asked.select(F.col("a").alias("sid")).union(asked.select("b")).distinct()
+    first = sets.where("n > 0").groupBy("sid").agg(F.min("place").alias("place"))
+    places = members.join(first, "sid").select("place").mapInArrow(_slots, "slot long").distinct()
+    bits = np.zeros(SLOTS, np.uint8)
+    bits[[r[0] for r in places.collect()]] = 1
+    needed = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+    return _stored(spark, placed.mapInArrow(_sets(needed), "sid long, hashes binary"), "hashes")
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, shingles in common) of pairs with both sets beside them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32()), ("total", pa.int32())])
@@ -311,13 +335,6 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     # A document that lies in many regions is close to many others and makes a good pivot.
     degree = _stored(spark, cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     cells = cells.join(degree, "sid")
-    slots = [r[0] for r in cells.select(F.pmod("sid", F.lit(COUNTERS))).distinct().collect()]
-    bits = np.zeros(COUNTERS, np.uint8)
-    bits[slots] = 1
-    needed = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
-    hashed = placed.select("text").mapInArrow(_sets(needed), "sid long, hashes binary")
-    hashed = hashed.dropDuplicates(["sid"]).join(cells.select("sid").distinct(), "sid", "left_semi")
-    hashed = _stored(spark, hashed, "hashes")
     sid_links: DataFrame | None = None
     labels: DataFrame | None = None
     tested: DataFrame | None = None
@@ -337,10 +354,13 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
         asked = small.union(asked).distinct()
         if tested is not None:
             asked = asked.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        asked = _stored(spark, asked, "asked")
+        hashed = _hashes(placed, sets, asked)
         with_a = asked.join(hashed.withColumnRenamed("sid", "a").withColumnRenamed("hashes", "x"), "a")
         with_b = with_a.join(hashed.withColumnRenamed("sid", "b").withColumnRenamed("hashes", "y"), "b")
         judged = with_b.select("a", "b", "x", "y").mapInArrow(_common, "a long, b long, common int, total int")
-        judged = _stored(spark, judged, "distances")
+        # A copy beside the document that stands for its set gives the same distance again.
+        judged = _stored(spark, judged.distinct(), "distances")
         tested = judged if tested is None else tested.union(judged)
         links = judged.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
         sid_links = links if sid_links is None else sid_links.union(links)
