@@ -275,6 +275,44 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return _stored(spark, edges.select(F.col("a").alias("sid"), F.col("b").alias("comp")).union(roots), "components")
 
 
+def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b) of all pairs within cells whose components differ and whose sizes allow a link, each pair once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        main, region, sid, n, comp = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.argsort(region, kind="stable")
+        main, region, sid, n, comp = main[order], region[order], sid[order], n[order].astype(np.int64), comp[order]
+        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+        held: list[np.ndarray] = []
+        count = 0
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            outside = a + np.flatnonzero(comp[a:b] != main[a])
+            # Every pair between components has a member outside the main one; a block of them at a time.
+            for k in range(0, len(outside), 256):
+                left = np.repeat(outside[k : k + 256], b - a)
+                right = np.tile(np.arange(a, b), len(outside[k : k + 256]))
+                least, most = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+                good = (comp[left] != comp[right]) & (100 * least >= percent * most)
+                x, y = sid[left[good]], sid[right[good]]
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                count += len(x)
+                if count > 2_000_000:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    count = len(held[0])
+                    if count > 1_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], schema=schema)
+                        held, count = [], 0
+        if count:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return made
+
+
 def _pairs(cells: DataFrame, percent: int, first: bool, last: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b) to compare now, and the pivots of the other cells: (region, a, b) with pivot b.
 
@@ -288,9 +326,11 @@ def _pairs(cells: DataFrame, percent: int, first: bool, last: bool) -> tuple[Dat
     direct = F.lit(True) if last else (F.col("size") <= SMALL_CELL)
     if not first:
         direct = direct | (F.col("size") * F.col("size") - F.col("inner") <= 2 * CROSSING * F.col("size"))
-    few = sized.where(direct)
-    other = few.select("region", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    small = few.join(other, "region").where("sid < b AND comp <> c").where(fits).select(F.col("sid").alias("a"), "b")
+    # Cells of one group of copies have the same main component; dealt by it, their pairs meet before they leave.
+    main = by_component.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("main")).select("region", "main.comp")
+    few = sized.where(direct).join(main.withColumnRenamed("comp", "main"), "region")
+    few = few.select("main", "region", "sid", "n", "comp").repartition(F.col("main"))
+    small = few.mapInArrow(_crossing(percent), "a long, b long")
     large = sized.where(~direct)
     ranked = F.struct((-F.col("degree")).alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
     slot = F.lit(0) if first else F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS))
