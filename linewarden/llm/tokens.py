@@ -29,8 +29,10 @@ from linewarden.session import work_folder
 END_ID = 0
 #: Ids of a frame: it is closed at the first end of a document beyond, or at the hard limit inside one.
 FRAME_IDS, FRAME_LIMIT = 1 << 16, 1 << 22
+#: Bytes of texts that are encoded at a time; one longer text is encoded whole.
+STRIDE = 1 << 23
 #: Words whose ids a worker remembers; beyond that the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 #: Texts with other white space than single blanks and line feeds between words are encoded by themselves.
@@ -109,8 +111,17 @@ class Encoder:
         out[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = self.ids[source]
         return out, np.concatenate([[0], ends])[offsets]
 
-    def encode(self, column: pa.Array) -> list[np.ndarray]:
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text in order."""
         column = pc.fill_null(column.cast(pa.string()), "")
+        ends = np.cumsum(np.asarray(pc.binary_length(column)).astype(np.int64))
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STRIDE, "right")))
+            yield from self._encoded(column.slice(i, j - i))
+            i = j
+
+    def _encoded(self, column: pa.Array) -> list[np.ndarray]:
         odd = np.asarray(pc.match_substring_regex(column, ODD_SPACE))
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(column)
         usual = np.flatnonzero(~odd)
