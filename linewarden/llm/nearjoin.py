@@ -375,7 +375,6 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     # A document that lies in many regions is close to many others and makes a good pivot.
     degree = _stored(spark, cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     cells = cells.join(degree, "sid")
-    sid_links: DataFrame | None = None
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for number in range(ROUNDS + 1):
@@ -403,8 +402,11 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
         judged = _stored(spark, judged.distinct(), "distances")
         tested = judged if tested is None else tested.union(judged)
         links = judged.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
-        sid_links = links if sid_links is None else sid_links.union(links)
-        labels = components(spark, sid_links)
+        # The components so far are stars already, so only the new links have to be worked in.
+        if labels is None:
+            labels = components(spark, links)
+        elif not links.isEmpty():
+            labels = components(spark, labels.select(F.col("sid").alias("a"), F.col("comp").alias("b")).union(links))
         cells = _stored(spark, _next_cells(star, tested, percent).join(degree, "sid"), "regions")
     if labels is None:
         labels = spark.createDataFrame([], "sid long, comp long")
