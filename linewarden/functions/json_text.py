@@ -84,11 +84,11 @@ def field(obj: Column, name: str) -> Column:
 
     A quote after a backslash belongs to the value, unless no other quote follows to close it.
     """
-    value = r'"(?:([^"]*+(?:(?<=\\)"[^"]*+)*+)"|((?s:.*))")'
-    found = [F.regexp_extract(obj, rf'(?U)"?{name}"?\s*[:=]\s*{value}', i) for i in (1, 2)]
-    raw = F.concat(*found)
+    value = r'"([^"]*+(?:(?<=\\)"[^"]*+)*+(?=")|(?s:.*)(?="))'
+    raw = F.regexp_extract(obj, rf'(?U)"?{name}"?\s*[:=]\s*{value}', 1)
     plain = F.replace(F.replace(raw, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
-    return F.nullif(plain, F.lit(""))
+    # a filter names its value once, where nullif would have it evaluated twice
+    return F.get(F.filter(F.array(plain), lambda v: v != ""), 0)
 
 
 def unsigned32(text: Column) -> Column:

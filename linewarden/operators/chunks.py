@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.columns import settled
 from linewarden.functions.text import DIALECT, split_lines
 from linewarden.sources.rules import CPP, DOTNET, RUST, C
 
@@ -109,7 +110,9 @@ def chunk_files(files: DataFrame, keep_preamble: bool = False, with_lines: bool
     )
     starts = F.col("starts")
     if keep_preamble:
-        starts = F.array_distinct(F.concat(F.array(F.lit(0)), starts))
+        # settled, else it would be evaluated again for every function
+        staged = settled(staged, cuts=F.array_distinct(F.concat(F.array(F.lit(0)), starts)))
+        starts = F.col("cuts")
     total = F.size("lines")
     by_function = _pack(_segments(starts, F.col("sizes")), total, slack=0, restart=True)
     by_line = _pack(

@@ -29,6 +29,9 @@ SARIF_TAIL = "]}]}"
 
 CHUNKS_PER_PART = 1_000
 
+#: A scheme and the slashes after it, in front of an absolute URI.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
 
 def static_file_results(
     files: DataFrame, catalogue: Catalogue | None = None, minimum: str = "low"
@@ -85,15 +88,38 @@ def write_json(file_results: DataFrame, path: str, mode: str = "errorifexists")
 # --- SARIF ------------------------------------------------------------------------------------
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """Flat SARIF results, one row per finding."""
+def relative_path(path: Column, root: str | None) -> Column:
+    """The path below ``root``; unchanged if it lies elsewhere or there is no root.
+
+    Spark names local files ``file:/...``, so a root without a scheme is taken off such paths as well.
+    """
+    if not root:
+        return path
+    top = root.rstrip("/") + "/"
+    tops = [top] + (["file:" + top] if top.startswith("/") else [])
+    out = path
+    for t in tops:
+        out = F.when(F.startswith(path, F.lit(t)), F.substr(path, F.lit(len(t) + 1))).otherwise(out)
+    return out
+
+
+def sarif_uri(path: Column, root: str | None = None) -> Column:
+    """The path below ``root``, every segment percent-encoded; a scheme in front stays as it is."""
+    path = relative_path(path, root)
+    scheme = F.regexp_extract(path, _SCHEME, 0)
+    rest = F.url_encode(F.substr(path, F.char_length(scheme) + 1))
+    return F.concat(scheme, F.replace(F.replace(rest, F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
+
+
+def sarif_results(findings: DataFrame, root: str | None = None) -> DataFrame:
+    """Flat SARIF results, one row per finding; ``uri`` is relative to ``root``."""
     fix = F.when(F.col("suggestion") != "", F.col("suggestion"))
     return findings.select(
         F.col("category").alias("rule_id"),
         labels.sarif_level(F.col("severity")).alias("level"),
         labels.confidence_rank(F.col("confidence")).alias("rank"),
         labels.sarif_message(F.col("explanation"), F.col("suggestion")).alias("message"),
-        F.col("path").alias("uri"),
+        sarif_uri(F.col("path"), root).alias("uri"),
         F.coalesce("line", F.lit(1)).alias("start_line"),
         fix.alias("fix"),
     )
@@ -124,10 +150,11 @@ def _rule_object(rule: Column) -> Column:
     )
 
 
-def _result_object(f: Column, file: Column) -> Column:
+def _result_object(f: Column, uri: Column) -> Column:
     fix = F.array(F.struct(F.struct(f["suggestion"].alias("text")).alias("description")))
+    base = F.when(~F.rlike(uri, F.lit(_SCHEME)), "%SRCROOT%")  # an absolute URI has no base
     place = F.struct(
-        F.struct(file.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"),
+        F.struct(uri.alias("uri"), base.alias("uriBaseId")).alias("artifactLocation"),
         F.struct(F.coalesce(f["line"], F.lit(1)).alias("startLine")).alias("region"),
     )
     return F.struct(
@@ -140,7 +167,7 @@ def _result_object(f: Column, file: Column) -> Column:
     )
 
 
-def _run_object() -> Column:
+def _run_object(root: str | None) -> Column:
     categories = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["category"])))
     driver = F.struct(
         F.lit(TOOL["name"]).alias("name"),
@@ -149,24 +176,24 @@ def _run_object() -> Column:
     )
     return F.struct(
         F.struct(driver.alias("driver")).alias("tool"),
-        F.transform("findings", lambda f: _result_object(f, F.col("file"))).alias("results"),
+        F.transform("findings", lambda f: _result_object(f, sarif_uri(F.col("file"), root))).alias("results"),
     )
 
 
-def sarif_documents(file_results: DataFrame) -> DataFrame:
-    """``file, document``: a complete SARIF log per file row, made inside the row."""
+def sarif_documents(file_results: DataFrame, root: str | None = None) -> DataFrame:
+    """``file, document``: a complete SARIF log per file row, made inside the row; URIs are relative to ``root``."""
     log = F.struct(
-        F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(_run_object()).alias("runs")
+        F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(_run_object(root)).alias("runs")
     )
     return file_results.select("file", F.to_json(log).alias("document"))
 
 
-def write_sarif(file_results: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_sarif(file_results: DataFrame, path: str, mode: str = "errorifexists", root: str | None = None) -> None:
     """One SARIF log per line and file row; every line is a valid log of its own."""
-    sarif_documents(file_results).select("document").write.mode(mode).text(path)
+    sarif_documents(file_results, root).select("document").write.mode(mode).text(path)
 
 
-def sarif_log_lines(findings: DataFrame) -> DataFrame:
+def sarif_log_lines(findings: DataFrame, root: str | None = None) -> DataFrame:
     """``part, rule_id, key, text``: one SARIF log for the whole run, one text row per rule and result.
 
     Sorted by (part, rule_id, key) the rows are the log: head, rules, middle, results, tail.  All that is
@@ -179,8 +206,8 @@ def sarif_log_lines(findings: DataFrame) -> DataFrame:
     def comma(column, least):
         return F.when(column.eqNullSafe(least), "").otherwise(",")
 
-    results = findings.select(key.alias("key"), F.struct(*FINDING_FIELDS).alias("f"), F.col("path").alias("file"))
-    body = F.to_json(_result_object(F.col("f"), F.col("file")))
+    results = findings.select(key.alias("key"), F.struct(*FINDING_FIELDS).alias("f"), "path")
+    body = F.to_json(_result_object(F.col("f"), sarif_uri(F.col("path"), root)))
     result_rows = results.select(
         F.lit(3).alias("part"),
         F.lit(None).cast("string").alias("rule_id"),
@@ -205,13 +232,13 @@ def sarif_log_lines(findings: DataFrame) -> DataFrame:
     return fixed.unionByName(rule_rows).unionByName(result_rows)
 
 
-def write_sarif_log(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_sarif_log(findings: DataFrame, path: str, mode: str = "errorifexists", root: str | None = None) -> None:
     """One SARIF log for the whole run, as text parts that make up the log when joined in name order.
 
     The sort is by ranges of keys over all tasks, so no task holds the log.  Findings need a key that
     is unique per row: (path, line, rule_ord) for static, (path, chunk_id, seq) for reviewed ones.
     """
-    sarif_log_lines(findings).orderBy("part", "rule_id", "key").select("text").write.mode(mode).text(path)
+    sarif_log_lines(findings, root).orderBy("part", "rule_id", "key").select("text").write.mode(mode).text(path)
 
 
 # --- text and run summary ---------------------------------------------------------------------

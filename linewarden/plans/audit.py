@@ -43,6 +43,9 @@ def static_hits_of_files(
     long = long_files(spark, *paths, override=override)
     if not long:
         return hits
+    hidden = [p for p in long if p.rsplit("/", 1)[-1][0] in "._"]
+    if hidden:
+        raise ValueError(f"the text reader does not see hidden files such as {hidden[0]}: rename or split them")
     lines = lines_from_files(spark, *long, override=override)
     return hits.unionByName(static_hits_of_lines(lines, catalogue, override))
 
@@ -102,8 +105,9 @@ def review_sources(
 
 
 def audit_files(spark: SparkSession, *paths: str, override: str | None = None, minimum: str = "low") -> DataFrame:
-    """Static audit of files on disk, one result row per file."""
-    return static_results(sources_from_files(spark, *paths, override=override), None, override, minimum)
+    """Static audit of files on disk, one result row per file; an error if a file is too long for one row."""
+    sources = sources_from_files(spark, *paths, override=override, skip_long=False)
+    return static_results(sources, None, override, minimum)
 
 
 __all__ = [

@@ -114,14 +114,22 @@ def rejected_files(spark: SparkSession, *paths: str, override: str | None = None
     return long.unionByName(broken)
 
 
-def sources_from_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
+def sources_from_files(
+    spark: SparkSession, *paths: str, override: str | None = None, skip_long: bool = True
+) -> DataFrame:
     """``path, content`` of all readable source files; an error if a directory has no supported file.
 
-    A single file of an unknown extension gives an empty result instead.
+    A single file of an unknown extension gives an empty result instead.  Files above ``MAX_FILE_BYTES`` cannot be
+    one value: they are left to ``lines_from_files``, or are an error without ``skip_long``.
     """
     raw = read_files(spark, *paths, override=override)
     if raw.select("path").isEmpty() and not _is_single_file(paths):
         raise ValueError(f"no supported source files at {', '.join(paths)}")
+    if not skip_long:
+        long = raw.where(F.col("length") > MAX_FILE_BYTES).select("path").head(3)
+        if long:
+            names = ", ".join(r["path"] for r in long)
+            raise ValueError(f"files too long for one value, such as {names}: use static_hits_of_files, or skip_long")
     return decode_files(raw.where(F.col("length") <= MAX_FILE_BYTES))
 
 
@@ -149,8 +157,7 @@ def lines_from_files(spark: SparkSession, *paths: str, override: str | None = No
     Spark cuts a long file into blocks that many tasks read.  A line's number is its place within the
     block plus the lines of the blocks before it; only the line counts per block are summed up.  The
     lines themselves move only if the table of blocks is too long to be sent to every task.  As
-    elsewhere, files that are not UTF-8 are left out whole.  A CR at the very end of a file, without an
-    LF, is dropped too.
+    elsewhere, files that are not UTF-8 are left out whole, and a CR goes only along with an LF.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     if override is None:
@@ -164,22 +171,29 @@ def lines_from_files(spark: SparkSession, *paths: str, override: str | None = No
             F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/"
         ).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("id"),
         "value",
     )
     blocks = rows.groupBy("path", "block").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_id"), F.bool_and(F.is_valid_utf8("value")).alias("valid")
+        F.count(F.lit(1)).alias("lines"),
+        F.min("id").alias("first_id"),
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.sum(F.octet_length("value") + 1).alias("bytes"),
+        F.min("size").alias("size"),
     )
     file = Window.partitionBy("path")
     offsets = blocks.withColumn("earlier", F.sum("lines").over(file.orderBy("block")) - F.col("lines")).withColumn(
         "valid", F.min("valid").over(file)
     )
-    places = offsets.where("valid").select("path", "block", "first_id", "earlier")
+    # Lines and their LFs are one byte more than the file if the last line has no LF; a byte order mark of
+    # three bytes is not part of the lines.
+    surplus = F.sum("bytes").over(file) - F.col("size")
+    offsets = offsets.withColumn("open_line", F.when(surplus.isin(1, -2), F.sum("lines").over(file)))
+    places = offsets.where("valid").select("path", "block", "first_id", "earlier", "open_line")
     if (len(text.inputFiles()) + text.rdd.getNumPartitions()) * _BLOCK_ROW_BYTES <= MAX_BROADCAST_BYTES:
         places = F.broadcast(places)  # every block is a task of the scan or the rest of a file in one
     placed = rows.join(places, ["path", "block"])
-    return placed.select(
-        "path",
-        (F.col("id") - F.col("first_id") + F.col("earlier") + 1).alias("line"),
-        F.regexp_replace("value", r"\r\z", "").alias("code"),
-    )
+    line = F.col("id") - F.col("first_id") + F.col("earlier") + 1
+    code = F.when(line.eqNullSafe(F.col("open_line")), F.col("value")).otherwise(F.regexp_replace("value", r"\r\z", ""))
+    return placed.select("path", line.alias("line"), code.alias("code"))

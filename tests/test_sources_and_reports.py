@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linewarden.functions import labels
 from linewarden.functions.text import detect_language
 from linewarden.operators import report
-from linewarden.operators.lines import with_language
+from linewarden.operators.lines import explode_lines, with_language
 from linewarden.plans.audit import audit_files, static_audit, static_hits_of_files, static_results
 from linewarden.sources.files import lines_from_files, rejected_files, sources_from_files
 from linewarden.sources.tables import spread
@@ -213,3 +213,36 @@ def test_reviewed_results_in_parts(spark):
 def test_spread_leaves_wide_inputs_alone(spark):
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide, 8) is wide and spread(spark.range(0, 10, 1, 1), 8).rdd.getNumPartitions() == 8
+
+
+def test_split_lines_keep_a_last_carriage_return(spark, tmp_path):
+    texts = {"cr.c": "gets(a);\r\ngets(b);\r", "crlf.c": "gets(a);\r\ngets(b);\r\n", "plain.c": "gets(a);\n\r", "long.c": "x\r\n" * 50 + "y\r"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    whole = explode_lines(with_language(sources_from_files(spark, str(tmp_path)))).select("path", "line", "code")
+    split = lines_from_files(spark, str(tmp_path)).select("path", "line", "code")
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_audits_do_not_drop_long_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.c").write_text("gets(a);\n" * 40)
+    (tmp_path / ".h.c").write_text("gets(a);\n" * 40)
+    monkeypatch.setattr("linewarden.sources.files.MAX_FILE_BYTES", 100)
+    with pytest.raises(ValueError, match="too long for one value"):
+        audit_files(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="hidden files"):
+        static_hits_of_files(spark, str(tmp_path))
+
+
+def test_sarif_uris_are_relative_and_encoded(spark, tmp_path):
+    found = spark.createDataFrame(
+        [("file:/data/code/sp ace/a+b%.c",), ("/data/code/ü.c",), ("s3://b/x y.c",), ("src/a:b.c",), ("/data/codes/a.c",), (None,)], "path string"
+    )
+    uris = [r[0] for r in found.select(report.sarif_uri(found.path, "/data/code/")).collect()]
+    assert uris == ["sp%20ace/a%2Bb%25.c", "%C3%BC.c", "s3://b/x%20y.c", "src/a%3Ab.c", "/data/codes/a.c", None]
+    (tmp_path / "sp ace.c").write_text("gets(a);\n")
+    results = audit_files(spark, str(tmp_path))
+    for root, uri, base in ((str(tmp_path), "sp%20ace.c", "%SRCROOT%"), (None, f"file:{tmp_path}/sp%20ace.c", None)):
+        log = json.loads(report.sarif_documents(results, root).collect()[0]["document"])
+        place = log["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]
+        assert place["uri"] == uri and place.get("uriBaseId") == base
