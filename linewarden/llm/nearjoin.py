@@ -42,7 +42,8 @@ FAN_IN = 64
 #: Cells up to this size are joined pair by pair; larger ones get so many pivots a round (the first round one),
 #: for so many rounds; what is left then is joined pair by pair.
 SMALL_CELL, PIVOTS, ROUNDS = 8, 2, 3
-#: Cells with at most so many pairs between components for each member are joined pair by pair, too.
+#: Cells with at most so many pairs between components for each member are joined pair by pair, too; and all cells
+#: are, as soon as all of them together have no more.
 CROSSING = 64
 
 _U = np.uint64
@@ -251,12 +252,12 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(sid, comp) for every end of an edge (a, b): the smallest sid it reaches.
+    """(sid, comp) of every end of an edge (a, b) that reaches a smaller sid, with the smallest it reaches.
 
     Every round links each node's neighbours to its least one, first the larger ones, then all, so the depth
     halves; rounds end when the edges are stars.
     """
-    edges = _stored(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -264,15 +265,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = _stored(spark, large.where("a <> b").distinct(), "edges")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        new = _stored(spark, small.where("a <> b").distinct(), "edges")
-        tops = new.select(F.col("b").alias("a")).distinct()
-        deep = new.join(tops, "a", "left_semi").limit(1).count()
-        twice = new.groupBy("a").count().where("count > 1").limit(1).count()
-        edges = new
-        if not deep and not twice:
-            break
-    roots = edges.select(F.col("b").alias("sid"), F.col("b").alias("comp")).distinct()
-    return _stored(spark, edges.select(F.col("a").alias("sid"), F.col("b").alias("comp")).union(roots), "components")
+        edges = _stored(spark, small.where("a <> b").distinct(), "edges")
+        # In stars no node has two lower ends, and none that has one is a lower end itself.
+        ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+        ends = ends.union(edges.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        loose = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1")
+        if loose.isEmpty():
+            return edges.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
 
 
 def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -313,29 +312,45 @@ def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return made
 
 
-def _pairs(cells: DataFrame, percent: int, first: bool, last: bool) -> tuple[DataFrame, DataFrame]:
+def _live(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the cells with two components or more, beside the size of their cell, the sum of the squares of
+    its components' sizes, and its largest component."""
+    if labels is None:
+        named = cells.withColumn("comp", F.col("sid"))
+    else:
+        named = cells.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    by_component = named.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
+    most = F.max(F.struct("k", "comp")).alias("most")
+    shape = by_component.groupBy("region").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inner"), most)
+    shape = shape.where("size * size > inner").select("region", "size", "inner", F.col("most.comp").alias("main"))
+    return named.join(shape, "region")
+
+
+def _few_crossing(live: DataFrame) -> bool:
+    """Whether all cells together have few pairs between components for their members."""
+    of_member = (F.col("size") * F.col("size") - F.col("inner")) / F.col("size")
+    pairs, members = live.agg(F.sum(of_member), F.count(F.lit(1))).first()
+    return members > 0 and pairs <= 2 * CROSSING * members
+
+
+def _pairs(live: DataFrame, percent: int, first: bool, last: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b) to compare now, and the pivots of the other cells: (region, a, b) with pivot b.
 
     A cell is joined pair by pair if it is small, or if few of its pairs stand between different components, so
     that their number stays in proportion to its size.
     """
-    by_component = cells.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
-    size = by_component.groupBy("region").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inner"))
-    sized = cells.join(size, "region")
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     direct = F.lit(True) if last else (F.col("size") <= SMALL_CELL)
     if not first:
         direct = direct | (F.col("size") * F.col("size") - F.col("inner") <= 2 * CROSSING * F.col("size"))
     # Cells of one group of copies have the same main component; dealt by it, their pairs meet before they leave.
-    main = by_component.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("main")).select("region", "main.comp")
-    few = sized.where(direct).join(main.withColumnRenamed("comp", "main"), "region")
-    few = few.select("main", "region", "sid", "n", "comp").repartition(F.col("main"))
+    few = live.where(direct).select("main", "region", "sid", "n", "comp").repartition(F.col("main"))
     small = few.mapInArrow(_crossing(percent), "a long, b long")
-    large = sized.where(~direct)
+    large = live.where(~direct)
     ranked = F.struct((-F.col("degree")).alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
     slot = F.lit(0) if first else F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS))
     pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c")
-    star = large.join(pivots, "region").where("sid <> b").select("region", F.col("sid").alias("a"), "b", "n", "m", "comp", "c")
+    star = large.join(pivots, "region").where("sid <> b").select("region", F.col("sid").alias("a"), "b", "n", "m", "degree", "comp", "c")
     return small, star.withColumn("compare", (F.col("comp") != F.col("c")) & fits)
 
 
@@ -353,14 +368,15 @@ def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     pivots = star.select("region", F.col("b").alias("a")).distinct()
     known = pairs.join(measured, ["ta", "tb"], "left").join(pivots, ["region", "a"], "left_anti")
     least = F.coalesce("d", 1 - F.least("n", "m") / F.greatest("n", "m"))
-    near = known.where(least <= 2 * radius).select(F.xxhash64("region", "b").alias("region"), F.col("a").alias("sid"), "n")
-    nearest = known.groupBy("region", "a", "n").agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
+    member = [F.col("a").alias("sid"), F.col("n"), F.col("degree")]
+    near = known.where(least <= 2 * radius).select(F.xxhash64("region", "b").alias("region"), *member)
+    nearest = known.groupBy("region", "a", "n", "degree").agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
     far = nearest.where(F.col("d") > radius)
-    return near.union(far.select(F.xxhash64("region", F.lit("far")).alias("region"), F.col("a").alias("sid"), "n"))
+    return near.union(far.select(F.xxhash64("region", F.lit("far")).alias("region"), *member))
 
 
 def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(place, sid, n) of every document, and (sid, comp) of linked sets.
+    """(place, sid, n) of every document, and (sid, comp) of sets linked with one of a smaller sid.
 
     ``docs`` must be a stored table: its rows are read several times and named by their place.
     """
@@ -373,24 +389,20 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     merged = postings.repartition(F.col("shingle")).mapInArrow(_merged, "region long, sid long, n int")
     cells = _stored(spark, merged.distinct(), "regions")
     # A document that lies in many regions is close to many others and makes a good pivot.
-    degree = _stored(spark, cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-    cells = cells.join(degree, "sid")
+    degree = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for number in range(ROUNDS + 1):
-        if labels is None:
-            live = cells.withColumn("comp", F.col("sid"))
-        else:
-            live = cells.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        # Only regions with two components or more have anything left to compare.
-        mixed = live.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        live = _stored(spark, live.join(mixed.select("region"), "region", "left_semi"), "cells")
+        live = _live(cells, labels)
+        live = _stored(spark, live.join(degree, "sid") if number == 0 else live, "cells")
         if live.isEmpty():
             break
-        small, star = _pairs(live, percent, number == 0, number == ROUNDS)
-        star = _stored(spark, star, "stars")
-        asked = star.where("compare").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        asked = small.union(asked).distinct()
+        last = number == ROUNDS or number > 0 and _few_crossing(live)
+        asked, star = _pairs(live, percent, number == 0, last)
+        if not last:
+            star = _stored(spark, star, "stars")
+            asked = asked.union(star.where("compare").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        asked = asked.distinct()
         if tested is not None:
             asked = asked.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         asked = _stored(spark, asked, "asked")
@@ -407,7 +419,9 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
             labels = components(spark, links)
         elif not links.isEmpty():
             labels = components(spark, labels.select(F.col("sid").alias("a"), F.col("comp").alias("b")).union(links))
-        cells = _stored(spark, _next_cells(star, tested, percent).join(degree, "sid"), "regions")
+        if last or star.isEmpty():
+            break
+        cells = _stored(spark, _next_cells(star, tested, percent), "regions")
     if labels is None:
         labels = spark.createDataFrame([], "sid long, comp long")
     return sets, labels
