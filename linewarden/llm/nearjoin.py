@@ -357,9 +357,10 @@ def _pairs(live: DataFrame, percent: int, first: bool, last: bool) -> tuple[Data
 def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """The larger cells without their pivots, as near cells of each pivot and one far cell.
 
-    If one of two linked members lies within the radius of a pivot, both lie within twice the radius; else both
-    lie beyond it.  A distance that was not measured (same component, or sizes too far apart) is bounded by the
-    sizes: such a member is kept wherever it could belong.
+    If one of two linked members was measured within the radius of a pivot, both lie within twice the radius, and
+    it is in the pivot's component from now on; the other one matters only if it was not.  So a near cell takes no
+    members of its pivot's component, and the far cell all that were not measured within the radius of a pivot.
+    Distances of sizes too far apart to be measured are bounded by the sizes.
     """
     radius = (100 - percent) / 100
     d = (1 - F.col("common") / F.col("total")).alias("d")
@@ -367,11 +368,12 @@ def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     pairs = star.select("*", F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
     pivots = star.select("region", F.col("b").alias("a")).distinct()
     known = pairs.join(measured, ["ta", "tb"], "left").join(pivots, ["region", "a"], "left_anti")
+    known = known.withColumn("d", F.when(F.col("comp") != F.col("c"), F.col("d")))
     least = F.coalesce("d", 1 - F.least("n", "m") / F.greatest("n", "m"))
     member = [F.col("a").alias("sid"), F.col("n"), F.col("degree")]
-    near = known.where(least <= 2 * radius).select(F.xxhash64("region", "b").alias("region"), *member)
+    near = known.where((F.col("comp") != F.col("c")) & (least <= 2 * radius + 1e-9)).select(F.xxhash64("region", "b").alias("region"), *member)
     nearest = known.groupBy("region", "a", "n", "degree").agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
-    far = nearest.where(F.col("d") > radius)
+    far = nearest.where(F.col("d") > radius - 1e-9)
     return near.union(far.select(F.xxhash64("region", F.lit("far")).alias("region"), *member))
 
 
