@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Words of a block, and about how many words a shard holds.
 BLOCK, SHARD = 256, 32_768
+#: Documents of a run of like sizes in which whole copies are dealt out, and a document's part as whole numbers.
+RUN, WHOLE_BITS = 1_000, 30
 #: Tables of sources up to this many rows are sent to every task; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -106,18 +108,25 @@ def mix(
     Only a narrow table of sizes is shuffled, never a text; groups of a window are shards of bounded size,
     so a hot source is spread over many.
     """
+    kept = [c for c in docs.columns if c not in (text, "size", "source_size", "target", "taken")]
+    out = _mixed(docs, kept, kept, text, source, share, weights, most, seed, block)
+    return out.select(*kept, "size", "source_size", "target", "taken")
+
+
+def _mixed(
+    docs: DataFrame, kept: list[str], named: list[str], text: str, source: str, share: float, weights: tuple[int, ...], most: float, seed: int, block: int
+) -> DataFrame:
+    """The ``kept`` columns with the mix and its own names; ``named`` columns and the text say where a document lies."""
     spark = docs.sparkSession
-    results = ("size", "source_size", "target", "taken")
-    kept = [c for c in docs.columns if c != text and c not in results]
     name = F.struct(F.col(source).isNull().alias("missing"), F.coalesce(F.col(source), F.lit("")).alias("name"))
     folder = work_folder(spark, "mixture-sizes")
     docs.select(
         *kept,
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(text)).alias("__text"),
         name.alias("__source"),
         F.monotonically_increasing_id().alias("__place"),
-    ).withColumn("__key", F.xxhash64(*kept, "__text")).write.parquet(folder)
+        F.xxhash64(*named, F.xxhash64(F.col(text))).alias("__key"),
+    ).write.parquet(folder)
     sized = spark.read.parquet(folder)
     by_source = sized.groupBy("__source").agg(F.sum("size").alias("source_size"))
     folder = work_folder(spark, "mixture-sources")
@@ -155,17 +164,64 @@ def mix(
         .agg(F.sum(F.col("__overlap") * F.col("__times")).cast("long").alias("taken"))
     )
     out = placed.join(taken, "__place", "left")
-    return out.select(*kept, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    names = ("__place", "__key", "__source", "size", "source_size", "target")
+    return out.select(*kept, *names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, text: str = "text", source: str = "source", **options: object) -> DataFrame:
+def whole_times(mixed: DataFrame, seed: int = 17) -> DataFrame:
+    """(__place, __times): how often each document stands in the mix, as a whole number: taken/size or next to it.
+
+    The parts of documents that blocks cut are laid end to end in the order of size, and a document that holds a
+    whole number, shifted by a seeded start, stands once more.  So of the documents above any size as many are
+    added as their parts sum up to, give or take one, and a source's words miss those taken by no more than its
+    longest document.  Sums go by runs of like sizes, so a hot source is spread over many tasks; in runs that
+    hold a slice of a large class the order is by size within the run only.
+    """
+    spark = mixed.sparkSession
+    times = F.floor(F.col("taken") / F.col("size")).cast("long")
+    part = F.round((F.col("taken") - F.col("__times") * F.col("size")) * F.lit(float(1 << WHOLE_BITS)) / F.col("size")).cast("long")
+    docs = mixed.where("taken > 0").withColumn("__times", times).withColumn("__part", part)
+    docs = docs.withColumn("__class", F.floor(4 * F.log2("size")).cast("int"))
+    classes = docs.groupBy("__source", "__class").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("__runs"))
+    folder = work_folder(spark, "mixture-classes")
+    classes.write.parquet(folder)
+    classes = spark.read.parquet(folder)
+    few = F.broadcast(classes) if classes.count() <= BROADCAST_SOURCES else classes
+    docs = docs.join(few, ["__source", "__class"]).withColumn("__run", F.pmod(F.xxhash64(F.lit(seed + 3), "__key"), "__runs"))
+    run = ["__source", "__class", "__run"]
+    sums = docs.groupBy(*run).agg(F.sum("__part").alias("__sum"))
+    before = Window.partitionBy("__source").orderBy("__class", "__run").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.pmod(F.xxhash64(F.lit(seed + 4), "__source"), F.lit(1 << WHOLE_BITS)) + F.sum("__sum").over(before) - F.col("__sum")
+    order = Window.partitionBy(*run).orderBy("size", F.xxhash64("__key", F.lit(seed + 5)), "__key", "__place")
+    at = F.sum("__part").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = docs.withColumn("__at", at).join(sums.select(*run, begin.alias("__begin")), run)
+    whole = F.shiftright(F.col("__begin") + F.col("__at"), WHOLE_BITS) - F.shiftright(F.col("__begin") + F.col("__at") - F.col("__part"), WHOLE_BITS)
+    return placed.select("__place", (F.col("__times") + whole).cast("int").alias("__times"))
+
+
+def repeat_documents(
+    docs: DataFrame,
+    text: str = "text",
+    source: str = "source",
+    key: str = "doc_id",
+    share: float = 1.5,
+    weights: tuple[int, ...] = WEIGHTS,
+    most: float = 2.0,
+    seed: int = 17,
+    block: int = BLOCK,
+) -> DataFrame:
     """The documents with all their columns, each as often as the mix takes it in whole (0, 1 or 2 times).
 
-    ``docs`` must be a stored table: its rows are read twice and named by their place.
+    ``docs`` must be a stored table: its rows are read twice and joined by their place; what is chosen follows from
+    ``key``, source and text alone.
     """
+    spark = docs.sparkSession
     named = docs.withColumn("__row", F.monotonically_increasing_id())
-    mixed = mix(named.select("__row", F.col(text).alias("text"), F.col(source).alias("source")), **options)
-    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    often = mixed.select("__row", times.alias("__times")).where("__times > 0")
+    narrow = named.select("__row", F.col(key).alias("__id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    folder = work_folder(spark, "mixture-taken")
+    mixed = _mixed(narrow, ["__row"], ["__id", "source"], "text", "source", share, weights, most, seed, block)
+    # The table's own rows are the places from here on.
+    mixed.drop("__place").withColumnRenamed("__row", "__place").write.parquet(folder)
+    often = whole_times(spark.read.parquet(folder), seed).where("__times > 0").withColumnRenamed("__place", "__row")
     repeated = named.join(often, "__row").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times")))
     return repeated.select(*docs.columns)

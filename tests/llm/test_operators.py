@@ -385,6 +385,37 @@ def test_mixture(spark):
     assert mixture.mix(docs.limit(0)).count() == 0
 
 
+def test_whole_documents_meet_the_targets(spark):
+    """Long documents with small ratios: rounding each by itself would lose nearly all of them."""
+    rng = random.Random(12)
+    long_texts = [" ".join(["w"] * rng.choice([30, 200, rng.randint(600, 3000), 2500])) + f" {i}" for i in range(1300)]
+    rows = [(i, t, "b") for i, t in enumerate(long_texts)]
+    rows += [(5000 + i, " ".join(["v"] * rng.randint(1000, 2500)) + f" {i}", s) for s, n in (("a", 40), ("c", 50)) for i in range(n)]
+    rows += [(9000, None, "b"), (9001, " ", None)]
+    docs = stored(spark, rows, "doc_id long, text string, source string")
+    options = {"share": 0.2}
+    goal = {r.source: (r.target, r.source_size) for r in mixture.mix(docs, **options).collect()}
+    got = mixture.repeat_documents(docs, **options).collect()
+    words, longest, texts = Counter(), Counter(), {(i, s): t for i, t, s in rows}
+    for r in got:
+        assert texts[r.doc_id, r.source] == r.text
+        words[r.source] += len(r.text.split())
+    for _, t, s in rows:
+        longest[s] = max(longest[s], len((t or "").split()))
+    assert goal["b"][0] < 0.1 * goal["b"][1]
+    for s, (target, _) in goal.items():
+        assert abs(words[s] - target) <= longest[s] + 256, (s, words[s], target)
+    # Long documents have their share too.
+    above = [r for r in got if r.source == "b" and len(r.text.split()) > 1500]
+    assert sum(len(r.text.split()) for r in above) > 0.8 * goal["b"][0] / goal["b"][1] * sum(n for n in (len(t.split()) for t in long_texts) if n > 1500)
+    # The choice follows from the documents, not from their order in files.
+    folder = work_folder(spark, "other-order")
+    spark.createDataFrame(rows[::-1], docs.schema).repartition(7).write.parquet(folder)
+    again = mixture.repeat_documents(spark.read.parquet(folder), **options).collect()
+    assert sorted(r.doc_id for r in again) == sorted(r.doc_id for r in got)
+    assert mixture.repeat_documents(docs.limit(0)).count() == 0
+
+
 # -- quality ---------------------------------------------------------------------------------------------------
 
 
