@@ -208,6 +208,26 @@ def test_templates(spark):
     assert templates.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_without_article_keep_all_slots(spark):
+    """Headings, images, lists and links that stand once on most pages of a host do not cut the body."""
+
+    def page(k):
+        extra = f"<table><tr><td>cell {k}</td></tr></table>" if k % 2 else ""
+        return (
+            f"<html><body><div><a href='/'>Home</a> <a href=/x{k}>Topic {k}</a></div><div id=content><h1><a href=/{k}>Title {k}</a></h1><p>First {k} part</p>"
+            f"<img src={k}.png><p>Second <em>part</em> of {k}, the longest one of the page by far</p><ul><li>item {k}<li>thing {k}</ul>{extra}"
+            f"<blockquote><a href=/q>quoted {k}</a></blockquote><p>End of {k}</p></div><div>All rights reserved</div></body></html>"
+        )
+
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in templates.extract(pages).collect():
+        k = r.page_id
+        parts = [f"Title {k}", f"First {k} part", f"Second part of {k}, the longest one of the page by far", f"item {k}", f"thing {k}"]
+        parts += [f"cell {k}"] * (k % 2) + [f"quoted {k}", f"End of {k}"]
+        assert r.text.split("\n\n") == parts, r.text
+
+
 # -- toxicity --------------------------------------------------------------------------------------------------
 
 
