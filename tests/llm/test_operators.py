@@ -228,6 +228,29 @@ def test_pages_without_article_keep_all_slots(spark):
         assert r.text.split("\n\n") == parts, r.text
 
 
+def test_repeats_of_a_host_leave_the_article(spark):
+    """Notices and menus under unknown names inside main go, marks on p and inline elements count, copies stay whole."""
+
+    def page(k):
+        return (
+            f"<html><body><main><div class=zz><a href='/a'>All topics</a></div><h1>Story {k}</h1><p>Body of {k} <b>the</b> end</p>"
+            f"<p class=ad>Buy {k}<p>More <span class=share>Tell <span>a</span> friend {k}</span>of {k}</p><i hidden>secret {k}</i>"
+            "<div class=qq>We have changed our terms, please read them.</div></main></body></html>"
+        )
+
+    def copy(k):
+        rest = "".join(f"<p>Paragraph {i} of a text that many pages copy with a word changed</p>" for i in range(8) if i != k)
+        return f"<html><body><article><p>Changed {k}</p>{rest}</article></body></html>"
+
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(6)] + [(10 + k, f"http://c.example/{k}", copy(k)) for k in range(6)]
+    rows += [(20 + k, f"http://e.example/{k}", "<main><p>One text</p><p>Two</p></main>") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(pages).collect()}
+    for k in range(6):
+        assert got[k].split("\n\n") == [f"Story {k}", f"Body of {k} the end", f"More of {k}"], got[k]
+        assert len(got[10 + k].split("\n\n")) == 8 and got[20 + k] == "One text\n\nTwo"
+
+
 # -- toxicity --------------------------------------------------------------------------------------------------
 
 
