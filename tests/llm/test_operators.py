@@ -251,6 +251,15 @@ def test_repeats_of_a_host_leave_the_article(spark):
         assert len(got[10 + k].split("\n\n")) == 8 and got[20 + k] == "One text\n\nTwo"
 
 
+def test_large_templates_are_whole(spark, monkeypatch):
+    shared = "".join(f"<div>Offer number {i}</div>" for i in range(2500))
+    rows = [(k, "http://h.example/", f"<body><div>Own text {k}</div>{shared}</body>") for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in templates.extract(pages).collect()} == {f"Own text {k}" for k in range(5)}
+    monkeypatch.setattr(templates, "BROADCAST_TOKENS", 10)
+    assert sorted(r.text for r in templates.extract(pages).collect()) == [f"Own text {k}" for k in range(5)]
+
+
 # -- toxicity --------------------------------------------------------------------------------------------------
 
 
