@@ -244,8 +244,10 @@ def test_repeats_of_a_host_leave_the_article(spark):
 
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(6)] + [(10 + k, f"http://c.example/{k}", copy(k)) for k in range(6)]
     rows += [(20 + k, f"http://e.example/{k}", "<main><p>One text</p><p>Two</p></main>") for k in range(6)]
+    rows += [(30 + k, f"http://q.example/{k}", f"<article><p>Text {k}</p><p>{'A quoted line' if k % 2 else f'Line {k}'}</p></article>") for k in range(6)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in templates.extract(pages).collect()}
+    assert got[31] == "Text 1\n\nA quoted line"
     for k in range(6):
         assert got[k].split("\n\n") == [f"Story {k}", f"Body of {k} the end", f"More of {k}"], got[k]
         assert len(got[10 + k].split("\n\n")) == 8 and got[20 + k] == "One text\n\nTwo"
