@@ -148,7 +148,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that a table of plain turns implies: every assistant turn calls a tool with its text.
 
-    The turn after it is the result.  A call builds on the assistant's turn before, but for every third.
+    The turn after it is the result; a turn without a role (NULL) is not the assistant's.  A call builds on the assistant's turn before, but for every third.
     """
     turn, conv = F.col("turn"), F.col("conv_id")
 
@@ -169,7 +169,7 @@ def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFra
         F.element_at(F.array(F.lit("search"), F.lit("count"), F.lit("check")), (kind + 1).cast("int")).alias("tool"),
         arguments.alias("arguments"),
     )
-    results = conversations.where("role <> 'assistant'").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    results = conversations.where("NOT (role <=> 'assistant')").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 

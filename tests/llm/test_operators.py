@@ -171,6 +171,15 @@ def test_tool_calls(spark):
     assert toolcalls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_turns_without_a_role_are_results(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, None, "r"), (2, 5, None, "lone")]
+    calls, results = toolcalls.calls_of_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    schemas = spark.createDataFrame(toolcalls.SCHEMAS, "tool string, field string, type string, required boolean")
+    got = {(r.conv_id, r.turn): r for r in toolcalls.link_tool_calls(calls, results, schemas).collect()}
+    assert {k: r.status for k, r in got.items()} == {(1, 0): "orphan", (1, 1): "linked", (2, 5): "orphan"}
+    assert json.loads(got[1, 1].json)["result"] == "r"
+
+
 def test_long_chain_of_calls(spark):
     rows = [(1, i, f"c{i}", f"c{i - 1}" if i else None, "check", "{}") for i in range(70)]
     calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after string, tool string, arguments string")
