@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewarden.llm import decontaminate, mixture, nearjoin, quality, repeats, templates, tokens, toolcalls, toxicity, urlrules
+from linewarden.llm import decontaminate, manifest, mixture, nearjoin, packing, quality, repeats, runs, templates, tokens, toolcalls, toxicity, urlrules
 
 #: The folder of vocabularies, and the one that is used.
 TOKENIZERS = os.environ.get("LINEWARDEN_TOKENIZERS", "")
@@ -55,8 +55,12 @@ def op4_extract_text(spark: SparkSession, sf: str) -> DataFrame:
     return templates.extract(table(spark, sf, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def crc32_of_id() -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
 def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(crc32_of_id() % 3 == 1, F.lit(False))
 
 
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,6 +96,42 @@ def op10_near_components(spark: SparkSession, sf: str) -> DataFrame:
     return nearjoin.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(*manifest.FIELDS)
+    lowered = F.translate("text", urlrules.UPPER, urlrules.LOWER)
+    tampered = {"text": F.when(crc32_of_id() % 3 == 0, lowered).otherwise(F.col("text"))}
+    return manifest.manifest(docs, changed=tampered)
+
+
+def planted_period(seed: int | None, n: int) -> tuple[int, int] | None:
+    """Of every tenth seed: the word from which on the words repeat, and the period."""
+    if seed is None or seed % 10 or not n:
+        return None
+    g = seed // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = runs.periodic_runs(docs, seed=crc32_of_id(), rewrite=planted_period)
+    line = F.transform("runs", lambda x: F.concat_ws(",", *[x[k].cast("string") for k in ("start", "length", "period")]))
+    best = found.withColumn("best", runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{k}").alias(k) for k in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mix_sources,
         op9_quality_rules,
         op10_near_components,
+        op11_merkle_manifest,
+        op12_periodic_runs,
+        op13_pack_sequences,
     )
 }
 
@@ -114,6 +157,57 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWERED = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
 
 
+
+
+def _half_byte(value: int) -> int:
+    """Four steps of the reflected polynomial of CRC-32."""
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII text."""
+    table = [_half_byte(v) for v in range(16)]
+    half = f"xor(c >> 4, ({table}::BIGINT[])[(c & 15) + 1])"
+    halves = f"list_concat([4294967295::BIGINT], flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, -1])))"
+    # A byte is mixed in before its first half; the mark -1 asks for the second half alone.
+    return f"xor(list_reduce({halves}, lambda s, b: list_transform([xor(s, CASE WHEN b < 0 THEN 0 ELSE b END)], lambda c: {half})[1]), 4294967295)"
+
+
+def _tree(name: str, source: str) -> str:
+    """CTEs: nodes of all levels of the trees in ``source`` (tree, pos, digest, n), and what stands beside each."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, pos, digest, n FROM {source}
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM {name} WHERE n > 1
+  GROUP BY tree, level, pos // 8, n
+),
+{name}_beside AS (
+  SELECT tree, level, pos,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM {name} WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, pos // 8 ORDER BY pos)
+)"""
+
+
+def _fold(name: str, start: str, beside: str) -> str:
+    """CTEs: rows (doc_id, tree, pos, node, told) climb to the top; ``told`` gathers the siblings."""
+    return f"""
+{name} AS (
+  SELECT doc_id, tree, 0 AS level, pos, node, told FROM {start}
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.level + 1, f.pos // 8, sha256(lft || node || rgt), told || lft || rgt
+  FROM {name} f JOIN {beside} b ON b.tree = f.tree AND b.level = f.level AND b.pos = f.pos
+),
+{name}_end AS (SELECT doc_id, arg_max(node, level) AS node, arg_max(told, level) AS told FROM {name} GROUP BY doc_id)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
 def _missed(t: quality.Threshold) -> str:
     ratio = {
         "word_length": "word_chars / n_words",
@@ -216,4 +310,28 @@ links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS later FROM documents
+),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {" || ".join(f"{_field(c)} AS leaf" if c == "text" else _field(c) for c in manifest.FIELDS)},
+         {" || ".join(_field(c) for c in (*manifest.FIELDS[:-1], "later"))} AS now
+  FROM d
+),
+hashed AS (
+  SELECT doc_id, tree, sha256(leaf) AS digest, sha256(now) AS now,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves
+), {_tree("nodes", "hashed")},
+tops AS (
+  SELECT '' AS tree, tree AS of, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), {_tree("upper", "tops")},
+begun AS (SELECT doc_id, tree, pos, now AS node, '' AS told FROM hashed), {_fold("inside", "begun", "nodes_beside")},
+risen AS (
+  SELECT doc_id, '' AS tree, t.pos, e.node, e.told FROM inside_end e JOIN hashed USING (doc_id) JOIN tops t ON t.of = hashed.tree
+), {_fold("above", "risen", "upper_beside")}
+SELECT doc_id, h.digest AS leaf, t.digest AS subroot, r.digest AS root, sha256(a.told) AS proof_sha256, a.node AS folded_root,
+       a.node = r.digest AS verified
+FROM hashed h JOIN tops t ON t.of = h.tree JOIN above_end a USING (doc_id), (SELECT digest FROM upper WHERE n = 1) r""",
 }

@@ -97,8 +97,8 @@ class Words(NamedTuple):
         return np.where(self.close - self.begin >= n, hashes, _U(0))
 
 
-def words_of(part: Bytes, inside_bytes: np.ndarray = ~_SPACE) -> Words:
-    """Words as runs of the given bytes; they end where a row ends."""
+def words_of(part: Bytes, inside_bytes: np.ndarray = ~_SPACE, codes: np.ndarray = _FOLDED) -> Words:
+    """Words as runs of the given bytes; they end where a row ends.  With ``_BYTES`` as codes A-Z are not folded."""
     data, offsets = part.data, part.offsets
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -115,7 +115,7 @@ def words_of(part: Bytes, inside_bytes: np.ndarray = ~_SPACE) -> Words:
     begin, close = np.flatnonzero(begins), np.flatnonzero(closes) + 1
     up, down = powers(len(data))
     totals = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_FOLDED[data] * up[:-1], out=totals[1:])
+    np.cumsum(codes[data] * up[:-1], out=totals[1:])
     hashes = mix((totals[close] - totals[begin]) * down[begin])
     return Words(hashes, begin, close, np.searchsorted(begin, offsets), totals)
 
