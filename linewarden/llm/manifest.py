@@ -17,7 +17,7 @@ named have no part in the result, so their names cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewarden.session import work_folder
@@ -47,7 +47,7 @@ def leaf(fields: dict[str, Column]) -> Column:
 def _stored(df: DataFrame, name: str) -> DataFrame:
     folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def numbered(df: DataFrame, number: str, *order: str) -> DataFrame:
@@ -110,49 +110,53 @@ def ranked(leaves: DataFrame) -> DataFrame:
     return single.unionByName(many.select(*names, (F.col("before") + F.col("__number") - F.col("__least")).alias("place")))
 
 
-def _parents(nodes: Column) -> Column:
-    runs = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FAN).cast("int"))
-    return F.transform(runs, lambda i: F.sha2(F.array_join(F.slice(nodes, i * FAN + 1, F.lit(FAN)), ""), 256))
+def _parents(nodes: str) -> str:
+    last = f"cast((size({nodes}) - 1) div {FAN} AS int)"
+    return f"transform(sequence(0, {last}), i -> sha2(array_join(slice({nodes}, i * {FAN} + 1, {FAN}), ''), 256))"
 
 
-def _siblings(nodes: Column, slot: Column) -> Column:
+def _siblings(nodes: str, slot: str) -> str:
     """What stands to the left and to the right of a node in its run of eight."""
-    run = F.shiftright(slot, 3) * FAN
-    left = F.array_join(F.slice(nodes, run + 1, slot - run), "")
-    right = F.array_join(F.slice(nodes, slot + 2, run + (FAN - 1) - slot), "")
-    return F.struct(left.alias("left"), right.alias("right"))
+    run = f"shiftright({slot}, 3) * {FAN}"
+    left = f"array_join(slice({nodes}, {run} + 1, {slot} - {run}), '')"
+    right = f"array_join(slice({nodes}, {slot} + 2, {run} + {FAN - 1} - {slot}), '')"
+    return f"named_struct('left', {left}, 'right', {right})"
 
 
-def _folded(start: Column, path: Column) -> Column:
-    return F.aggregate(path, start, lambda node, x: F.sha2(F.concat(x["left"], node, x["right"]), 256))
+def _path(slot: str) -> str:
+    """The path of a slot up to the top of its array, as far as the tree has levels."""
+    steps = [f"if(n > {FAN**k}, {_siblings(f'l{k}', f'shiftright({slot}, {3 * k})')}, null)" for k in range(DEPTH)]
+    return f"array_compact(array({', '.join(steps)}))"
+
+
+def _folded(start: str, path: str) -> str:
+    return f"aggregate({path}, {start}, (node, x) -> sha2(concat(x.left, node, x.right), 256))"
 
 
-def _arrays(nodes: DataFrame, n: str, *payload: str) -> DataFrame:
+def _told(path: str) -> str:
+    return f"array_join(transform({path}, x -> concat(x.left, x.right)), '')"
+
+
+def _arrays(nodes: DataFrame, *payload: str) -> DataFrame:
     """Slot arrays of nodes (tree, place, digest, number n of nodes of the tree): their levels, and the node on top.
 
     ``payload`` columns stay with the slots as structs in ``carried``.
     """
     slots = F.array_sort(F.collect_list(F.struct(F.pmod("place", F.lit(SLOTS)).alias("slot"), "digest", *payload)))
     block = F.shiftright("place", 3 * DEPTH).alias("block")
-    full = nodes.groupBy("tree", block).agg(F.first(n).alias("n"), slots.alias("carried"))
-    full = full.withColumn("l0", F.transform("carried", lambda x: x["digest"]))
+    full = nodes.groupBy("tree", block).agg(F.first("n").alias("n"), slots.alias("carried"))
+    # Lambdas evaluate what they enclose once an element, so each level is made, by a generator, before the next.
+    full = full.selectExpr("*", "explode(array(transform(carried, x -> x.digest))) AS l0")
     for k in range(DEPTH):
-        more = F.col("n") > FAN**k
-        full = full.withColumn(f"l{k + 1}", F.when(more, _parents(F.col(f"l{k}"))).otherwise(F.col(f"l{k}")))
-    return full.select("tree", "block", "n", "carried", *[f"l{k}" for k in range(DEPTH)], F.col(f"l{DEPTH}")[0].alias("top"))
-
-
-def _path(slot: Column) -> Column:
-    """The path of a slot up to the top of its array, as far as the tree has levels."""
-    steps = [F.when(F.col("n") > FAN**k, _siblings(F.col(f"l{k}"), F.shiftright(slot, 3 * k).cast("int"))) for k in range(DEPTH)]
-    return F.array_compact(F.array(*steps))
+        full = full.selectExpr("*", f"explode(array(if(n > {FAN**k}, {_parents(f'l{k}')}, l{k}))) AS l{k + 1}")
+    return full.selectExpr("tree", "block", "n", "carried", *[f"l{k}" for k in range(DEPTH)], f"l{DEPTH}[0] AS top")
 
 
 def _climb(nodes: DataFrame, most: int, *payload: str) -> tuple[list[DataFrame], DataFrame]:
     """Slot arrays of all rounds, and the root of every tree (tree, top); nodes have tree, place, digest and n."""
     rounds = []
     while True:
-        rounds.append(_stored(_arrays(nodes, "n", *(payload if not rounds else ())), "arrays"))
+        rounds.append(_stored(_arrays(nodes, *(payload if not rounds else ())), "arrays"))
         most = -(-most // SLOTS)
         if most <= 1:
             return rounds, rounds[-1].select("tree", "top")
@@ -162,16 +166,13 @@ def _climb(nodes: DataFrame, most: int, *payload: str) -> tuple[list[DataFrame],
 
 def _descend(rounds: list[DataFrame], ends: DataFrame) -> DataFrame:
     """Paths of the arrays of the first round; ``ends`` has the path above the root of every tree, and more columns."""
+    rest = [c for c in ends.columns if c not in ("tree", "path")]
     paths = ends.withColumn("block", F.lit(0).cast("long"))
     for arrays in reversed(rounds[1:]):
         # Each array meets the one row of its path.
         each = arrays.drop("top").join(paths, ["tree", "block"])
-        rest = [c for c in ends.columns if c not in ("tree", "path")]
-        below = F.transform(
-            "carried",
-            lambda x, s: F.struct((F.col("block") * SLOTS + x["slot"]).alias("block"), F.concat(_path(s), F.col("path")).alias("path")),
-        )
-        paths = each.select("tree", *rest, F.explode(below).alias("x")).select("tree", *rest, "x.block", "x.path")
+        below = f"transform(carried, (x, s) -> named_struct('block', block * {SLOTS} + s, 'path', concat({_path('s')}, path)))"
+        paths = each.selectExpr("tree", *rest, f"inline({below}) AS (block, path)")
     return paths
 
 
@@ -183,7 +184,6 @@ def manifest(
     ``changed`` replaces fields by columns, as a later state of the table has them: ``folded_root`` is computed from
     the leaf of that state and the siblings of this one, and ``verified`` says whether it is the root.
     """
-    spark: SparkSession = docs.sparkSession
     original = {f: F.col(f) for f in fields}
     key = F.col(doc_id).cast("long")
     leaves = _stored(
@@ -201,7 +201,7 @@ def manifest(
     most, trees = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
     result = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     if not trees:
-        return spark.createDataFrame([], result)
+        return docs.sparkSession.createDataFrame([], result)
     nodes = ranked(leaves).join(sizes, "tree").select("tree", "place", F.col("leaf").alias("digest"), "n", "doc_id", "now")
     rounds, subroots = _climb(nodes, most, "doc_id", "now")
 
@@ -212,31 +212,12 @@ def manifest(
     nothing = F.array().cast("array<struct<left: string, right: string>>")
     above = _descend(upper, root.select("tree", F.col("top").alias("root"), nothing.alias("path")))
     each = upper[0].drop("top").join(above, ["tree", "block"])
-    ends = each.select(
-        "root",
-        F.explode(
-            F.transform(
-                "carried",
-                lambda x, s: F.struct(x["of"].alias("tree"), x["digest"].alias("subroot"), F.concat(_path(s), F.col("path")).alias("path")),
-            )
-        ).alias("x"),
-    ).select("x.tree", "x.subroot", "root", "x.path")
-
-    paths = _descend(rounds, ends)
+    of = f"transform(carried, (x, s) -> named_struct('tree', x.of, 'subroot', x.digest, 'path', concat({_path('s')}, path)))"
+    ends = each.selectExpr("root", f"inline({of}) AS (tree, subroot, path)")
+
     # What all leaves of an array share is joined once.
-    shared = F.array_join(F.transform("path", lambda x: F.concat(x["left"], x["right"])), "")
-    arrays = rounds[0].drop("top").join(paths, ["tree", "block"]).withColumn("shared", shared)
-    joined = lambda path: F.array_join(F.transform(path, lambda x: F.concat(x["left"], x["right"])), "")
-    rows = F.transform(
-        "carried",
-        lambda x, s: F.struct(
-            x["doc_id"].alias("doc_id"),
-            x["digest"].alias("leaf"),
-            F.sha2(F.concat(joined(_path(s)), F.col("shared")), 256).alias("proof_sha256"),
-            _folded(_folded(x["now"], _path(s)), F.col("path")).alias("folded_root"),
-        ),
-    )
-    out = arrays.select("subroot", "root", F.explode(rows).alias("x"))
-    return out.select(
-        "x.doc_id", "x.leaf", "subroot", "root", "x.proof_sha256", "x.folded_root", (F.col("x.folded_root") == F.col("root")).alias("verified")
-    )
+    arrays = rounds[0].drop("top").join(_descend(rounds, ends), ["tree", "block"]).selectExpr("*", f"explode(array({_told('path')})) AS shared")
+    row = f"""named_struct('doc_id', x.doc_id, 'leaf', x.digest, 'proof_sha256', sha2(concat({_told(_path("s"))}, shared), 256),
+                           'folded_root', {_folded(_folded("x.now", _path("s")), "path")})"""
+    out = arrays.selectExpr("subroot", "root", f"inline(transform(carried, (x, s) -> {row})) AS (doc_id, leaf, proof_sha256, folded_root)")
+    return out.selectExpr("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "folded_root = root AS verified")
