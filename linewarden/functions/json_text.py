@@ -37,11 +37,14 @@ def first_array(text: Column) -> Column:
     return F.when(tail == "", text).otherwise(F.left(tail, length))
 
 
-def objects(text: Column) -> Column:
-    """Every outermost ``{...}`` of a text; an object that is never closed runs to the end."""
-    tokens = F.regexp_extract_all(text, F.lit(r'(?s)\\.|["{}\\]|[^"\\{}]+'), F.lit(0))
+def object_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r'(?s)\\.|["{}\\]|[^"\\{}]+'), F.lit(0))
+
+
+def object_spans(tokens: Column) -> Column:
+    """Every outermost ``{...}`` as ``(start, length)`` in tokens; an object that is never closed runs to the end."""
     state = F.struct(
-        F.lit(1).alias("pos"),
+        F.lit(0).alias("at"),
         F.lit(0).alias("start"),
         F.lit(0).alias("depth"),
         F.lit(False).alias("quoted"),
@@ -49,10 +52,10 @@ def objects(text: Column) -> Column:
     )
 
     def piece(start, end):
-        return F.struct(start.alias("start"), (end - start).alias("length"))
+        return F.struct(start.alias("start"), (end - start + 1).alias("length"))
 
     def step(s, token):
-        size = F.char_length(token)
+        at = s["at"] + 1
         outside = s["depth"] == 0
         # outside of objects a backslash means nothing, so "\{" opens one as well
         opens = outside & F.endswith(token, F.lit("{"))
@@ -65,18 +68,29 @@ def objects(text: Column) -> Column:
             .otherwise(s["depth"])
         )
         return F.struct(
-            (s["pos"] + size).alias("pos"),
-            F.when(opens, s["pos"] + size - 1).otherwise(s["start"]).alias("start"),
+            at.alias("at"),
+            F.when(opens, at).otherwise(s["start"]).alias("start"),
             depth.alias("depth"),
             F.when(outside, False).when(token == '"', ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
-            F.when(closes, F.array_append(s["found"], piece(s["start"], s["pos"] + 1))).otherwise(s["found"]).alias("found"),
+            F.when(closes, F.array_append(s["found"], piece(s["start"], at))).otherwise(s["found"]).alias("found"),
         )
 
     def finish(s):
-        return F.when(s["depth"] > 0, F.array_append(s["found"], piece(s["start"], s["pos"]))).otherwise(s["found"])
+        return F.when(s["depth"] > 0, F.array_append(s["found"], piece(s["start"], s["at"]))).otherwise(s["found"])
+
+    return F.aggregate(tokens, state, step, finish)
 
-    found = F.aggregate(tokens, state, step, finish)
-    return F.transform(found, lambda p: F.substring(text, p["start"], p["length"]))
+
+def object_texts(tokens: Column, spans: Column) -> Column:
+    """The objects as texts.  Both columns must be plain ones: a lambda evaluates what it encloses once an element."""
+    rest = lambda p: F.array_join(F.slice(tokens, p["start"] + 1, p["length"] - 1), "")
+    return F.transform(spans, lambda p: F.concat(F.lit("{"), rest(p)))
+
+
+def objects(text: Column) -> Column:
+    """Every outermost ``{...}`` of a short text, in one expression."""
+    tokens = object_tokens(text)
+    return object_texts(tokens, object_spans(tokens))
 
 
 def field(obj: Column, name: str) -> Column:

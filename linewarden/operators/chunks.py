@@ -27,6 +27,32 @@ _MARK, _MARK_STAND_IN = "\u0001", "\u0002"
 _SPANS = "array<struct<start:int,first:int,last:int>>"
 
 
+# The same starts found without walking back over long texts.  No match of any language holds a semicolon, and one of
+# C or C++ runs on to the last brace behind a parameter list, so each stretch between semicolons has at most one:
+# the first line start in a run of name characters before a parenthesis that is above the stretch's last such brace.
+_RUN = r"[\w\s\*:<>]"
+_BODY_ABOVE = r"(?s)^(.*)\)\s*(?:const\s*)?(?:noexcept\s*)?\{"
+_IN_RUN = rf"(?<!{_RUN})(?={_RUN}*\w\s*+\(){_RUN}*?\n"
+_HEAD = rf"([a-zA-Z_]{_RUN}*\w\s*\((?s:.*))"
+# Elsewhere a match begins at the first line start in a run of white space, or at the text's start.
+_LINE_START = r"(\A|(?<!\s)[^\S\n]*+\n)"
+_LINEAR_STARTS = {
+    DOTNET: _LINE_START
+    + r"(\s++(?:public|private|protected|internal|static|override|virtual|async)\s++[\w<>\[\]]++\s++\w++\s*+\()",
+    RUST: _LINE_START + r"(\s*+(?:pub(?:\s*+\(\s*+crate\s*+\))?+\s++)?+(?:async\s++)?+fn\s++\w++)",
+}
+
+
+def _marked_stretch(stretch: Column, i: Column) -> Column:
+    """A stretch without semicolons, with a mark before the line at which its function starts."""
+    above = F.regexp_extract(stretch, DIALECT + _BODY_ABOVE, 1)
+    first = F.regexp_replace(above, rf"{DIALECT}(\A|{_IN_RUN}){_HEAD}", f"$1{_MARK}$2")
+    later = F.regexp_replace(above, rf"{DIALECT}({_IN_RUN}){_HEAD}", f"$1{_MARK}$2")
+    marked = F.when(i == 0, first).otherwise(later)
+    # Without a brace nothing is above it, and the whole stretch follows.
+    return F.concat(marked, F.substr(stretch, F.char_length(above) + 1))
+
+
 def function_starts(text: Column, lang: Column) -> Column:
     """0-based numbers of the lines at which a function starts, from the whole text (LF line ends).
 
@@ -34,10 +60,10 @@ def function_starts(text: Column, lang: Column) -> Column:
     line start, so the marked lines are the boundaries.
     """
     clean = F.translate(text, _MARK, _MARK_STAND_IN)
-    marked = None
-    for name, regex in FUNCTION_STARTS.items():
-        value = F.regexp_replace(clean, DIALECT + regex, _MARK + "$0")
-        marked = F.when(lang == name, value) if marked is None else marked.when(lang == name, value)
+    by_stretch = F.array_join(F.transform(F.split(clean, ";", -1), _marked_stretch), ";")
+    marked = F.when(lang.isin(C, CPP), by_stretch)
+    for name, regex in _LINEAR_STARTS.items():
+        marked = marked.when(lang == name, F.regexp_replace(clean, DIALECT + regex, f"$1{_MARK}$2"))
     flagged = F.transform(F.split(marked, "\n", -1), lambda s, i: F.when(F.startswith(s, F.lit(_MARK)), i))
     return F.filter(flagged, lambda i: i.isNotNull())
 
@@ -101,6 +127,9 @@ def chunk_files(files: DataFrame, keep_preamble: bool = False, with_lines: bool
     first function are not part of any chunk, unless ``keep_preamble`` asks for them.
     ``with_lines`` adds ``scan_lines``, the file lines the chunk stands for.
     """
+    if "whole" in files.columns:
+        told = F.raise_error(F.concat(F.col("path"), F.lit(" is in pieces: use chunks_from_files or prompts_from_files")))
+        files = files.withColumn("content", F.when(F.col("whole"), F.col("content")).otherwise(told))
     small = F.octet_length("content") <= CHUNK_BYTES
     text = F.array_join("lines", "\n")
     staged = (

@@ -2,8 +2,8 @@
 
 A *file result* is one row per audited file: ``file, language, findings``; clean files have ``[]``.
 Static results are made inside the row of the file, so JSON, SARIF and text reports need no shuffle.
-Results of reviewed findings are grouped by file and by stretch of chunks, so that a file with very
-many findings becomes several rows (``part`` 0, 1, ...) and never one unbounded group.
+A file that was read in pieces has a row per piece, with ``first_line``; its one document, and documents
+of reviewed findings, are made of fragments (``documents``), so no group grows with a file.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ SARIF_HEAD = f'{{"$schema": "{SARIF_SCHEMA}", "version": "{SARIF_VERSION}", "run
 SARIF_MIDDLE = ']}}, "results": ['
 SARIF_TAIL = "]}]}"
 
-CHUNKS_PER_PART = 1_000
-
 #: A scheme and the slashes after it, in front of an absolute URI.
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
@@ -40,38 +38,22 @@ def static_file_results(
     findings = F.transform("hits", finding_struct)
     if minimum.upper() != CONFIDENCES[0]:
         findings = F.filter(findings, lambda f: at_least(f["confidence"], minimum))
-    return file_hits(files, catalogue).select(
-        F.col("path").alias("file"), F.col("lang").alias("language"), findings.alias("findings")
-    )
-
-
-def reviewed_file_results(
-    files: DataFrame, findings: DataFrame, chunks_per_part: int = CHUNKS_PER_PART
-) -> DataFrame:
-    """``file, language, part, findings`` from exploded findings; every file appears at least once."""
-    part = F.floor(F.col("chunk_id") / chunks_per_part).cast("int").alias("part")
-    item = F.struct("chunk_id", "seq", F.struct(*FINDING_FIELDS).alias("f"))
-    grouped = (
-        findings.groupBy("path", part)
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .select("path", "part", F.transform("items", lambda x: x["f"]).alias("found"))
-    )
-    joined = files.select("path", "lang").join(grouped, "path", "left")
-    empty = F.expr("filter(found, x -> false)")
-    return joined.select(
-        F.col("path").alias("file"),
-        F.col("lang").alias("language"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("found", empty, F.from_json(F.lit("[]"), _FINDINGS_TYPE)).alias("findings"),
+    hits = file_hits(files, catalogue)
+    names = [F.col("path").alias("file"), F.col("lang").alias("language"), *[F.col(c) for c in hits.columns if c == "first_line"]]
+    return hits.select(*names, findings.alias("findings"))
+
+
+def reviewed_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row like that of ``run_summary``, from all files and exploded findings; nothing is grouped by file."""
+    found = findings.select(F.lit(0).alias("file"), F.lit(1).alias("finding"), "severity")
+    rows = files.select(F.lit(1).alias("file"), F.lit(0).alias("finding"), F.lit(None).cast("string").alias("severity")).unionByName(found)
+    return rows.agg(
+        F.coalesce(F.sum("file"), F.lit(0)).alias("files"),
+        F.coalesce(F.sum("finding"), F.lit(0)).alias("findings"),
+        *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES],
     )
 
 
-_FINDINGS_TYPE = (
-    "array<struct<line:bigint,severity:string,category:string,pattern:string,explanation:string,"
-    "suggestion:string,confidence:string>>"
-)
-
-
 # --- JSON -------------------------------------------------------------------------------------
 
 
@@ -141,7 +123,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     )
 
 
-def _rule_object(rule: Column) -> Column:
+def rule_object(rule: Column) -> Column:
     return F.struct(
         rule.alias("id"),
         labels.pascal_case(rule).alias("name"),
@@ -150,7 +132,7 @@ def _rule_object(rule: Column) -> Column:
     )
 
 
-def _result_object(f: Column, uri: Column) -> Column:
+def result_object(f: Column, uri: Column) -> Column:
     fix = F.array(F.struct(F.struct(f["suggestion"].alias("text")).alias("description")))
     base = F.when(~F.rlike(uri, F.lit(_SCHEME)), "%SRCROOT%")  # an absolute URI has no base
     place = F.struct(
@@ -172,11 +154,11 @@ def _run_object(root: str | None) -> Column:
     driver = F.struct(
         F.lit(TOOL["name"]).alias("name"),
         F.lit(TOOL["version"]).alias("version"),
-        F.transform(categories, _rule_object).alias("rules"),
+        F.transform(categories, rule_object).alias("rules"),
     )
     return F.struct(
         F.struct(driver.alias("driver")).alias("tool"),
-        F.transform("findings", lambda f: _result_object(f, sarif_uri(F.col("file"), root))).alias("results"),
+        F.transform("findings", lambda f: result_object(f, sarif_uri(F.col("file"), root))).alias("results"),
     )
 
 
@@ -207,7 +189,7 @@ def sarif_log_lines(findings: DataFrame, root: str | None = None) -> DataFrame:
         return F.when(column.eqNullSafe(least), "").otherwise(",")
 
     results = findings.select(key.alias("key"), F.struct(*FINDING_FIELDS).alias("f"), "path")
-    body = F.to_json(_result_object(F.col("f"), sarif_uri(F.col("path"), root)))
+    body = F.to_json(result_object(F.col("f"), sarif_uri(F.col("path"), root)))
     result_rows = results.select(
         F.lit(3).alias("part"),
         F.lit(None).cast("string").alias("rule_id"),
@@ -223,7 +205,7 @@ def sarif_log_lines(findings: DataFrame, root: str | None = None) -> DataFrame:
             F.lit(1).alias("part"),
             rule.alias("rule_id"),
             no_key,
-            F.concat(comma(rule, first["rule_id"]), F.to_json(_rule_object(rule))).alias("text"),
+            F.concat(comma(rule, first["rule_id"]), F.to_json(rule_object(rule))).alias("text"),
         )
     )
     fixed = findings.sparkSession.createDataFrame(
@@ -271,7 +253,7 @@ def run_summary(file_results: DataFrame) -> DataFrame:
     def count(severity):
         return F.coalesce(F.sum(F.size(F.filter("findings", lambda f: f["severity"] == severity))), F.lit(0))
 
-    files = F.count_if(F.col("part") == 0) if "part" in file_results.columns else F.count(F.lit(1))
+    files = F.count_if(F.col("first_line") == 1) if "first_line" in file_results.columns else F.count(F.lit(1))
     return file_results.agg(
         files.alias("files"),
         F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("findings"),

@@ -5,11 +5,11 @@ All steps are expressions on the row of an answer; nothing shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewarden.functions.columns import settled
-from linewarden.functions.json_text import field, first_array, objects, unsigned32
+from linewarden.functions.json_text import field, first_array, object_spans, object_texts, object_tokens, unsigned32
 from linewarden.operators.findings import FINDING_FIELDS
 
 # --- fixed values: keys of a finding, synonyms, defaults and the error row ----------------------
@@ -88,15 +88,19 @@ def _error_finding(response: Column) -> Column:
 def decode_responses(responses: DataFrame) -> DataFrame:
     """Add ``parse_status`` and ``answer`` (array of findings) to rows that have a ``response``."""
     keys = [c for c in responses.columns if c != "response"]
-    staged = responses.where(F.col("response").isNotNull()).withColumn("body", first_array(F.col("response")))
+    # Settled one by one: tokens, spans and objects are read once for every object of an answer.
+    staged = settled(responses.where(F.col("response").isNotNull()), body=first_array(F.col("response")))
     parsed = staged.withColumn("items", F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>"))
-    strict = parsed.withColumn("is_strict", F.col("items").isNotNull() & F.forall("items", _strict_ok))
+    strict = settled(parsed, is_strict=F.col("items").isNotNull() & F.forall("items", _strict_ok))
+    strict = settled(strict, tokens=F.when(~F.col("is_strict"), object_tokens(F.col("body"))))
+    strict = settled(strict, spans=object_spans(F.col("tokens")))
+    strict = settled(strict, objects=object_texts(F.col("tokens"), F.col("spans")))
     recovered = strict.withColumn(
         "recovered",
         F.when(
             ~F.col("is_strict"),
             F.filter(
-                F.transform(objects(F.col("body")), _recovered_finding),
+                F.transform("objects", _recovered_finding),
                 lambda f: ~((f["category"] == DEFAULT_CATEGORY) & (f["pattern"] == "") & (f["explanation"] == "")),
             ),
         ),
@@ -133,3 +137,24 @@ def response_coverage(chunks: DataFrame, responses: DataFrame) -> DataFrame:
     return chunks.select("path", "chunk_id").join(answered, ["path", "chunk_id"], "left").withColumn(
         "status", F.coalesce("status", F.lit("missing"))
     )
+
+
+def unreviewed_lines(chunks: DataFrame, responses: DataFrame) -> DataFrame:
+    """``path, first_line, last_line, status`` of the lines that no answered chunk covers, as few ranges as possible.
+
+    ``status`` is "unreviewed" where no chunk of the file is answered, else "partly reviewed".  A range begins at a
+    missing chunk whose predecessor is not missing; the windows of a file hold positions of chunks only.
+    """
+    covered = response_coverage(chunks, responses).groupBy("path", "chunk_id").agg(F.min("status").alias("status"))
+    placed = chunks.where("line_count > 0").select(
+        "path", "chunk_id", "start_line", (F.col("start_line") + F.col("line_count") - 1).alias("last_line")
+    ).join(covered, ["path", "chunk_id"])
+    file = Window.partitionBy("path")
+    missing = F.col("status") == "missing"
+    before = F.lag(missing, 1, False).over(file.orderBy("start_line"))
+    begun = F.sum((missing & ~before).cast("int")).over(file.orderBy("start_line"))
+    none = F.min(missing).over(file)
+    ranged = placed.withColumn("range", begun).withColumn("none", none).where(missing)
+    return ranged.groupBy("path", "range", "none").agg(F.min("start_line").alias("first_line"), F.max("last_line").alias("last_line")).select(
+        "path", "first_line", "last_line", F.when(F.col("none"), "unreviewed").otherwise("partly reviewed").alias("status")
+    )

@@ -133,14 +133,14 @@ def scan_lines_by_join(lines: DataFrame, catalogue: Catalogue) -> DataFrame:
     )
 
 
-def hits_of_lines(lines: str, lang: str, catalogue: Catalogue, first_line: str = "1") -> str:
+def hits_of_lines(lines: str, lang: str, catalogue: Catalogue, first_line: str = "1", kind: str = "int") -> str:
     """SQL expression: hits of an array of lines inside one row, ordered by line and rule.
 
     Used where the result belongs to a row anyway (one file, one chunk): it saves the shuffle that
     grouping exploded hits back would need.
     """
     numbered = (
-        f"transform({lines}, (code, i) -> named_struct('line', cast({first_line} + i AS int), 'code', code, "
+        f"transform({lines}, (code, i) -> named_struct('line', cast({first_line} + i AS {kind}), 'code', code, "
         f"'folded', {fold_case_sql('code')}))"
     )
     candidates = f"filter({numbered}, x -> {may_hit(lang, 'x.folded', catalogue)})"
@@ -150,7 +150,9 @@ def hits_of_lines(lines: str, lang: str, catalogue: Catalogue, first_line: str =
 
 
 def file_hits(files: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
-    """``path, lang, hits`` with one row per file, clean files included; no shuffle."""
+    """``path, lang, hits`` with one row per file or piece of a file, clean ones included; no shuffle."""
     catalogue = catalogue or Catalogue.builtin()
-    lines = files.select("path", "lang", split_lines(F.col("content")).alias("lines"))
-    return settled(lines, hits=F.expr(hits_of_lines("lines", "lang", catalogue))).select("path", "lang", "hits")
+    first = [c for c in files.columns if c == "first_line"]
+    lines = files.select("path", "lang", *first, split_lines(F.col("content")).alias("lines"))
+    hits = hits_of_lines("lines", "lang", catalogue, *(["first_line", "bigint"] if first else []))
+    return settled(lines, hits=F.expr(hits)).select("path", "lang", *first, "hits")

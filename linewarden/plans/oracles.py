@@ -97,18 +97,20 @@ _FINDING = """line::BIGINT AS line, severity, rule AS category, matched_text AS
 # --- chunks -----------------------------------------------------------------------------------
 
 
-def _chunks(preamble: bool = False) -> str:
+def _chunks(preamble: bool = False, by_line: bool = False) -> str:
     marks = " ".join(
         f"WHEN {q(lang)} THEN regexp_replace(array_to_string(lines, chr(10)), {q(_unicode(regex))}, chr(1) || '\\0', 'g')"
         for lang, regex in FUNCTION_STARTS.items()
     )
     first = "CASE WHEN list_contains(found, 0) THEN found ELSE list_prepend(0, found) END" if preamble else "found"
+    several = "false" if by_line else "len(found) > 1"
+    least = -1 if by_line else CHUNK_BYTES
     return f"""big AS MATERIALIZED (SELECT path, lines, string_split(CASE lang {marks} END, chr(10)) AS marked
-        FROM files WHERE strlen(content) > {CHUNK_BYTES}),
+        FROM files WHERE strlen(content) > {least}),
     starts AS (SELECT path, lines, list_filter(list_transform(marked,
         lambda s, i: CASE WHEN starts_with(s, chr(1)) THEN i - 1 END), lambda x: x IS NOT NULL) AS found FROM big),
-    modes AS MATERIALIZED (SELECT path, lines, len(found) > 1 AS functions,
-        CASE WHEN len(found) > 1 THEN {first} ELSE range(len(lines)) END AS pos FROM starts),
+    modes AS MATERIALIZED (SELECT path, lines, {several} AS functions,
+        CASE WHEN {several} THEN {first} ELSE range(len(lines)) END AS pos FROM starts),
     items AS MATERIALIZED (SELECT path, functions, generate_subscripts(pos, 1) AS k, unnest(pos) AS pos,
         unnest(list_transform(pos, lambda p, i: strlen(array_to_string(
             lines[p + 1 : coalesce(pos[i + 1], len(lines))], chr(10))))) AS bytes FROM modes),
@@ -132,7 +134,7 @@ def _chunks(preamble: bool = False) -> str:
     ),
     chunks AS MATERIALIZED (
         SELECT path, lang, 0 AS chunk_id, 1 AS start_line, len(lines)::INTEGER AS line_count, content
-            FROM files WHERE strlen(content) <= {CHUNK_BYTES}
+            FROM files WHERE strlen(content) <= {least}
         UNION ALL
         SELECT path, lang, (row_number() OVER (PARTITION BY path ORDER BY start) - 1)::INTEGER, (start + 1)::INTEGER,
             (last - first + 1 - (lines[last + 1] = '')::INTEGER)::INTEGER, array_to_string(lines[first + 1 : last + 1], chr(10))
@@ -244,6 +246,15 @@ def _json_files(findings: str, order: str) -> str:
         FROM files f LEFT JOIN (SELECT *, {_FINDING_JSON} AS body FROM {findings}) x ON x.path = f.path GROUP BY f.path, f.lang"""
 
 
+def _commas(body: str, part: int, keys: str, order: str, source: str) -> str:
+    """Fragments of a part, with a comma before all but the first of a file."""
+    comma = f"CASE WHEN row_number() OVER (PARTITION BY path ORDER BY {order}) = 1 THEN '' ELSE ',' END"
+    return f"SELECT path AS file, {part} AS part, {keys}, {comma} || {body} AS text FROM {source}"
+
+
+_NO_KEYS = "NULL AS name, NULL AS major, NULL AS minor"
+_ROW_KEYS = "NULL AS name, chunk_id::BIGINT AS major, seq::BIGINT AS minor"
+
 _STATIC = f"(SELECT path, rule_ord, {_FINDING} FROM hits)"
 _SUMMARY = """count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
     count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low"""
@@ -273,6 +284,7 @@ def _user_hits() -> str:
 _OVERRIDE_C = f"WITH {_files(ORDER_SOURCES, 'C')}, {_hits(CATALOGUE.of('C'))}"
 _CWE = "(VALUES " + ", ".join(f"({q(r.lang)}, {q(r.name)}, {q(r.cwe) if r.cwe else 'NULL'})" for r in CATALOGUE.rules) + ") AS c(lang, rule, cwe)"
 _CHUNK_COLUMNS = "path, lang, chunk_id, start_line, line_count, content"
+_LONG_COLUMNS = "path, lang, chunk_id, start_line::BIGINT AS start_line, line_count, content"
 _PARSED_COLUMNS = "path, chunk_id, seq, " + _COLUMNS
 
 ORACLES: dict[str, str] = {
@@ -358,6 +370,26 @@ ORACLES: dict[str, str] = {
     "min_confidence_levels": f"""{REVIEW} SELECT raw_confidence AS confidence, count(*) AS findings FROM reviewed
         WHERE raw_confidence IN ('MEDIUM', 'HIGH') GROUP BY ALL""",
     "reviewed_files": f"{REVIEW} SELECT (SELECT count(*) FROM files) AS files, count(*) AS findings, {_SUMMARY} FROM reviewed",
-    "reviewed_json": f"{REVIEW} {_json_files('reviewed', 'chunk_id, seq')}",
+    "reviewed_json": f"""{REVIEW} SELECT path AS file, 0 AS part, {_NO_KEYS}, '{{"file":' || {_json('path')} || ',"language":' || {_json('lang')} ||
+        ',"findings":[' AS text FROM files UNION ALL SELECT path, 2, {_NO_KEYS}, ']}}' FROM files
+        UNION ALL {_commas(_FINDING_JSON, 1, _ROW_KEYS, 'chunk_id, seq', 'reviewed')}""",
+    "reviewed_sarif_documents": f"""{REVIEW} SELECT path AS file, part, {_NO_KEYS}, text FROM files, (VALUES (0, '{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}",'
+        || '"runs":[{{"tool":{{"driver":{{"name":"{TOOL['name']}","version":"{TOOL['version']}","rules":['), (2, ']}}}},"results":['), (4, ']}}]}}')) t(part, text)
+        UNION ALL {_commas(_SARIF_RULE, 1, "category AS name, NULL AS major, NULL AS minor", 'category', '(SELECT DISTINCT path, category FROM reviewed)')}
+        UNION ALL {_commas(_SARIF_RESULT, 3, _ROW_KEYS, 'chunk_id, seq', 'reviewed')}""",
+    "json_index": f"""{DOCUMENTS}, docs AS (SELECT f.path AS file, strlen('{{"file":' || {_json('f.path')} || ',"language":' || {_json('f.lang')} || ',"findings":[')
+        + 3 + coalesce(sum(strlen(body) + 1), 0) + count(body) - (count(body) > 0)::INT + 1 AS bytes
+        FROM files f LEFT JOIN (SELECT *, {_FINDING_JSON} AS body FROM {_STATIC}) x ON x.path = f.path GROUP BY f.path, f.lang)
+        SELECT file, (sum(bytes) OVER (ORDER BY file) - bytes)::BIGINT AS start, bytes::BIGINT AS bytes FROM docs""",
+    "chunk_line_table": f"""WITH RECURSIVE {_files(TEXT_SOURCES)}, {_chunks(by_line=True)} SELECT {_LONG_COLUMNS} FROM chunks""",
+    "chunk_function_table": f"""WITH RECURSIVE {_files(DOCUMENT_SOURCES)}, {CHUNKS} SELECT {_LONG_COLUMNS} FROM chunks
+        WHERE path IN (SELECT path FROM modes WHERE functions)""",
+    "reviewed_missing": f"""WITH RECURSIVE {_files(DOCUMENT_SOURCES)}, {CHUNKS},
+        marked AS (SELECT path, start_line, start_line + line_count - 1 AS last_line, start_line % 2 <> 1 AS missing FROM chunks WHERE line_count > 0),
+        ranged AS (SELECT *, sum(CASE WHEN missing AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY start_line) AS k,
+            bool_and(missing) OVER (PARTITION BY path) AS none FROM (SELECT *,
+            coalesce(lag(missing) OVER (PARTITION BY path ORDER BY start_line), false) AS before FROM marked))
+        SELECT path, min(start_line)::INTEGER AS first_line, max(last_line)::INTEGER AS last_line,
+            CASE WHEN none THEN 'unreviewed' ELSE 'partly reviewed' END AS status FROM ranged WHERE missing GROUP BY path, k, none""",
     "reviewed_sarif": f"{REVIEW} SELECT {_SARIF_FLAT} FROM reviewed",
 }

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from linewarden.functions import labels, text
 from linewarden.operators import chunks as chunking
+from linewarden.operators import documents, long_chunks, report
 from linewarden.operators import prompts as prompting
-from linewarden.operators import report
 from linewarden.operators.correlate import near_lines
 from linewarden.operators.findings import min_confidence, suppress, with_severity
 from linewarden.operators.lines import explode_lines, with_language
-from linewarden.operators.responses import decode_responses, parse_responses, response_coverage
+from linewarden.operators.responses import decode_responses, parse_responses, response_coverage, unreviewed_lines
 from linewarden.operators.scan import scan_lines_by_join
 from linewarden.plans import audit
 from linewarden.session import work_folder
@@ -322,8 +322,8 @@ def parse_errors(spark, sf):
 
 
 def coverage(spark, sf):
-    chunks = prompting.chunk_hits(document_files(spark, sf), CATALOGUE)
-    answers = corpus.responses_from_chunks(chunks.where("start_line % 2 = 1"))
+    chunks = chunking.chunk_files(document_files(spark, sf)).drop("content")
+    answers = chunks.where("start_line % 2 = 1").withColumn("response", F.lit("[]"))
     counted = response_coverage(chunks, answers)
     return counted.groupBy("status").agg(F.count(F.lit(1)).alias("chunks"))
 
@@ -348,13 +348,51 @@ def min_confidence_levels(spark, sf):
 
 
 def reviewed_files(spark, sf):
-    results = report.reviewed_file_results(document_files(spark, sf), document_review(spark, sf))
-    return report.run_summary(results)
+    return report.reviewed_summary(document_files(spark, sf), document_review(spark, sf))
+
+
+def _stored_review(spark, sf):
+    """The reviewed findings as a table, for reports that read them more than once."""
+    folder = work_folder(spark, "reviewed")
+    document_review(spark, sf).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def reviewed_json(spark, sf):
-    results = report.reviewed_file_results(document_files(spark, sf), document_review(spark, sf))
-    return report.json_documents(results)
+    """One JSON document per file, as a fragment per finding."""
+    return documents.reviewed_json_fragments(document_files(spark, sf), _stored_review(spark, sf))
+
+
+def reviewed_sarif_documents(spark, sf):
+    """One SARIF log per file, as fragments."""
+    return documents.sarif_fragments(document_files(spark, sf), _stored_review(spark, sf))
+
+
+def json_index(spark, sf):
+    """Where the JSON document of each file stands among all documents."""
+    results = audit.static_results(document_sources(spark, sf))
+    return documents.document_index(documents.json_fragments(results))
+
+
+def chunk_line_table(spark, sf):
+    """Chunks packed from a table of lines by the parallel scan."""
+    lines = explode_lines(with_language(text_sources(spark, sf)))
+    return _chunk_columns(long_chunks.line_chunks(lines, block=64, fan=8))
+
+
+def chunk_function_table(spark, sf):
+    """Chunks of the files with several functions, packed from a table of lines and one of function starts."""
+    files = document_files(spark, sf).where(F.octet_length("content") > chunking.CHUNK_BYTES)
+    folder = work_folder(spark, "starts")
+    long_chunks.starts_of_pieces(files.withColumn("first_line", F.lit(1).cast("bigint"))).write.parquet(folder)
+    chunks = long_chunks.function_chunks(explode_lines(files), spark.read.parquet(folder), block=64, fan=8)
+    return _chunk_columns(chunks)
+
+
+def reviewed_missing(spark, sf):
+    """Line ranges of files that no answer covers."""
+    chunks = chunking.chunk_files(document_files(spark, sf)).drop("content")
+    return unreviewed_lines(chunks, document_responses(spark, sf).where("start_line % 2 = 1"))
 
 
 def reviewed_sarif(spark, sf):
@@ -370,6 +408,7 @@ QUERIES: dict[str, Query] = {
         cwe_mentions, suppressed, incremental_scan, chunk_small, chunk_lines, chunk_pages, chunk_functions, chunk_preamble, function_boundaries,
         hits_in_chunk, prompt_hits, prompt_hits_file_lines, prompts, responses, response_status, response_strict,
         response_recovered, parse_errors, coverage, near_hits, correlated, high_confidence, min_confidence_levels,
-        reviewed_files, reviewed_json, reviewed_sarif,
+        reviewed_files, reviewed_json, reviewed_sarif, reviewed_sarif_documents, reviewed_missing, json_index, chunk_line_table,
+        chunk_function_table,
     )
 }

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linewarden.functions.ambiguity import exponential
 from linewarden.functions.text import DIALECT
 from linewarden.sources.rules import LANGUAGES, RULES
 
@@ -98,4 +99,4 @@ def pattern_error(spark: SparkSession, regex: str) -> str | None:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(DIALECT + regex)
     except Exception as error:  # py4j wraps PatternSyntaxException
         return str(error).strip().splitlines()[-1] or "pattern does not compile"
-    return None
+    return exponential(regex)

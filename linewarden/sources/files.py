@@ -1,19 +1,14 @@
-"""Source files as a DataFrame ``path, content``."""
+"""Source files as a DataFrame ``path, first_line, whole, content``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewarden.functions.text import override_language
+from linewarden.sources.ranges import RANGE_BYTES, is_single_file, list_files, open_store, read_pieces
 from linewarden.sources.rules import EXTENSIONS
 
-# Spark holds a value of at most 2 GB; longer files are reported here and read by lines_from_files.
-MAX_FILE_BYTES = 2_147_483_647 - 64
-
 MAX_BROADCAST_BYTES = 8 << 20
 _BLOCK_ROW_BYTES = 512
 
@@ -22,78 +17,25 @@ EXTENSION_GLOB = "*.{" + ",".join(EXTENSIONS) + "}"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _reader(spark: SparkSession, override: str | None):
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if override is None:
-        return reader.option("pathGlobFilter", EXTENSION_GLOB)
-    override_language(override)
-    return reader
-
-
-def read_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
-    """All files below directories, or single files, as ``path, length, content`` (bytes).
-
-    Without an override only files of known extensions are listed.  Spark's own listing leaves out
-    empty files and names that start with ``_`` or ``.``; those few are listed and read apart.
-    """
-    seen = _reader(spark, override).load(list(paths)).select("path", "length", "content")
-    missed = [row for path in paths for row in _left_out(path, override)]
-    if not missed:
-        return seen
-    listed = spark.createDataFrame(missed, "path string, length bigint")
-    parts = min(len(missed), spark.sparkContext.defaultParallelism)
-    return seen.unionByName(listed.repartition(parts).mapInPandas(_read_bytes, "path string, length bigint, content binary"))
-
-
-def _hidden(name: str) -> bool:
-    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
-
-
-def _open(path: str):
-    from pyarrow import fs
-
-    if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    local = path[len("file:") :] if path.startswith("file:") else path
-    return fs.LocalFileSystem(), "/" + local.lstrip("/") if local.startswith("/") else local
+def only_spark_opens(path: str) -> bool:
+    """Whether the path lies in a store that tasks cannot open by themselves."""
+    from pyarrow import ArrowException
 
+    try:
+        open_store(path)
+    except (ArrowException, OSError, ImportError):
+        return True
+    return False
 
-def _left_out(path: str, override: str | None) -> list[tuple[str, int]]:
-    """Files below a directory that Spark's listing skips, from the metadata of one recursive listing."""
-    from pyarrow import ArrowException, fs
 
-    if any(c in path for c in "*?{["):
-        return []  # a glob pattern: Spark alone resolves it
-    try:
-        system, base = _open(path)
-        top = system.get_file_info(base)
-    except (ArrowException, OSError):
-        return []  # a store that only Spark can open: its own listing stands
-    if top.type == fs.FileType.File:
-        entries = [top] if top.size == 0 or _hidden(top.base_name) else []
-        prefix = base.rsplit("/", 1)[0] + "/"
+def read_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
+    """All files that Spark's own listing shows, as ``path, length, content`` (bytes)."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if override is None:
+        reader = reader.option("pathGlobFilter", EXTENSION_GLOB)
     else:
-        entries = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
-        prefix = base.rstrip("/") + "/"
-    scheme = path.split("://")[0] + "://" if "://" in path and not path.startswith("file:") else "file:"
-    return [
-        (scheme + e.path, e.size)
-        for e in entries
-        if e.type == fs.FileType.File
-        and (e.size == 0 or any(_hidden(part) for part in e.path[len(prefix) :].split("/")))
-        and (override is not None or e.base_name.rpartition(".")[0] and e.extension in EXTENSIONS)
-    ]
-
-
-def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, length in zip(batch["path"], batch["length"]):
-            data = b""  # longer files than a value can be are only reported
-            if 0 < length <= MAX_FILE_BYTES:
-                system, place = _open(path)
-                with system.open_input_stream(place) as stream:
-                    data = stream.read()
-            yield pd.DataFrame({"path": [path], "length": [length], "content": [data]})
+        override_language(override)
+    return reader.load(list(paths)).select("path", "length", "content")
 
 
 def decode_files(raw: DataFrame) -> DataFrame:
@@ -102,59 +44,36 @@ def decode_files(raw: DataFrame) -> DataFrame:
     return raw.where(F.is_valid_utf8(text)).select("path", text.alias("content"))
 
 
-def rejected_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
-    """``path, length, reason`` of the listed files that an audit skips."""
-    raw = read_files(spark, *paths, override=override)
-    long = raw.where(F.col("length") > MAX_FILE_BYTES).select("path", "length", F.lit("too large").alias("reason"))
-    broken = (
-        raw.where(F.col("length") <= MAX_FILE_BYTES)
-        .where(~F.is_valid_utf8(F.col("content").cast("string")))
-        .select("path", "length", F.lit("not UTF-8").alias("reason"))
-    )
-    return long.unionByName(broken)
-
+def sources_from_files(spark: SparkSession, *paths: str, override: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``path, first_line, whole, content`` of all readable source files; an error if a folder has no supported file.
 
-def sources_from_files(
-    spark: SparkSession, *paths: str, override: str | None = None, skip_long: bool = True
-) -> DataFrame:
-    """``path, content`` of all readable source files; an error if a directory has no supported file.
-
-    A single file of an unknown extension gives an empty result instead.  Files above ``MAX_FILE_BYTES`` cannot be
-    one value: they are left to ``lines_from_files``, or are an error without ``skip_long``.
+    A file of up to ``range_bytes`` is one row, a longer one a row for each stretch of its lines, of which
+    ``first_line`` is the number of the first.  A single file of an unknown extension gives an empty result.  In stores
+    that only Spark opens a file is always one row, which Spark's limit of 2 GB a value bounds with an error;
+    ``lines_from_files`` has no such bound.
     """
-    raw = read_files(spark, *paths, override=override)
-    if raw.select("path").isEmpty() and not _is_single_file(paths):
+    if any(map(only_spark_opens, paths)):
+        raw = read_files(spark, *paths, override=override)
+        if raw.select("path").isEmpty():
+            raise ValueError(f"no supported source files at {', '.join(paths)}")
+        return decode_files(raw).select("path", F.lit(1).cast("bigint").alias("first_line"), F.lit(True).alias("whole"), "content")
+    files = list_files(spark, *paths, override=override)
+    if files.isEmpty() and not is_single_file(paths):
         raise ValueError(f"no supported source files at {', '.join(paths)}")
-    if not skip_long:
-        long = raw.where(F.col("length") > MAX_FILE_BYTES).select("path").head(3)
-        if long:
-            names = ", ".join(r["path"] for r in long)
-            raise ValueError(f"files too long for one value, such as {names}: use static_hits_of_files, or skip_long")
-    return decode_files(raw.where(F.col("length") <= MAX_FILE_BYTES))
-
-
-def _is_single_file(paths: tuple[str, ...]) -> bool:
-    from pyarrow import ArrowException, fs
-
-    if len(paths) != 1:
-        return False
-    try:
-        system, place = _open(paths[0])
-        return system.get_file_info(place).type == fs.FileType.File
-    except (ArrowException, OSError):
-        return False
+    return read_pieces(files, range_bytes)
 
 
-def long_files(spark: SparkSession, *paths: str, override: str | None = None) -> list[str]:
-    """Paths of the listed files that are too long for one value; from their metadata only."""
-    raw = read_files(spark, *paths, override=override)
-    return [r["path"] for r in raw.where(F.col("length") > MAX_FILE_BYTES).select("path").collect()]
+def rejected_files(spark: SparkSession, *paths: str, override: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``path, length, reason`` of the listed files that an audit skips: those that are not UTF-8."""
+    files = list_files(spark, *paths, override=override)
+    read = read_pieces(files, range_bytes).select("path").distinct()
+    return files.join(read, "path", "left_anti").select("path", "length", F.lit("not UTF-8").alias("reason"))
 
 
 def lines_from_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
     """``path, line, code`` read as split text, for files of any size: no file is ever one value.
 
-    Spark cuts a long file into blocks that many tasks read.  A line's number is its place within the
+    For stores that only Spark opens; it does not list hidden names.  Spark cuts a long file into blocks that many tasks read.  A line's number is its place within the
     block plus the lines of the blocks before it; only the line counts per block are summed up.  The
     lines themselves move only if the table of blocks is too long to be sent to every task.  As
     elsewhere, files that are not UTF-8 are left out whole, and a CR goes only along with an LF.

@@ -1,7 +1,11 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from linewarden.operators.chunks import chunk_files, hits_in_chunks
+from linewarden.operators.chunks import FUNCTION_STARTS, chunk_files, function_starts, hits_in_chunks
 from linewarden.operators.lines import explode_lines, with_language
 from linewarden.operators.prompts import chunk_hits, hit_list, hit_lists, prompts
 from linewarden.operators.scan import scan_lines
@@ -125,3 +129,31 @@ def test_prompt_text(spark):
     assert "  - Line 2: [CRITICAL] `gets` matched `gets(` — gets() reads" in rows["a.c"]["prompt"]
     assert "int x;\ngets(b);" in rows["a.c"]["prompt"] and "written in C." in rows["a.c"]["prompt"]
     assert "None detected." in rows["b.rs"]["prompt"] and rows["b.rs"]["hit_count"] == 0
+
+
+ATOMS = {
+    "C": ["int", "f", " ", "\n", "\n", "(", ")", "{", "}", ";", "*", "::", "const", "noexcept", "_a", "9", ",", " (", ") {", "int f(int a) {\n"],
+    "Rust": ["pub", "fn", " ", "\n", "\n\n", "  ", "(crate)", "( crate )", "async", "fn f", "\t", "(", "pub fn a", "{", ";", "\npub(crate) async fn z"],
+    "C#/.NET": ["public", "static", "int", "List<int>", " ", "\n", "\n\n", "  ", "F", "F(", "(", "\t", "{", "\n  public int G(", ";", "async "],
+}
+
+
+def test_function_starts_are_those_of_the_patterns(spark):
+    rng = random.Random(1)
+    atoms = ATOMS | {"C++": ATOMS["C"]}
+    rows = [(lang, "".join(rng.choice(atoms[lang]) for _ in range(rng.randint(0, 30)))) for lang in atoms for _ in range(1500)]
+    df = spark.createDataFrame(rows, "lang string, t string")
+    got = df.select("lang", "t", function_starts(F.col("t"), F.col("lang")).alias("s")).collect()
+    expected = [[r.t.count("\n", 0, m.start()) for m in re.finditer(FUNCTION_STARTS[r.lang], r.t)] for r in got]
+    assert [list(r.s) for r in got] == expected and sum(map(bool, expected)) > 1000
+
+
+@pytest.mark.parametrize(
+    ("lang", "text"),
+    [("C", "int foo bar baz\n" * 66_000), ("C", "  foo(bar)\nint q(a)\n" * 50_000), ("C#/.NET", "\n" * 1_000_000), ("Rust", "\n " * 500_000)],
+)
+def test_function_starts_are_linear(spark, lang, text):
+    df = spark.createDataFrame([(lang, text)], "lang string, t string").select(F.size(function_starts(F.col("t"), F.col("lang"))))
+    df.collect()
+    start = time.perf_counter()
+    assert df.collect()[0][0] == 0 and time.perf_counter() - start < 2

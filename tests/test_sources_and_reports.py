@@ -74,18 +74,18 @@ def test_lines_of_split_files(spark, tmp_path):
     assert got == sorted(expected)
 
 
-def test_files_too_long_for_one_value(spark, tmp_path, monkeypatch):
+def test_long_files_are_audited_like_short_ones(spark, tmp_path):
     root = tmp_path / "two parts+1"
     root.mkdir()
     (root / "short.c").write_text("gets(a);\n")
     (root / "long one.c").write_text("int x;\r\ngets(b);  system(c);\r\n" * 40)
+    (root / ".hidden.c").write_text("gets(a);\n" * 40)
     columns = ["path", "line", "rule_ord", "rule", "matched_text"]
     whole = sorted(map(tuple, static_hits_of_files(spark, str(root)).select(columns).collect()))
-    monkeypatch.setattr("linewarden.sources.files.MAX_FILE_BYTES", 100)
-    assert names(sources_from_files(spark, str(root))) == ["short.c"]
-    assert [r["reason"] for r in rejected_files(spark, str(root)).collect()] == ["too large"]
-    assert sorted(map(tuple, static_hits_of_files(spark, str(root)).select(columns).collect())) == whole
-    assert len(whole) == 81
+    assert names(sources_from_files(spark, str(root))) == [".hidden.c", "long one.c", "short.c"]
+    assert rejected_files(spark, str(root)).count() == 0
+    assert sorted(map(tuple, static_hits_of_files(spark, str(root), range_bytes=100).select(columns).collect())) == whole
+    assert len(whole) == 121
 
 
 def test_single_files_and_empty_input(spark, tree, tmp_path):
@@ -196,18 +196,15 @@ def test_labels(spark):
     assert [r[0] for r in sev.select(labels.sarif_level(F.col("s"))).collect()] == ["error", "error", "warning", "note", "note", "note"]
 
 
-def test_reviewed_results_in_parts(spark):
+def test_reviewed_summary(spark):
     files = with_language(spark.createDataFrame([("a.c", ""), ("b.c", "")], "path string, content string"))
     rows = [("a.c", c, s, s, "HIGH", "cat", f"{c}/{s}", "e", "s", "HIGH") for c in range(25) for s in range(3)]
     found = spark.createDataFrame(
         rows[::-1],
         "path string, chunk_id int, seq int, line bigint, severity string, category string, pattern string, explanation string, suggestion string, confidence string",
     )
-    got = report.reviewed_file_results(files, found, chunks_per_part=10).orderBy("file", "part").collect()
-    assert [(r["file"], r["part"], len(r["findings"])) for r in got] == [("a.c", 0, 30), ("a.c", 1, 30), ("a.c", 2, 15), ("b.c", 0, 0)]
-    assert [f["pattern"] for r in got for f in r["findings"]] == [f"{c}/{s}" for c in range(25) for s in range(3)]
-    summary = report.run_summary(report.reviewed_file_results(files, found, chunks_per_part=10)).collect()[0]
-    assert tuple(summary) == (2, 75, 0, 75, 0, 0)
+    assert tuple(report.reviewed_summary(files, found).collect()[0]) == (2, 75, 0, 75, 0, 0)
+    assert tuple(report.reviewed_summary(files, found.where("false")).collect()[0]) == (2, 0, 0, 0, 0, 0)
 
 
 def test_spread_leaves_wide_inputs_alone(spark):
@@ -224,16 +221,6 @@ def test_split_lines_keep_a_last_carriage_return(spark, tmp_path):
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
 
 
-def test_audits_do_not_drop_long_files(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.c").write_text("gets(a);\n" * 40)
-    (tmp_path / ".h.c").write_text("gets(a);\n" * 40)
-    monkeypatch.setattr("linewarden.sources.files.MAX_FILE_BYTES", 100)
-    with pytest.raises(ValueError, match="too long for one value"):
-        audit_files(spark, str(tmp_path))
-    with pytest.raises(ValueError, match="hidden files"):
-        static_hits_of_files(spark, str(tmp_path))
-
-
 def test_sarif_uris_are_relative_and_encoded(spark, tmp_path):
     found = spark.createDataFrame(
         [("file:/data/code/sp ace/a+b%.c",), ("/data/code/ü.c",), ("s3://b/x y.c",), ("src/a:b.c",), ("/data/codes/a.c",), (None,)], "path string"
