@@ -30,6 +30,8 @@ FIT_ROWS = 24_000
 LEAST_ROWS, LEAST_SHARE = 3, 0.002
 #: Log odds from which on a word or beginning marks an insult.
 LEAST_ODDS = 3.0
+#: Bytes of texts that are read at a time.
+CHUNK = 1 << 20
 #: Lengths of learned word beginnings, in bytes.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -166,7 +168,7 @@ def _counted(candidates) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         counts = None if keys is None else np.zeros((2, len(keys)), np.int64)
         for batch in batches:
             toxic = np.asarray(batch.column(1)).astype(np.int64)
-            for part in byte_chunks(batch.column(0)):
+            for part in byte_chunks(batch.column(0), CHUNK):
                 words = words_of(part, _LETTERS)
                 found = []
                 row = np.searchsorted(words.first, np.arange(len(words.hashes)), "right") - 1
@@ -205,7 +207,7 @@ def _masses(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, kinds = composed(*GRAMMAR)
         for batch in batches:
-            rows = [lexicon.value.read(p, step, kinds) for p in byte_chunks(batch.column(0))]
+            rows = [lexicon.value.read(p, step, kinds) for p in byte_chunks(batch.column(0), CHUNK)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(np.concatenate(rows)), pa.list_(pa.float64()))], schema=schema)
 
@@ -266,14 +268,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     lexicon = spark.sparkContext.broadcast(Lexicon(model.learned))
     weights = model.weights
 
-    @F.pandas_udf("double")
-    def scored(texts):
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         step, kinds = composed(*GRAMMAR)
-        rows = [lexicon.value.read(p, step, kinds) for p in byte_chunks(pa.array(texts, pa.string(), from_pandas=True))]
+        rows = [lexicon.value.read(p, step, kinds) for p in byte_chunks(texts, CHUNK)]
         x = features(np.concatenate(rows)) if rows else np.zeros((0, KINDS))
-        import pandas as pd
-
-        return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -40, 40))))
+        return pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -40, 40))))
 
     kept = docs.drop("score", "predicted")
     out = kept.withColumn("score", scored(F.col(text).cast("string")))
