@@ -7,10 +7,13 @@ regexes.  Nothing here shuffles.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.columns import settled
+from linewarden.functions.required import required_texts
 from linewarden.functions.text import TRIM_PATTERN, fold_case_sql, split_lines, sql_text, trim_unicode
 from linewarden.sources.catalogue import Catalogue, Rule
 from linewarden.sources.rules import LANGUAGES
@@ -23,6 +26,8 @@ MAX_LITERAL_RULES = 200
 # More tests than this would make one generated method too long for the JIT compiler.
 MAX_INLINE_NEEDLES = 8
 MAX_BROADCAST_BYTES = 8 << 20
+#: Letters of the grams that needles are indexed by; a shorter needle is its own gram.
+GRAM = 4
 
 # The expressions below hold up to a few hundred literals, so they are written as SQL text: Spark
 # parses it in one go, where building the same Column tree costs thousands of calls.
@@ -80,6 +85,10 @@ def scan_lines(lines: DataFrame, catalogue: Catalogue | None = None) -> DataFram
     catalogue = catalogue or Catalogue.builtin()
     if max(len(catalogue.of(lang)) for lang in LANGUAGES) > MAX_LITERAL_RULES:
         return scan_lines_by_join(lines, catalogue)
+    return _scan_literal(lines, catalogue)
+
+
+def _scan_literal(lines: DataFrame, catalogue: Catalogue) -> DataFrame:
     return (
         # settled: the condition looks at the folded text dozens of times
         settled(lines, folded=F.expr(fold_case_sql("code")))
@@ -96,32 +105,71 @@ def scan_lines(lines: DataFrame, catalogue: Catalogue | None = None) -> DataFram
     )
 
 
-def scan_lines_by_join(lines: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """The same hits for a large catalogue: join on language, pattern test as the residual condition.
+def _indexed(catalogue: Catalogue) -> tuple[list[tuple], list[Rule]]:
+    """Index rows by the rarest gram of every text that a rule needs, and the rules that need none.
 
-    A pattern from a column is compiled whenever it changes, so the needles are tested first here too.
-    The rules are broadcast only when their text is known to be small; beyond that Spark joins on the
-    language, spread over line buckets so that one language is not one task.
+    A row is lang, gram, rule_ord, rule, severity, description, pattern, needle, and the rule's earlier needles.
     """
-    rows = [
-        (r.lang, r.rule_ord, r.name, r.severity, r.description, r.pattern, list(r.needles)) for r in catalogue.rules
+    needed = [(r, r.needles or required_texts(r.regex)) for r in catalogue.rules]
+    grams = {n: [n[i : i + GRAM] for i in range(max(1, len(n) - GRAM + 1))] for _, needles in needed for n in needles}
+    often = Counter(g for found in grams.values() for g in set(found))
+    rows = []
+    for rule, needles in needed:
+        for k, needle in enumerate(needles):
+            gram = min(grams[needle], key=lambda g: (-len(g), often[g], g))
+            fields = (rule.lang, gram, rule.rule_ord, rule.name, rule.severity, rule.description, rule.pattern)
+            rows.append((*fields, needle, list(needles[:k])))
+    return rows, [r for r, needles in needed if not needles]
+
+
+def _grams(lengths: list[int]) -> str:
+    """SQL expression: the distinct grams of a line's characters."""
+    each = [
+        f"IF(size(chars) >= {n}, transform(sequence(1, greatest(size(chars) - {n - 1}, 1)), i -> array_join(slice(chars, i, {n}), '')), array())"
+        for n in lengths
     ]
-    rules = lines.sparkSession.createDataFrame(
+    return f"array_distinct(concat({', '.join(each)}))"
+
+
+def scan_lines_by_join(lines: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """The same hits for a large catalogue, by an inverted index of the texts that its rules need.
+
+    Every needle is indexed by its rarest gram; the grams of a line meet the index by an equi-join on language and
+    gram, and only the few rules found so are tried: needle first, then pattern.  A rule with several needles is
+    tried for the first one that the line holds, so it hits once.  An index below 8 MB is broadcast, and drops other
+    grams before they become rows; beyond, grams travel without the lines, and the pairs found meet the lines by
+    (path, line), which must be unique then.  Rules without any needed text are few in practice; they are
+    tried as literals, ``MAX_LITERAL_RULES`` in a pass.
+    """
+    rows, bare = _indexed(catalogue)
+    scans = [_scan_literal(lines, Catalogue(tuple(bare[k : k + MAX_LITERAL_RULES]))) for k in range(0, len(bare), MAX_LITERAL_RULES)]
+    if rows:
+        scans.append(_scan_index(lines, rows))
+    found = scans[0] if scans else _scan_literal(lines, catalogue)
+    for more in scans[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _scan_index(lines: DataFrame, rows: list[tuple]) -> DataFrame:
+    index = lines.sparkSession.createDataFrame(
         rows,
-        "lang string, rule_ord int, rule string, severity string, description string, pattern string, needles array<string>",
+        "lang string, gram string, rule_ord int, rule string, severity string, description string, pattern string, needle string,"
+        " earlier array<string>",
     )
-    folded = settled(lines, folded=F.expr(fold_case_sql("code")))
-    size = sum(len(r.regex) + len(r.description) + len(r.name) + len("".join(r.needles)) + 128 for r in catalogue.rules)
-    if size <= MAX_BROADCAST_BYTES:
-        joined = folded.join(F.broadcast(rules), "lang")
+    small = sum(sum(len(x) for x in (*r[:2], *r[3:8])) + sum(map(len, r[8])) + 128 for r in rows) <= MAX_BROADCAST_BYTES
+    grams = _grams(sorted({len(r[1]) for r in rows}))
+    if small:
+        grams = f"filter({grams}, g -> g IN ({', '.join(sorted({sql_text(r[1]) for r in rows}))}))"
+    folded = settled(lines.select("path", "lang", "line", "code"), folded=F.expr(fold_case_sql("code")))
+    each = settled(folded, chars=F.split("folded", "", -1)).withColumn("gram", F.explode(F.expr(grams))).drop("chars")
+    if small:
+        tried = each.join(F.broadcast(index), ["lang", "gram"])
     else:
-        buckets = 256
-        spread = rules.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        keyed = folded.withColumn("bucket", F.pmod(F.xxhash64("path", "line"), F.lit(buckets)).cast("int"))
-        joined = keyed.join(spread, ["lang", "bucket"])
-    return joined.where(
-        "(size(needles) = 0 OR exists(needles, n -> contains(folded, n))) AND rlike(code, pattern)"
-    ).select(
+        keys = ["path", "line", "lang"]
+        tried = each.select(*keys, "gram").join(index, ["lang", "gram"]).join(folded, keys)
+    hit = "contains(folded, needle) AND NOT exists(earlier, n -> contains(folded, n)) AND rlike(code, pattern)"
+    return tried.where(hit).select(
         "path",
         "lang",
         "line",

@@ -281,6 +281,8 @@ def _user_hits() -> str:
     return " UNION ALL ".join(branches)
 
 
+_FIRST_ORDERS = """FROM (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 0 END AS o_custkey
+    FROM orders WHERE o_orderkey % 5 <> 0)"""
 _OVERRIDE_C = f"WITH {_files(ORDER_SOURCES, 'C')}, {_hits(CATALOGUE.of('C'))}"
 _CWE = "(VALUES " + ", ".join(f"({q(r.lang)}, {q(r.name)}, {q(r.cwe) if r.cwe else 'NULL'})" for r in CATALOGUE.rules) + ") AS c(lang, rule, cwe)"
 _CHUNK_COLUMNS = "path, lang, chunk_id, start_line, line_count, content"
@@ -332,6 +334,14 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 3, CASE WHEN row_number() OVER (ORDER BY path, line, rule_ord) = 1 THEN '' ELSE ',' END || {_SARIF_RESULT} FROM {_STATIC}
         UNION ALL SELECT 4, {q(report.SARIF_TAIL)}""",
     "incremental_scan": f"{ORDERS} SELECT lang, rule AS category, 'MEDIUM' AS confidence, count(*) AS findings FROM hits GROUP BY ALL",
+    "incremental_changes": f"""WITH {_files(ORDER_SOURCES.replace('FROM orders', _FIRST_ORDERS))}, {_hits()},
+        old AS MATERIALIZED (SELECT h.*, content FROM hits h JOIN files USING (path)), had AS MATERIALIZED (SELECT path, content FROM files),
+        next AS ({ORDER_SOURCES} WHERE o_orderkey % 11 <> 0),
+        gone AS (SELECT 'retracted' AS change, lang, rule FROM old LEFT JOIN next USING (path, content) WHERE next.path IS NULL),
+        later AS (SELECT next.path, {_DETECT.replace('path', 'next.path')} AS lang, next.content FROM next LEFT JOIN had USING (path, content) WHERE had.path IS NULL),
+        lines AS MATERIALIZED (SELECT lang, unnest(string_split(content, chr(10))) AS code FROM later),
+        came AS ({' UNION ALL '.join(f"SELECT 'added' AS change, lang, {q(r.name)} AS rule FROM lines WHERE lang = {q(r.lang)} AND regexp_matches(code, {q(r.regex)})" for r in CATALOGUE.rules)})
+        SELECT change, lang, rule AS category, count(*) AS findings FROM (SELECT * FROM gone UNION ALL SELECT * FROM came) GROUP BY ALL""",
     "cwe_rollup": f"{DOCUMENTS} SELECT cwe, count(*) AS hits FROM hits JOIN {_CWE} USING (lang, rule) GROUP BY cwe",
     "cwe_mentions": f"""{DOCUMENTS} SELECT rule, sum(len(regexp_extract_all(description || ' ' || matched_text, '(CWE-[0-9]+)', 1)))::BIGINT AS mentions
         FROM hits GROUP BY rule""",

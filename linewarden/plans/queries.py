@@ -27,6 +27,7 @@ from linewarden.sources.catalogue import Catalogue
 from linewarden.sources.rules import EXTENSIONS
 from linewarden.sources.tables import read_table, spread
 from linewarden.streaming.incremental import stream_table, write_increment
+from linewarden.streaming.state import changes, refresh_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,6 +232,17 @@ def incremental_scan(spark, sf):
     return found.groupBy("lang", "category", "confidence").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def incremental_changes(spark, sf):
+    """What a second version of the corpus changes: new, edited and deleted files against the first."""
+    orders = spread(read_table(spark, sf, "orders", "o_orderkey", "o_custkey"))
+    edited = F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 == 0, 3).otherwise(0)
+    first = orders.where("o_orderkey % 5 <> 0").withColumn("o_custkey", edited)
+    state = work_folder(spark, "state")
+    refresh_sources(corpus.sources_from_orders(first), state)
+    refresh_sources(corpus.sources_from_orders(orders.where("o_orderkey % 11 <> 0")), state)
+    return changes(spark, state).groupBy("change", "lang", "category").agg(F.count(F.lit(1)).alias("findings"))
+
+
 # --- chunks and prompts -----------------------------------------------------------------------
 
 
@@ -405,7 +417,7 @@ QUERIES: dict[str, Query] = {
         static_scan_counts, document_scan_counts, hits_by_line, matched_text, multi_rule_lines, rule_join_scan, user_rules,
         lang_detect, lang_override, line_split, line_totals, static_findings, critical_only, severity_summary, run_totals,
         rule_ids, findings_per_file, json_documents, file_report, sarif_results, sarif_rules, sarif_documents, sarif_log, cwe_rollup,
-        cwe_mentions, suppressed, incremental_scan, chunk_small, chunk_lines, chunk_pages, chunk_functions, chunk_preamble, function_boundaries,
+        cwe_mentions, suppressed, incremental_scan, incremental_changes, chunk_small, chunk_lines, chunk_pages, chunk_functions, chunk_preamble, function_boundaries,
         hits_in_chunk, prompt_hits, prompt_hits_file_lines, prompts, responses, response_status, response_strict,
         response_recovered, parse_errors, coverage, near_hits, correlated, high_confidence, min_confidence_levels,
         reviewed_files, reviewed_json, reviewed_sarif, reviewed_sarif_documents, reviewed_missing, json_index, chunk_line_table,

@@ -54,8 +54,11 @@ def _scheme(path: str) -> str:
 # --- listing ----------------------------------------------------------------------------------
 
 
-def _entries(path: str) -> Iterator[tuple[str, int, bool]]:
-    """(path, length, is a folder) of what a folder holds; links are left out."""
+_LISTING = "path string, length bigint, modified bigint, folder boolean"
+
+
+def _entries(path: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(path, length, time of change in microseconds, is a folder) of what a folder holds; links are left out."""
     from pyarrow import fs
 
     system, place = open_store(path)
@@ -64,18 +67,19 @@ def _entries(path: str) -> Iterator[tuple[str, int, bool]]:
         with os.scandir(place) as found:
             for e in found:
                 if e.is_dir(follow_symlinks=False):
-                    yield scheme + e.path, 0, True
+                    yield scheme + e.path, 0, 0, True
                 elif e.is_file(follow_symlinks=False):
-                    yield scheme + e.path, e.stat(follow_symlinks=False).st_size, False
+                    info = e.stat(follow_symlinks=False)
+                    yield scheme + e.path, info.st_size, info.st_mtime_ns // 1000, False
         return
     for e in system.get_file_info(fs.FileSelector(place, allow_not_found=True)):
         if e.type in (fs.FileType.File, fs.FileType.Directory):
-            yield scheme + e.path, e.size or 0, e.type == fs.FileType.Directory
+            yield scheme + e.path, e.size or 0, (e.mtime_ns or 0) // 1000, e.type == fs.FileType.Directory
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries below each folder; after ``LISTED`` of them the folders that are left go to the next round."""
-    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())])
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.int64()), ("folder", pa.bool_())])
     for batch in batches:
         for top in batch.column(0).to_pylist():
             waiting, n = [top], 0
@@ -85,22 +89,23 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 except PermissionError:
                     continue  # like an entry that cannot be read
                 n += len(rows)
-                waiting += [path for path, _, folder in rows if folder]
-                files = [r for r in rows if not r[2]]
+                waiting += [r[0] for r in rows if r[3]]
+                files = [r for r in rows if not r[3]]
                 if files:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], schema=schema)
             if waiting:
-                yield pa.RecordBatch.from_arrays([pa.array(waiting), pa.array([0] * len(waiting)), pa.array([True] * len(waiting))], schema=schema)
+                rows = [(path, 0, 0, True) for path in waiting]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=schema)
 
 
-def _top(path: str) -> tuple[str, int, bool]:
+def _top(path: str) -> tuple[str, int, int, bool]:
     from pyarrow import fs
 
     system, place = open_store(path)
     info = system.get_file_info(place)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return _scheme(path) + place, info.size or 0, info.type == fs.FileType.Directory
+    return _scheme(path) + place, info.size or 0, (info.mtime_ns or 0) // 1000, info.type == fs.FileType.Directory
 
 
 def expand(spark: SparkSession, path: str) -> list[str]:
@@ -113,12 +118,12 @@ def expand(spark: SparkSession, path: str) -> list[str]:
 
 
 def list_files(spark: SparkSession, *paths: str, override: str | None = None) -> DataFrame:
-    """``path, length`` of the files below folders, and of single files; without an override of known extensions only."""
+    """``path, length, modified`` of the files below folders, and of single files; without an override of known extensions only."""
     if override is not None:
         override_language(override)
     tops = [_top(p) for path in paths for p in expand(spark, path)]
     folder, levels = work_folder(spark, "listing"), []
-    spark.createDataFrame(tops, "path string, length bigint, folder boolean").write.parquet(f"{folder}/0")
+    spark.createDataFrame(tops, _LISTING).write.parquet(f"{folder}/0")
     while True:
         levels.append(f"{folder}/{len(levels)}")
         found = spark.read.parquet(levels[-1]).where("folder").select("path")
@@ -126,8 +131,8 @@ def list_files(spark: SparkSession, *paths: str, override: str | None = None) ->
         if not n:
             break
         tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
-        found.repartition(tasks).mapInArrow(_listed, "path string, length bigint, folder boolean").write.parquet(f"{folder}/{len(levels)}")
-    files = spark.read.parquet(*levels).where("NOT folder").select("path", "length")
+        found.repartition(tasks).mapInArrow(_listed, _LISTING).write.parquet(f"{folder}/{len(levels)}")
+    files = spark.read.parquet(*levels).where("NOT folder").select("path", "length", "modified")
     if len(tops) > 1:
         files = files.dropDuplicates(["path"])
     return files if override is not None else files.where(detect_language(F.col("path")).isNotNull())
@@ -293,4 +298,4 @@ def read_pieces(files: DataFrame, range_bytes: int = RANGE_BYTES, mark: str = ""
 
 
 def is_single_file(paths: tuple[str, ...]) -> bool:
-    return len(paths) == 1 and not any(c in paths[0] for c in "*?{[") and not _top(paths[0])[2]
+    return len(paths) == 1 and not any(c in paths[0] for c in "*?{[") and not _top(paths[0])[3]

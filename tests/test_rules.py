@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 from dataclasses import replace
@@ -7,6 +8,8 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from linewarden.functions.ambiguity import exponential
+from linewarden.functions.required import required_texts
 from linewarden.functions.text import split_lines
 from linewarden.operators.scan import MAX_LITERAL_RULES, file_hits, scan_lines, scan_lines_by_join
 from linewarden.sources.catalogue import Catalogue, Rule
@@ -223,6 +226,42 @@ def test_large_catalogue_uses_the_join(spark):
     assert {r["rule"] for r in scan_lines(lines, catalogue).collect()} == {"gets", "r7", "r77"}
 
 
+def test_thousands_of_rules_meet_only_by_grams(spark):
+    words = [f"{a}{b}{c}" for a in ("get", "put", "do", "x") for b in ("_", ".", "") for c in range(420)]
+    many = [Rule("C", f"r{i}", rf"\b{re.escape(w)}\s*\(", "LOW", "d") for i, w in enumerate(words)]
+    many += [Rule("C", f"two{i}", rf"(alpha{i}|beta{i});", "LOW", "d") for i in range(5)] + [Rule("C", "digits", r"\d{7}", "LOW", "d")]
+    catalogue = Catalogue(tuple(replace(r, rule_ord=i) for i, r in enumerate(many, 1)))
+    assert len(catalogue.rules) > 5_000
+    rng = random.Random(2)
+    pieces = [w + rng.choice(["(", " (", "x(", ";"]) for w in rng.sample(words, 300)] + ["alpha1;", "beta1;", "alpha3; beta3;", "1234567", "ab"]
+    codes = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(400)]
+    lines = spark.createDataFrame([("f", "C", i, c) for i, c in enumerate(codes)], "path string, lang string, line int, code string")
+    joined = scan_lines(lines, catalogue)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = sorted((r["line"], r["rule_ord"], r["matched_text"]) for r in joined.collect())
+    patterns = [(r.rule_ord, re.compile(r.regex)) for r in catalogue.rules]
+    expected = [(i, n, m.group().strip()) for i, c in enumerate(codes) for n, p in patterns if (m := p.search(c))]
+    assert got == sorted(expected) and len(got) > 300
+
+
+def test_required_texts():
+    cases = {
+        r"\bgets\s*\(": ("gets",), r"(foo|bar+)x": ("ba", "foo"), r"a?b*": (), r"(?:ab|c\d)+ef": ("ef",), r"x{0,2}yz": ("yz",),
+        r"(?i)Process\.Start": ("process.start",), r"(?i)pipx": ("px",), r"é+": (), r"(": (), r"(?x) a b": (), r"a|b": (), "": (),
+    }
+    assert {p: required_texts(p) for p in cases} == cases
+
+
+def test_ambiguous_patterns_are_rejected(spark):
+    bad = [r"(a+)+$", r"(a*)*b", r"(a|aa)+$", r"([a-z]+\d?)*x", r"(\w+\s?)*$", r"(x+x+)+y", r"(.*)*", r"(a|b|ab)*c", r"(?i)(ab|AB)+$", r"(?<n>a+)+b"]
+    good = [r"a+$", r"a*a*b", r"(ab+)+c", r"(\w+\s)*$", r"\bf\s*\([^)]*\)", r"(a|b)*c", r"x{2,5}y", r"(\d+,)*\d+", r"(?:ab|cd)+", r"\p{L}+"]
+    assert [p for p in bad if not exponential(p)] == [] and [p for p in good if exponential(p)] == []
+    assert [r.name for r in CATALOGUE.rules if exponential(r.regex)] == []
+    mine = [{"lang": "C", "name": "slow", "regex": bad[0], "severity": "LOW", "description": "d"}]
+    assert [r[1] for r in CATALOGUE.with_rules(spark, mine).rejected] == ["slow"]
+
+
 def test_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr("linewarden.operators.scan.MAX_BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
