@@ -19,7 +19,7 @@ from linewarden.sources.catalogue import Catalogue, Rule
 from linewarden.sources.rules import LANGUAGES
 
 HIT_COLUMNS = ("rule_ord", "rule", "severity", "description", "matched_text")
-_HIT_TYPE = "array<struct<rule_ord:int,rule:string,severity:string,description:string,matched_text:string>>"
+_HIT_TYPES = {"rule_ord": "int", "rule": "string", "severity": "string", "description": "string", "matched_text": "string"}
 
 # Above this many rules for one language the plan text grows too large; use the join form.
 MAX_LITERAL_RULES = 200
@@ -41,16 +41,19 @@ def _any_needle(folded: str, needles) -> str:
     return "(" + " OR ".join(f"contains({folded}, {sql_text(n)})" for n in wanted) + ")"
 
 
-def _rule_hit(rule: Rule, code: str, folded: str) -> str:
+def _rule_hit(rule: Rule, code: str, folded: str, fields: tuple[str, ...] = HIT_COLUMNS) -> str:
     pattern = sql_text(rule.pattern)
     match = f"rlike({code}, {pattern})"
     if rule.needles:
         match = f"{_any_needle(folded, rule.needles)} AND {match}"
-    return (
-        f"CASE WHEN {match} THEN named_struct('rule_ord', {rule.rule_ord}, 'rule', {sql_text(rule.name)}, "
-        f"'severity', {sql_text(rule.severity)}, 'description', {sql_text(rule.description)}, 'matched_text', "
-        f"regexp_replace(regexp_extract({code}, {pattern}, 0), {sql_text(TRIM_PATTERN)}, '')) END"
-    )
+    values = {
+        "rule_ord": str(rule.rule_ord),
+        "rule": sql_text(rule.name),
+        "severity": sql_text(rule.severity),
+        "description": sql_text(rule.description),
+        "matched_text": f"regexp_replace(regexp_extract({code}, {pattern}, 0), {sql_text(TRIM_PATTERN)}, '')",
+    }
+    return f"CASE WHEN {match} THEN named_struct({', '.join(f'{sql_text(c)}, {values[c]}' for c in fields)}) END"
 
 
 def _by_language(lang: str, catalogue: Catalogue, build, default: str) -> str:
@@ -71,24 +74,28 @@ def may_hit(lang: str, folded: str, catalogue: Catalogue) -> str:
     return _by_language(lang, catalogue, build, "false")
 
 
-def line_hits(lang: str, code: str, folded: str, catalogue: Catalogue) -> str:
+def line_hits(lang: str, code: str, folded: str, catalogue: Catalogue, fields: tuple[str, ...] = HIT_COLUMNS) -> str:
     """SQL expression: hits of one line as an array of structs in catalogue order."""
+    kind = "array<struct<" + ",".join(f"{c}:{_HIT_TYPES[c]}" for c in fields) + ">>"
 
     def build(rules):
-        return "array_compact(array(" + ", ".join(_rule_hit(r, code, folded) for r in rules) + "))"
+        return "array_compact(array(" + ", ".join(_rule_hit(r, code, folded, fields) for r in rules) + "))"
 
-    return _by_language(lang, catalogue, build, f"cast(array() AS {_HIT_TYPE})")
+    return _by_language(lang, catalogue, build, f"cast(array() AS {kind})")
 
 
-def scan_lines(lines: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
-    """``path, lang, line, code`` -> hits ``path, lang, line, rule_ord, rule, severity, description, matched_text``."""
+def scan_lines(lines: DataFrame, catalogue: Catalogue | None = None, fields: tuple[str, ...] = HIT_COLUMNS) -> DataFrame:
+    """``path, lang, line, code`` -> hits ``path, lang, line`` and the given fields of ``HIT_COLUMNS``.
+
+    Counts ask for few fields, so that no text is cut out of lines for them.
+    """
     catalogue = catalogue or Catalogue.builtin()
     if max(len(catalogue.of(lang)) for lang in LANGUAGES) > MAX_LITERAL_RULES:
-        return scan_lines_by_join(lines, catalogue)
-    return _scan_literal(lines, catalogue)
+        return scan_lines_by_join(lines, catalogue).select("path", "lang", "line", *fields)
+    return _scan_literal(lines, catalogue, fields)
 
 
-def _scan_literal(lines: DataFrame, catalogue: Catalogue) -> DataFrame:
+def _scan_literal(lines: DataFrame, catalogue: Catalogue, fields: tuple[str, ...] = HIT_COLUMNS) -> DataFrame:
     return (
         # settled: the condition looks at the folded text dozens of times
         settled(lines, folded=F.expr(fold_case_sql("code")))
@@ -98,10 +105,10 @@ def _scan_literal(lines: DataFrame, catalogue: Catalogue) -> DataFrame:
             "lang",
             "line",
             # the outer form keeps the optimizer from evaluating the patterns a second time in a filter
-            F.explode_outer(F.expr(line_hits("lang", "code", "folded", catalogue))).alias("hit"),
+            F.explode_outer(F.expr(line_hits("lang", "code", "folded", catalogue, fields))).alias("hit"),
         )
         .where(F.col("hit").isNotNull())
-        .select("path", "lang", "line", *[f"hit.{c}" for c in HIT_COLUMNS])
+        .select("path", "lang", "line", *[f"hit.{c}" for c in fields])
     )
 
 

@@ -13,15 +13,17 @@ from linewarden.operators.long_chunks import long_file_chunks, with_hits
 from linewarden.operators.prompts import chunk_hits, prompts
 from linewarden.operators.report import static_file_results
 from linewarden.operators.responses import parse_responses, rebase_lines
-from linewarden.operators.scan import scan_lines
+from linewarden.operators.scan import HIT_COLUMNS, scan_lines
 from linewarden.sources.catalogue import Catalogue
 from linewarden.sources.files import sources_from_files
 from linewarden.sources.ranges import RANGE_BYTES, list_files, read_pieces
 
 
-def static_hits(sources: DataFrame, catalogue: Catalogue | None = None, override: str | None = None) -> DataFrame:
-    """``path, content`` -> all rule hits, one row each."""
-    return scan_lines(explode_lines(with_language(sources, override)), catalogue)
+def static_hits(
+    sources: DataFrame, catalogue: Catalogue | None = None, override: str | None = None, fields: tuple[str, ...] = HIT_COLUMNS
+) -> DataFrame:
+    """``path, content`` -> all rule hits, one row each, with the given fields of a hit."""
+    return scan_lines(explode_lines(with_language(sources, override)), catalogue, fields)
 
 
 def static_hits_of_lines(

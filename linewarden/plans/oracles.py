@@ -13,7 +13,7 @@ from linewarden.operators.chunks import CHUNK_BYTES, FUNCTION_STARTS
 from linewarden.operators.report import SARIF_SCHEMA, SARIF_VERSION, TOOL
 from linewarden.plans.queries import CATALOGUE, USER_RULES
 from linewarden.sources import corpus
-from linewarden.sources.rules import EXTENSIONS
+from linewarden.sources.rules import EXTENSIONS, OVERRIDES
 
 # RE2 has ASCII classes; these are the Unicode ones.
 _WORD = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}"
@@ -59,6 +59,18 @@ DOCUMENT_SOURCES = f"""SELECT {_path('doc/d', 'doc_id')} AS path,
     array_to_string(list_transform(string_split(text, '. '),
         lambda s, i: {_pick(corpus.DOCUMENT_FRAGMENTS, 'doc_id * 7 + (i - 1) * 5 + length(s)')} || ' // ' || s), chr(10)) AS content
     FROM documents"""
+def _part_sources() -> str:
+    """The files of parts: the same SQL, but for names of functions, the dialect's lambda and integer division."""
+    sql = corpus.part_file_sql("list_transform", "array_to_string")
+
+    def told(text: str) -> str:
+        text = text.replace("i -> ", "lambda i: ").replace("sequence(", "generate_series(").replace(" div ", " // ").replace("element_at(array(", "list_extract(list_value(")
+        return text
+
+    return f"SELECT {told(sql['path'])} AS path, {told(sql['content'])} AS content FROM part"
+
+
+PART_SOURCES = _part_sources()
 TEXT_SOURCES = f"SELECT {_path('txt/d', 'doc_id')} AS path, text AS content FROM documents"
 PAGE_SOURCES = f"SELECT {_path('web/p', 'page_id')} AS path, html AS content FROM pages"
 
@@ -88,6 +100,7 @@ def _hits(rules=None) -> str:
 
 
 ORDERS = f"WITH {_files(ORDER_SOURCES)}, {_hits()}"
+PARTS = f"WITH {_files(PART_SOURCES)}, {_hits()}"
 DOCUMENTS = f"WITH RECURSIVE {_files(DOCUMENT_SOURCES)}, {_hits()}"
 
 _FINDING = """line::BIGINT AS line, severity, rule AS category, matched_text AS pattern, description AS explanation,
@@ -292,6 +305,13 @@ _PARSED_COLUMNS = "path, chunk_id, seq, " + _COLUMNS
 ORACLES: dict[str, str] = {
     "static_scan_counts": f"{ORDERS} SELECT lang, rule, severity, count(*) AS hits FROM hits GROUP BY ALL",
     "document_scan_counts": f"{DOCUMENTS} SELECT lang, rule, severity, count(*) AS hits FROM hits GROUP BY ALL",
+    "rule_scan_counts": f"{PARTS} SELECT lang, rule, severity, count(*) AS hits FROM hits GROUP BY ALL",
+    "extension_counts": f"""WITH {_files(PART_SOURCES)} SELECT lang, regexp_extract(path, '[^/][.]([^./]+)$', 1) AS ext, count(DISTINCT path) AS files,
+        count(*) AS lines FROM code GROUP BY ALL""",
+    "overrides": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_files(ORDER_SOURCES, lang)}, {_hits(CATALOGUE.of(lang))} SELECT lang, rule, count(*) AS hits FROM hits GROUP BY ALL)"
+        for lang in sorted(OVERRIDES.values())
+    ),
     "hits_by_line": f"{ORDERS} SELECT path, lang, line, rule_ord, rule, severity FROM hits ORDER BY path, line, rule_ord",
     "matched_text": f"{DOCUMENTS} SELECT path, line, rule, matched_text FROM hits",
     "multi_rule_lines": f"{ORDERS} SELECT path, line, count(*) AS rules FROM hits GROUP BY ALL HAVING count(*) > 1",

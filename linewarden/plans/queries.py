@@ -24,7 +24,7 @@ from linewarden.plans import audit
 from linewarden.session import work_folder
 from linewarden.sources import corpus
 from linewarden.sources.catalogue import Catalogue
-from linewarden.sources.rules import EXTENSIONS
+from linewarden.sources.rules import EXTENSIONS, OVERRIDES
 from linewarden.sources.tables import read_table, spread
 from linewarden.streaming.incremental import stream_table, write_increment
 from linewarden.streaming.state import changes, refresh_sources
@@ -38,6 +38,8 @@ USER_RULES = (
 )
 
 CATALOGUE = Catalogue.builtin()
+#: What counts of hits need of them.
+_COUNTED = ("rule_ord", "rule", "severity")
 
 
 def order_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +54,10 @@ def document_sources(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.sources_from_documents(_documents(spark, sf))
 
 
+def part_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.sources_from_parts(spread(read_table(spark, sf, "part", "p_partkey")))
+
+
 def text_sources(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.sources_from_texts(_documents(spark, sf))
 
@@ -79,17 +85,41 @@ def _flat(file_results: DataFrame) -> DataFrame:
 
 
 def static_scan_counts(spark, sf):
-    hits = audit.static_hits(order_sources(spark, sf))
+    hits = audit.static_hits(order_sources(spark, sf), fields=_COUNTED)
     return hits.groupBy("lang", "rule", "severity").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def document_scan_counts(spark, sf):
-    hits = audit.static_hits(document_sources(spark, sf))
+    hits = audit.static_hits(document_sources(spark, sf), fields=_COUNTED)
+    return hits.groupBy("lang", "rule", "severity").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def rule_scan_counts(spark, sf):
+    """Hits of all rules, on a corpus that shows each of them."""
+    hits = audit.static_hits(part_sources(spark, sf), fields=_COUNTED)
     return hits.groupBy("lang", "rule", "severity").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def extension_counts(spark, sf):
+    """Files and lines of every extension and language."""
+    lines = explode_lines(with_language(part_sources(spark, sf)))
+    return lines.groupBy("lang", text.extension(F.col("path")).alias("ext")).agg(
+        F.count_distinct("path").alias("files"), F.count(F.lit(1)).alias("lines")
+    )
+
+
+def overrides(spark, sf):
+    """Findings of the same files under every override."""
+    found = None
+    for name in sorted(OVERRIDES):
+        one = audit.static_hits(order_sources(spark, sf), override=name, fields=_COUNTED)
+        one = one.groupBy("lang", "rule").agg(F.count(F.lit(1)).alias("hits"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def hits_by_line(spark, sf):
-    return audit.static_hits(order_sources(spark, sf)).orderBy("path", "line", "rule_ord").select(
+    return audit.static_hits(order_sources(spark, sf), fields=_COUNTED).orderBy("path", "line", "rule_ord").select(
         "path", "lang", "line", "rule_ord", "rule", "severity"
     )
 
@@ -99,7 +129,7 @@ def matched_text(spark, sf):
 
 
 def multi_rule_lines(spark, sf):
-    hits = audit.static_hits(order_sources(spark, sf))
+    hits = audit.static_hits(order_sources(spark, sf), fields=("rule_ord",))
     return hits.groupBy("path", "line").agg(F.count(F.lit(1)).alias("rules")).where("rules > 1")
 
 
@@ -200,11 +230,13 @@ def sarif_documents(spark, sf):
 
 
 def sarif_log(spark, sf):
-    return report.sarif_log_lines(audit.static_audit(order_sources(spark, sf))).orderBy("part", "rule_id", "key").select("part", "text")
+    folder = work_folder(spark, "findings")
+    audit.static_audit(order_sources(spark, sf)).write.parquet(folder)
+    return report.sarif_log_lines(spark.read.parquet(folder)).orderBy("part", "rule_id", "key").select("part", "text")
 
 
 def cwe_rollup(spark, sf):
-    hits = audit.static_hits(document_sources(spark, sf)).groupBy("lang", "rule").agg(F.count(F.lit(1)).alias("n"))
+    hits = audit.static_hits(document_sources(spark, sf), fields=_COUNTED).groupBy("lang", "rule").agg(F.count(F.lit(1)).alias("n"))
     rules = CATALOGUE.to_df(spark).select("lang", F.col("name").alias("rule"), "cwe")
     return hits.join(F.broadcast(rules), ["lang", "rule"]).groupBy("cwe").agg(F.sum("n").alias("hits"))
 
@@ -341,7 +373,7 @@ def coverage(spark, sf):
 
 
 def near_hits(spark, sf):
-    near = near_lines(audit.static_hits(document_sources(spark, sf)))
+    near = near_lines(audit.static_hits(document_sources(spark, sf), fields=("rule_ord",)))
     return near.groupBy("path").agg(F.count(F.lit(1)).alias("near_lines"))
 
 
@@ -414,7 +446,7 @@ def reviewed_sarif(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        static_scan_counts, document_scan_counts, hits_by_line, matched_text, multi_rule_lines, rule_join_scan, user_rules,
+        static_scan_counts, document_scan_counts, rule_scan_counts, extension_counts, overrides, hits_by_line, matched_text, multi_rule_lines, rule_join_scan, user_rules,
         lang_detect, lang_override, line_split, line_totals, static_findings, critical_only, severity_summary, run_totals,
         rule_ids, findings_per_file, json_documents, file_report, sarif_results, sarif_rules, sarif_documents, sarif_log, cwe_rollup,
         cwe_mentions, suppressed, incremental_scan, incremental_changes, chunk_small, chunk_lines, chunk_pages, chunk_functions, chunk_preamble, function_boundaries,

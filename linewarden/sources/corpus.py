@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from linewarden.functions.columns import settled
 from linewarden.functions.text import sql_text
+from linewarden.sources.rules import EXTENSIONS
+from linewarden.sources.samples import FINDS
 
 EXTENSION_CYCLE = (".c", ".cpp", ".cs", ".rs")
 
@@ -92,6 +94,41 @@ def sources_from_pages(pages: DataFrame) -> DataFrame:
     return pages.select(_path("web/p", F.col("page_id")).alias("path"), F.col("html").alias("content"))
 
 
+#: Extensions of one language stand at the same place as its lines.
+_LANGUAGE_EXTENSIONS = tuple((lang, tuple(e for e, name in EXTENSIONS.items() if name == lang)) for lang in FINDS)
+
+
+def part_file_sql(array_fn: str, join_fn: str) -> dict[str, str]:
+    """Path and content of a file per part as SQL, the same in every dialect but for the names of two array functions.
+
+    Languages and their extensions take turns; each of the seven lines shows what one rule of the language finds.
+    """
+
+    def quoted(text: str) -> str:
+        return "concat(" + ", chr(92), ".join(f"'{x}'" for x in text.replace("'", "''").split("\\")) + ")"
+
+    def pick(values, index: str) -> str:
+        return f"element_at(array({', '.join(map(quoted, values))}), cast({index} % {len(values)} + 1 AS int))"
+
+    n = len(_LANGUAGE_EXTENSIONS)
+    paths = " ".join(f"WHEN {k} THEN {pick(exts, f'(p_partkey div {n})')}" for k, (_, exts) in enumerate(_LANGUAGE_EXTENSIONS))
+    codes = " ".join(
+        f"WHEN {k} THEN {join_fn}({array_fn}(sequence(0, 6), i -> {pick(FINDS[lang].values(), f'(p_partkey div {n} * 7 + i)')}), chr(10))"
+        for k, (lang, _) in enumerate(_LANGUAGE_EXTENSIONS)
+    )
+    return {
+        "path": f"concat('part/p', cast(p_partkey AS string), '.', CASE p_partkey % {n} {paths} END)",
+        "content": f"CASE p_partkey % {n} {codes} END",
+    }
+
+
+def sources_from_parts(parts: DataFrame) -> DataFrame:
+    """One file of seven lines per part, in all languages, extensions and rules."""
+    sql = part_file_sql("transform", "array_join")
+    # SQL text in the other dialect doubles a quote where Spark's escapes it
+    return parts.select(*[F.expr(sql[c].replace("''", "\\'")).alias(c) for c in ("path", "content")])
+
+
 # Shapes of an answer, chosen per chunk: clean arrays, arrays in prose, arrays with a confidence or
 # with foreign keys, unquoted keys, a missing key, a cut array, an empty array and plain prose.
 RESPONSE_SHAPES = 9
