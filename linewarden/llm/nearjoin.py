@@ -42,10 +42,15 @@ FAN_IN = 64
 #: Cells up to this size are joined pair by pair; larger ones get so many pivots a round (the first round one),
 #: for so many rounds; what is left then is joined pair by pair.
 SMALL_CELL, PIVOTS, ROUNDS = 8, 2, 3
+#: Tasks that the cells of one main component are dealt into.
+SPREAD = 16
 #: Cells with at most so many pairs between components for each member are joined pair by pair, too; and all cells
 #: are, as soon as all of them together have no more.
 CROSSING = 64
 
+#: Words of the folded bitmap of a set.
+FOLD = tuple(f"w{k}" for k in range(8))
+
 _U = np.uint64
 
 
@@ -60,23 +65,31 @@ def _set_id(hashes: np.ndarray) -> int:
         return int(mix(mix(hashes + _U(11)).sum(dtype=np.uint64) + _U(len(hashes))).view(np.int64)) if len(hashes) else 0
 
 
-SETS = "place long, sid long, n int, part int, block int, counts binary"
+def _folded(hashes: np.ndarray) -> np.ndarray:
+    """A set as a bitmap of ``FOLD``: two sets differ by as many elements as their bitmaps by bits, or by more."""
+    bits = np.zeros(64 * len(FOLD), bool)
+    bits[(mix(hashes + _U(5)) % _U(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+SETS = f"place long, sid long, n int, part int, block int, counts binary, {', '.join(f'{w} long' for w in FOLD)}"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Identity and size of every document's set, and at the end this task's counts of shingles."""
     from pyspark import TaskContext
 
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    schema = pa.schema(list(zip(("place", "sid", "n", "part", "block", "counts"), types, strict=True)))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * len(FOLD)]
+    schema = pa.schema(list(zip(("place", "sid", "n", "part", "block", "counts", *FOLD), types, strict=True)))
     part = TaskContext.get().partitionId()
     counters = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         sid, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
+        folded = np.zeros((batch.num_rows, len(FOLD)), np.int64)
         waiting: list[np.ndarray] = []
         held = 0
         for row, hashes in shingle_sets(batch.column(1)):
-            sid[row], n[row] = _set_id(hashes), len(hashes)
+            sid[row], n[row], folded[row] = _set_id(hashes), len(hashes), _folded(hashes)
             waiting.append((hashes & _U(COUNTERS - 1)).astype(np.int64))
             held += len(hashes)
             if held >= COUNTERS:
@@ -86,13 +99,14 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counters += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         none = pa.nulls(batch.num_rows, pa.int32())
         columns = [batch.column(0), pa.array(sid), pa.array(n), none, none, pa.nulls(batch.num_rows, pa.binary())]
+        columns += [pa.array(folded[:, k]) for k in range(len(FOLD))]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
     if counters.any():
         small = np.minimum(counters, (1 << 32) - 1).astype("<u4").reshape(-1, BLOCK)
         k = len(small)
         none = pa.nulls(k, pa.int64())
         columns = [none, none, pa.nulls(k, pa.int32()), pa.array(np.full(k, part, np.int32))]
-        columns += [pa.array(np.arange(k), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())]
+        columns += [pa.array(np.arange(k), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary()), *[none] * len(FOLD)]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -275,16 +289,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b) of all pairs within cells whose components differ and whose sizes allow a link, each pair once."""
+    """(a, b) of all pairs within cells whose components differ and whose sizes and bitmaps allow a link, each pair once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        main, region, sid, n, comp = (np.concatenate(c) for c in zip(*got, strict=True))
+        main, region, sid, n, comp, *words = (np.concatenate(c) for c in zip(*got, strict=True))
         order = np.argsort(region, kind="stable")
         main, region, sid, n, comp = main[order], region[order], sid[order], n[order].astype(np.int64), comp[order]
+        words = np.stack([w[order] for w in words], 1).view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
         held: list[np.ndarray] = []
         count = 0
@@ -296,6 +311,9 @@ def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 right = np.tile(np.arange(a, b), len(outside[k : k + 256]))
                 least, most = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
                 good = (comp[left] != comp[right]) & (100 * least >= percent * most)
+                left, right = left[good], right[good]
+                apart = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64)
+                good = 100 * (n[left] + n[right] - apart) >= percent * (n[left] + n[right] + apart)
                 x, y = sid[left[good]], sid[right[good]]
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 count += len(x)
@@ -339,18 +357,22 @@ def _pairs(live: DataFrame, percent: int, first: bool, last: bool) -> tuple[Data
     A cell is joined pair by pair if it is small, or if few of its pairs stand between different components, so
     that their number stays in proportion to its size.
     """
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    both = F.col("n") + F.col("m")
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (100 * (both - F.col("apart")) >= percent * (both + F.col("apart")))
     direct = F.lit(True) if last else (F.col("size") <= SMALL_CELL)
     if not first:
         direct = direct | (F.col("size") * F.col("size") - F.col("inner") <= 2 * CROSSING * F.col("size"))
-    # Cells of one group of copies have the same main component; dealt by it, their pairs meet before they leave.
-    few = live.where(direct).select("main", "region", "sid", "n", "comp").repartition(F.col("main"))
+    # Cells of one group of copies have the same main component; dealt by it, into a few tasks, most of their pairs
+    # meet before they leave.
+    few = live.where(direct).select("main", "region", "sid", "n", "comp", *FOLD).repartition(F.col("main"), F.pmod("region", F.lit(SPREAD)))
     small = few.mapInArrow(_crossing(percent), "a long, b long")
     large = live.where(~direct)
-    ranked = F.struct((-F.col("degree")).alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
+    ranked = F.struct((-F.col("degree")).alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"), *[F.col(w).alias(f"p{w}") for w in FOLD])
     slot = F.lit(0) if first else F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS))
-    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c")
-    star = large.join(pivots, "region").where("sid <> b").select("region", F.col("sid").alias("a"), "b", "n", "m", "degree", "comp", "c")
+    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c", *[f"p.p{w}" for w in FOLD])
+    apart = F.expr(" + ".join(f"bit_count({w} ^ p{w})" for w in FOLD)).alias("apart")
+    star = large.join(pivots, "region").where("sid <> b")
+    star = star.select("region", F.col("sid").alias("a"), "b", "n", "m", "degree", "comp", "c", apart, *FOLD)
     return small, star.withColumn("compare", (F.col("comp") != F.col("c")) & fits)
 
 
@@ -360,7 +382,7 @@ def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     If one of two linked members was measured within the radius of a pivot, both lie within twice the radius, and
     it is in the pivot's component from now on; the other one matters only if it was not.  So a near cell takes no
     members of its pivot's component, and the far cell all that were not measured within the radius of a pivot.
-    Distances of sizes too far apart to be measured are bounded by the sizes.
+    Distances that were not measured are bounded by the sizes and by the bits in which the bitmaps differ.
     """
     radius = (100 - percent) / 100
     d = (1 - F.col("common") / F.col("total")).alias("d")
@@ -369,10 +391,11 @@ def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     pivots = star.select("region", F.col("b").alias("a")).distinct()
     known = pairs.join(measured, ["ta", "tb"], "left").join(pivots, ["region", "a"], "left_anti")
     known = known.withColumn("d", F.when(F.col("comp") != F.col("c"), F.col("d")))
-    least = F.coalesce("d", 1 - F.least("n", "m") / F.greatest("n", "m"))
-    member = [F.col("a").alias("sid"), F.col("n"), F.col("degree")]
+    by_bits = 2 * F.col("apart") / (F.col("n") + F.col("m") + F.col("apart"))
+    least = F.coalesce("d", F.greatest(1 - F.least("n", "m") / F.greatest("n", "m"), by_bits))
+    member = [F.col("a").alias("sid"), F.col("n"), F.col("degree"), *[F.col(w) for w in FOLD]]
     near = known.where((F.col("comp") != F.col("c")) & (least <= 2 * radius + 1e-9)).select(F.xxhash64("region", "b").alias("region"), *member)
-    nearest = known.groupBy("region", "a", "n", "degree").agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
+    nearest = known.groupBy("region", "a", "n", "degree", *FOLD).agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
     far = nearest.where(F.col("d") > radius - 1e-9)
     return near.union(far.select(F.xxhash64("region", F.lit("far")).alias("region"), *member))
 
@@ -392,6 +415,8 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     cells = _stored(spark, merged.distinct(), "regions")
     # A document that lies in many regions is close to many others and makes a good pivot.
     degree = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
+    bitmaps = survey.where("n > 0").groupBy("sid").agg(*[F.min(w).alias(w) for w in FOLD])
+    degree = degree.join(bitmaps, "sid")
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for number in range(ROUNDS + 1):
