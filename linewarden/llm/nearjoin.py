@@ -42,6 +42,8 @@ FAN_IN = 64
 #: Cells up to this size are joined pair by pair; larger ones get so many pivots a round (the first round one),
 #: for so many rounds; what is left then is joined pair by pair.
 SMALL_CELL, PIVOTS, ROUNDS = 8, 2, 3
+#: Bytes of texts that are hashed at a time.
+CHUNK = 1 << 20
 #: Tasks that the cells of one main component are dealt into.
 SPREAD = 16
 #: Cells with at most so many pairs between components for each member are joined pair by pair, too; and all cells
@@ -88,7 +90,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = np.zeros((batch.num_rows, len(FOLD)), np.int64)
         waiting: list[np.ndarray] = []
         held = 0
-        for row, hashes in shingle_sets(batch.column(1)):
+        for row, hashes in shingle_sets(batch.column(1), chunk=CHUNK):
             sid[row], n[row], folded[row] = _set_id(hashes), len(hashes), _folded(hashes)
             waiting.append((hashes & _U(COUNTERS - 1)).astype(np.int64))
             held += len(hashes)
@@ -151,7 +153,7 @@ def _regions(frequency, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in batches:
             shingles: list[np.ndarray] = []
             sids, sizes, lengths = [], [], []
-            for _, hashes in shingle_sets(batch.column(0)):
+            for _, hashes in shingle_sets(batch.column(0), chunk=CHUNK):
                 if not len(hashes):
                     continue
                 sid = _set_id(hashes)
@@ -225,7 +227,7 @@ def _sets(needed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for batch in batches:
             texts = batch.column(1).filter(pa.array(bits[_slot(np.asarray(batch.column(0)))]))
             sids, sets = [], []
-            for _, hashes in shingle_sets(texts):
+            for _, hashes in shingle_sets(texts, chunk=CHUNK):
                 if len(hashes):
                     sids.append(_set_id(hashes))
                     sets.append(hashes.tobytes())
