@@ -95,9 +95,9 @@ def decode_responses(responses: DataFrame) -> DataFrame:
     strict = settled(strict, tokens=F.when(~F.col("is_strict"), object_tokens(F.col("body"))))
     strict = settled(strict, spans=object_spans(F.col("tokens")))
     strict = settled(strict, objects=object_texts(F.col("tokens"), F.col("spans")))
-    recovered = strict.withColumn(
-        "recovered",
-        F.when(
+    recovered = settled(
+        strict,
+        recovered=F.when(
             ~F.col("is_strict"),
             F.filter(
                 F.transform("objects", _recovered_finding),

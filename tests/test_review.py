@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from linewarden.functions.json_text import field, first_array, objects
 from linewarden.operators.correlate import correlate, near_lines
 from linewarden.operators.findings import CONFIDENCES, min_confidence, suppress, with_severity
-from linewarden.operators.responses import decode_responses, parse_responses, rebase_lines, response_coverage
+from linewarden.operators.responses import decode_responses, parse_responses, rebase_lines, response_coverage, unreviewed_lines
 from linewarden.plans.audit import build_prompts, review, review_sources, static_audit, static_hits
 
 GOOD = {"line": 3, "severity": "HIGH", "category": "c", "pattern": "p", "explanation": "e", "suggestion": "s"}
@@ -127,6 +128,32 @@ def test_recovered_answers(spark):
     assert got[2][1][0]["pattern"] == "a { b }"
 
 
+def test_answers_of_many_objects_are_read_in_proportion(spark):
+    one = '{line: 7 severity: "LOW" type: "t" risk: "r {x} \\"q\\"" fix: "f"}'
+
+    def seconds(n):
+        start = time.perf_counter()
+        [(status, answer)] = decode(spark, "é" + ", ".join([one] * n))
+        assert status == "recovered" and len(answer) == n
+        return time.perf_counter() - start
+
+    seconds(10)
+    few, many = seconds(400), seconds(3200)
+    assert many < 12 * few + 1
+
+
+def test_unreviewed_lines(spark):
+    chunks = [("a.c", k, 1 + 10 * k, 10) for k in range(6)] + [("b.c", 0, 1, 3), ("b.c", 1, 4, 2), ("c.c", 0, 1, 5), ("d.c", 0, 1, 0)]
+    answers = [("a.c", 0, "[]"), ("a.c", 3, "[]"), ("a.c", 1, None), ("c.c", 0, "[]"), ("c.c", 0, "[1]")]
+    got = unreviewed_lines(
+        spark.createDataFrame(chunks, "path string, chunk_id int, start_line int, line_count int"),
+        spark.createDataFrame(answers, "path string, chunk_id int, response string"),
+    )
+    assert sorted(map(tuple, got.collect())) == [
+        ("a.c", 11, 30, "partly reviewed"), ("a.c", 41, 60, "partly reviewed"), ("b.c", 1, 5, "unreviewed"),
+    ]
+
+
 def test_error_row(spark):
     status, answer = decode(spark, "é" * 500)[0]
     assert status == "failed"
