@@ -17,5 +17,5 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
         [(name, value)] = columns.items()
         return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
     value = F.struct(*[v.alias(k) for k, v in columns.items()])
-    one = df.select(*kept, F.explode_outer(F.array(value)).alias("settled"))
-    return one.select(*kept, *[F.col(f"settled.{k}").alias(k) for k in columns])
+    one = df.select(*kept, F.explode_outer(F.array(value)).alias("__settled"))
+    return one.select(*kept, *[F.col(f"__settled.{k}").alias(k) for k in columns])

@@ -103,6 +103,26 @@ def sarif_fragments(files: DataFrame, findings: DataFrame, root: str | None = No
     return with_commas(every, 1, 3)
 
 
+# --- text -------------------------------------------------------------------------------------
+
+
+def report_fragments(files: DataFrame, findings: DataFrame, unreviewed: DataFrame) -> DataFrame:
+    """Fragments of the text section of every file, a line or a finding each.
+
+    ``unreviewed`` has ``path, first_line, last_line`` of lines that no answer covers: they are named, and a
+    file reads as one without findings only if nothing of it is left out.
+    """
+    named = files.select(F.col("path").alias("file"), F.col("lang").alias("language"))
+    heads = named.select("file", _fragment(0, report.report_head(F.col("language"), F.col("file"))).alias("x"))
+    entry = report.report_entry(F.struct(*FINDING_FIELDS))
+    entries = findings.select(F.col("path").alias("file"), _fragment(1, entry, F.col("chunk_id"), F.col("seq")).alias("x"))
+    told = F.format_string("  Not reviewed: lines %d to %d", F.col("first_line"), F.col("last_line"))
+    gaps = unreviewed.select(F.col("path").alias("file"), _fragment(2, told, F.col("first_line")).alias("x"))
+    some = findings.select(F.col("path").alias("file")).union(unreviewed.select("path")).distinct()
+    clean = named.join(some, "file", "left_anti").select("file", _fragment(3, F.lit(report.NO_FINDINGS)).alias("x"))
+    return heads.unionByName(entries).unionByName(gaps).unionByName(clean).select("file", "x.*")
+
+
 # --- writing ----------------------------------------------------------------------------------
 
 

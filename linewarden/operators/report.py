@@ -226,24 +226,33 @@ def write_sarif_log(findings: DataFrame, path: str, mode: str = "errorifexists",
 # --- text and run summary ---------------------------------------------------------------------
 
 
-def file_report(file_results: DataFrame) -> DataFrame:
-    """``file, language, finding_count, section``: the text section of each file, without colours."""
-    line = lambda f: F.when(f["line"].isNull(), "—").otherwise(F.concat(F.lit("line "), f["line"].cast("string")))
+# --- fixed values: the text of a report ---------------------------------------------------------
+NO_FINDINGS, NO_LINE = "  No findings", "—"
+PATTERN_LABEL, RISK_LABEL, FIX_LABEL = "  Pattern   : ", "  Risk      : ", "  Fix       : "
+
+
+def report_head(language: Column, file: Column) -> Column:
+    return F.concat(F.lit("["), language, F.lit("] "), file)
 
-    def entry(f):
-        head = F.concat(
-            F.lit("\n  ["), f["severity"], F.lit("] "), f["category"], F.lit(" "), line(f), F.lit(" ["),
-            F.lower(f["confidence"]), F.lit("]\n"),
-        )
-        pattern = F.when(f["pattern"] == "", "").otherwise(F.concat(F.lit("  Pattern   : "), f["pattern"], F.lit("\n")))
-        return F.concat(head, pattern, F.lit("  Risk      : "), f["explanation"], F.lit("\n  Fix       : "), f["suggestion"])
 
-    body = F.when(F.size("findings") == 0, "  No findings").otherwise(F.array_join(F.transform("findings", entry), "\n"))
+def report_entry(f: Column) -> Column:
+    """The text of a finding struct, without colours."""
+    line = F.when(f["line"].isNull(), NO_LINE).otherwise(F.concat(F.lit("line "), f["line"].cast("string")))
+    head = F.concat(
+        F.lit("\n  ["), f["severity"], F.lit("] "), f["category"], F.lit(" "), line, F.lit(" ["), F.lower(f["confidence"]), F.lit("]\n")
+    )
+    pattern = F.when(f["pattern"] == "", "").otherwise(F.concat(F.lit(PATTERN_LABEL), f["pattern"], F.lit("\n")))
+    return F.concat(head, pattern, F.lit(RISK_LABEL), f["explanation"], F.lit("\n" + FIX_LABEL), f["suggestion"])
+
+
+def file_report(file_results: DataFrame) -> DataFrame:
+    """``file, language, finding_count, section``: the text section of each file, without colours."""
+    body = F.when(F.size("findings") == 0, NO_FINDINGS).otherwise(F.array_join(F.transform("findings", report_entry), "\n"))
     return file_results.select(
         "file",
         "language",
         F.size("findings").alias("finding_count"),
-        F.concat(F.lit("["), "language", F.lit("] "), "file", F.lit("\n"), body).alias("section"),
+        F.concat(report_head(F.col("language"), F.col("file")), F.lit("\n"), body).alias("section"),
     )
 
 

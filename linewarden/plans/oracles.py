@@ -265,6 +265,9 @@ def _commas(body: str, part: int, keys: str, order: str, source: str) -> str:
     return f"SELECT path AS file, {part} AS part, {keys}, {comma} || {body} AS text FROM {source}"
 
 
+_ENTRY = """chr(10) || '  [' || severity || '] ' || category || ' ' || CASE WHEN line IS NULL THEN '—' ELSE 'line ' || line END || ' [' ||
+    lower(confidence) || ']' || chr(10) || CASE WHEN pattern = '' THEN '' ELSE '  Pattern   : ' || pattern || chr(10) END ||
+    '  Risk      : ' || explanation || chr(10) || '  Fix       : ' || suggestion"""
 _NO_KEYS = "NULL AS name, NULL AS major, NULL AS minor"
 _ROW_KEYS = "NULL AS name, chunk_id::BIGINT AS major, seq::BIGINT AS minor"
 
@@ -407,6 +410,16 @@ ORACLES: dict[str, str] = {
         || '"runs":[{{"tool":{{"driver":{{"name":"{TOOL['name']}","version":"{TOOL['version']}","rules":['), (2, ']}}}},"results":['), (4, ']}}]}}')) t(part, text)
         UNION ALL {_commas(_SARIF_RULE, 1, "category AS name, NULL AS major, NULL AS minor", 'category', '(SELECT DISTINCT path, category FROM reviewed)')}
         UNION ALL {_commas(_SARIF_RESULT, 3, _ROW_KEYS, 'chunk_id, seq', 'reviewed')}""",
+    "reviewed_report": f"""{REVIEW}, covered AS (SELECT path, start_line, start_line + line_count - 1 AS last_line, start_line % 3 = 0 AS missing
+            FROM chunks WHERE line_count > 0),
+        ranged AS (SELECT *, sum(CASE WHEN missing AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY start_line) AS k FROM (
+            SELECT *, coalesce(lag(missing) OVER (PARTITION BY path ORDER BY start_line), false) AS before FROM covered)),
+        gaps AS (SELECT path, min(start_line) AS a, max(last_line) AS b FROM ranged WHERE missing GROUP BY path, k),
+        told AS (SELECT * FROM reviewed SEMI JOIN (SELECT path, chunk_id FROM answers WHERE start_line % 3 <> 0) USING (path, chunk_id))
+        SELECT path AS file, 0 AS part, {_NO_KEYS}, '[' || lang || '] ' || path AS text FROM files
+        UNION ALL SELECT path, 1, {_ROW_KEYS}, {_ENTRY} FROM told
+        UNION ALL SELECT path, 2, NULL, a, NULL, '  Not reviewed: lines ' || a || ' to ' || b FROM gaps
+        UNION ALL SELECT path, 3, {_NO_KEYS}, '  No findings' FROM files WHERE path NOT IN (SELECT path FROM told) AND path NOT IN (SELECT path FROM gaps)""",
     "json_index": f"""{DOCUMENTS}, docs AS (SELECT f.path AS file, strlen('{{"file":' || {_json('f.path')} || ',"language":' || {_json('f.lang')} || ',"findings":[')
         + 3 + coalesce(sum(strlen(body) + 1), 0) + count(body) - (count(body) > 0)::INT + 1 AS bytes
         FROM files f LEFT JOIN (SELECT *, {_FINDING_JSON} AS body FROM {_STATIC}) x ON x.path = f.path GROUP BY f.path, f.lang)

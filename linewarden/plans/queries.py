@@ -412,6 +412,16 @@ def reviewed_sarif_documents(spark, sf):
     return documents.sarif_fragments(document_files(spark, sf), _stored_review(spark, sf))
 
 
+def reviewed_report(spark, sf):
+    """The text sections of all files, where every third chunk has no answer."""
+    chunks = chunking.chunk_files(document_files(spark, sf)).drop("content")
+    answers = document_responses(spark, sf).where("start_line % 3 <> 0")
+    folder = work_folder(spark, "reviewed")
+    audit.review(answers, audit.static_hits(document_sources(spark, sf), fields=_COUNTED)).write.parquet(folder)
+    found = spark.read.parquet(folder)
+    return documents.report_fragments(document_files(spark, sf).select("path", "lang"), found, unreviewed_lines(chunks, answers))
+
+
 def json_index(spark, sf):
     """Where the JSON document of each file stands among all documents."""
     results = audit.static_results(document_sources(spark, sf))
@@ -452,7 +462,7 @@ QUERIES: dict[str, Query] = {
         cwe_mentions, suppressed, incremental_scan, incremental_changes, chunk_small, chunk_lines, chunk_pages, chunk_functions, chunk_preamble, function_boundaries,
         hits_in_chunk, prompt_hits, prompt_hits_file_lines, prompts, responses, response_status, response_strict,
         response_recovered, parse_errors, coverage, near_hits, correlated, high_confidence, min_confidence_levels,
-        reviewed_files, reviewed_json, reviewed_sarif, reviewed_sarif_documents, reviewed_missing, json_index, chunk_line_table,
+        reviewed_files, reviewed_json, reviewed_sarif, reviewed_sarif_documents, reviewed_missing, reviewed_report, json_index, chunk_line_table,
         chunk_function_table,
     )
 }
