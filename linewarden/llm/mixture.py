@@ -1,8 +1,8 @@
 """Mixing sources to target weights by apportioned blocks.
 
 Every source's documents are dealt to shards by a seeded hash and laid end to end; a shard is cut into equal
-blocks of words.  Sainte-Laguë apportionment allots blocks to sources, and within a source to shards, by
-highest quotients, so that quotas are whole numbers; a seeded order says which blocks of a shard are taken.
+blocks of words, smaller ones for small sources.  Sainte-Laguë apportionment allots blocks to the sources that share a
+block size, and within a source to bundles of shards and to shards, by highest quotients, so that quotas are whole numbers; a seeded order says which blocks of a shard are taken.
 What is taken of a document is the sum of its overlaps with taken blocks.
 
 Defined results: NULL and blank texts have size 0 and take nothing; a NULL source is a source of its own, the
@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Words of a block, and about how many words a shard holds.
 BLOCK, SHARD = 256, 32_768
+#: Blocks that a source has at least, where it has as many words; and shards of a bundle.
+BLOCKS_OF_SOURCE, BUNDLE = 64, 4_096
 #: Documents of a run of like sizes in which whole copies are dealt out, and a document's part as whole numbers.
 RUN, WHOLE_BITS = 1_000, 30
 #: Tables of sources up to this many rows are sent to every task; larger ones are joined by a shuffle.
@@ -131,32 +133,40 @@ def _mixed(
     by_source = sized.groupBy("__source").agg(F.sum("size").alias("source_size"))
     folder = work_folder(spark, "mixture-sources")
     aimed = targets(by_source, share, weights, most)
-    wanted = F.round(F.sum("target").over(Window.partitionBy()) / block)
-    apportion(aimed.withColumn("seats", wanted), F.col("target"), F.col("seats"), ("__source",)).drop("seats").withColumnRenamed(
-        "quota", "__blocks"
-    ).write.parquet(folder)
+    # Sources of like sizes share equal blocks; a small source has blocks of about a 64th of its words.
+    least = F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest("source_size", F.lit(1))))) / BLOCKS_OF_SOURCE)
+    aimed = aimed.withColumn("__block_words", F.least(F.lit(block), F.greatest(F.lit(1), least)).cast("long"))
+    wanted = F.round(F.sum("target").over(Window.partitionBy("__block_words")) / F.col("__block_words"))
+    apportion(aimed.withColumn("seats", wanted), F.col("target"), F.col("seats"), ("__source",), ("__block_words",)).drop(
+        "seats"
+    ).withColumnRenamed("quota", "__blocks").write.parquet(folder)
     sources = spark.read.parquet(folder)
 
     placed = _placed(sized, sources, seed)
-    shards = placed.groupBy("__source", "__shard", "__blocks").agg(F.sum("size").alias("words"))
-    shards = apportion(shards, F.col("words"), F.col("__blocks"), ("__source", "__shard"), ("__source",))
-    n = F.greatest(F.lit(1), F.round(F.col("words") / block).cast("long"))
+    bundle = F.floor(F.col("__shard") / BUNDLE).alias("__bundle")
+    shards = placed.groupBy("__source", "__shard", bundle, "__blocks", "__block_words").agg(F.sum("size").alias("__words"))
+    # A source's blocks go to bundles of shards first, so no window holds all shards of a hot source.
+    bundles = shards.groupBy("__source", "__bundle", "__blocks").agg(F.sum("__words").alias("__words"))
+    bundles = apportion(bundles, F.col("__words"), F.col("__blocks"), ("__source", "__bundle"), ("__source",))
+    shards = shards.drop("__blocks").join(bundles.select("__source", "__bundle", F.col("quota").alias("__blocks")), ["__source", "__bundle"])
+    shards = apportion(shards, F.col("__words"), F.col("__blocks"), ("__source", "__shard"), ("__source", "__bundle"))
+    n = F.greatest(F.lit(1), F.round(F.col("__words") / F.col("__block_words")).cast("long"))
     shards = shards.withColumn("__n", n).withColumn("quota", F.least("quota", F.lit(int(most)) * F.col("__n")))
-    shards = shards.select("__source", "__shard", "words", "quota", "__n")
+    shards = shards.select("__source", "__shard", "__words", F.col("quota").alias("__quota"), "__n")
 
     # Documents meet the blocks they overlap; a block's place in the seeded order says how often it is taken.
-    blocks = shards.where("words > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block"))
+    blocks = shards.where("__words > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block"))
     order = Window.partitionBy("__source", "__shard").orderBy(F.xxhash64(F.lit(seed + 2), "__shard", "__block"), "__block")
-    times = F.floor(F.col("quota") / F.col("__n")) + (F.row_number().over(order) <= F.col("quota") % F.col("__n")).cast("long")
+    times = F.floor(F.col("__quota") / F.col("__n")) + (F.row_number().over(order) <= F.col("__quota") % F.col("__n")).cast("long")
     blocks = blocks.withColumn("__times", times).select("__source", "__shard", "__block", "__times")
     cut = placed.where("size > 0").join(shards, ["__source", "__shard"])
-    first = F.floor(F.col("__start") * F.col("__n") / F.col("words")).cast("long")
-    last = F.floor((F.col("__start") + F.col("size") - 1) * F.col("__n") / F.col("words")).cast("long")
+    first = F.floor(F.col("__start") * F.col("__n") / F.col("__words")).cast("long")
+    last = F.floor((F.col("__start") + F.col("size") - 1) * F.col("__n") / F.col("__words")).cast("long")
     near = F.explode(F.sequence(F.greatest(F.lit(0), first - 1), F.least(F.col("__n") - 1, last + 1)))
-    begin = F.floor(F.col("__block") * F.col("words") / F.col("__n")).cast("long")
-    end = F.floor((F.col("__block") + 1) * F.col("words") / F.col("__n")).cast("long")
+    begin = F.floor(F.col("__block") * F.col("__words") / F.col("__n")).cast("long")
+    end = F.floor((F.col("__block") + 1) * F.col("__words") / F.col("__n")).cast("long")
     overlap = F.greatest(F.lit(0), F.least(end, F.col("__start") + F.col("size")) - F.greatest(begin, F.col("__start")))
-    parts = cut.select("__source", "__shard", "__place", "size", "__start", "words", "__n", near.alias("__block"))
+    parts = cut.select("__source", "__shard", "__place", "size", "__start", "__words", "__n", near.alias("__block"))
     parts = parts.withColumn("__overlap", overlap).where("__overlap > 0")
     taken = (
         parts.join(blocks, ["__source", "__shard", "__block"])

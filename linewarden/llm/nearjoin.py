@@ -462,15 +462,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sets, labels = link_components(docs, text, percent)
     kept = [c for c in docs.columns if c not in (text, "n_shingles", "component_id")]
     named = docs.select(*kept, F.monotonically_increasing_id().alias("__place"), F.col(doc_id).alias("__id"))
-    joined = named.join(sets.withColumnRenamed("place", "__place"), "__place").join(labels, "sid", "left")
+    # Own names, so that the columns that pass through cannot clash.
+    sets = sets.select(F.col("place").alias("__place"), F.col("sid").alias("__sid"), F.col("n").alias("__n"))
+    labels = labels.select(F.col("sid").alias("__sid"), F.col("comp").alias("__comp"))
+    joined = named.join(sets, "__place").join(labels, "__sid", "left")
     # An empty set is linked with nothing, so it groups by its own row.
-    group = F.when(F.col("n") > 0, F.coalesce("comp", "sid"))
+    group = F.when(F.col("__n") > 0, F.coalesce("__comp", "__sid"))
     joined = _stored(spark, joined.withColumn("__group", group), "grouped")
     first = joined.where("__group IS NOT NULL").groupBy("__group").agg(F.min("__id").alias("component_id"))
     linked = joined.where("__group IS NOT NULL").join(first, "__group")
     alone = joined.where("__group IS NULL").withColumn("component_id", F.col("__id"))
     out = linked.unionByName(alone)
-    return out.select(*kept, F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return out.select(*kept, F.col("__n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:

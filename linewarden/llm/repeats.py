@@ -426,8 +426,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     results = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     kept = [c for c in docs.columns if c != text and c not in results]
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = named.select(*kept, F.col("__row").alias("row"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("__whole"))
-    joined = base.join(touched, "row", "left")
+    base = named.select(*kept, "__row", F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("__whole"))
+    joined = base.join(touched.withColumnRenamed("row", "__row"), "__row", "left")
     return joined.select(
         *kept,
         "n_bytes",

@@ -379,6 +379,7 @@ def _with_texts(named: DataFrame, templates: DataFrame, kept: list[str], html_co
         made = [main_text(p or "", listed(t), listed(f)).encode("utf-8", "replace").decode() for p, t, f in zip(pages, templates, frames, strict=True)]
         return pd.Series(made, dtype=object)
 
-    joined = named.join(templates.withColumnRenamed("host", "__host"), ["__host", "__part"], "left")
-    out = joined.select(*kept, text(F.col(html_column).cast("string"), "template", "frame").alias("text"))
+    templates = templates.withColumnsRenamed({"host": "__host", "template": "__template", "frame": "__frame"})
+    joined = named.join(templates, ["__host", "__part"], "left")
+    out = joined.select(*kept, text(F.col(html_column).cast("string"), "__template", "__frame").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
