@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,14 +47,48 @@ COPY = 2
 BROADCAST_HOSTS, BROADCAST_TOKENS, PARTS = 20_000, 1_000_000, 32
 
 _U = np.uint64
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|title|xmp|noembed|noframes|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?/][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+#: Attributes up to the end of a tag; what is quoted does not end it.
+_ATTRIBUTES = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+"
+_RAW = "script|style|noscript|template|svg|math|iframe|textarea|title|xmp|noembed|noframes|object"
+#: After so many tags that never end, quotes and ``<`` in tags count for nothing on a page.
+ENDLESS = 16
+
+
+def _token_pattern(attributes: str) -> re.Pattern:
+    return re.compile(
+        r"<!--.*?(?:-->|$)"
+        rf"|<(?P<raw>{_RAW})\b{attributes}>.*?(?:</(?P=raw)\s*>|$)"
+        rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>{attributes})>"
+        r"|<[!?/][^>]*>"
+        r"|(?P<text>[^<]+|<)",
+        re.S | re.I,
+    )
+
+
+_TOKEN, _PLAIN_TOKEN = _token_pattern(_ATTRIBUTES), _token_pattern(r"[^<>]*+")
+#: Behind the last ``>`` there are no tags.
+_TAIL = re.compile(r"<!--.*|(?P<text>[^<]+|<)(?P<name>(?!))?(?P<close>(?!))?(?P<attributes>(?!))?", re.S)
+
+
+def _matches(page: str) -> Iterator[re.Match]:
+    """The tokens of a page in one way forward; a tag that has no end is read as text."""
+    last, at, endless, pattern = page.rfind(">"), 0, 0, _TOKEN
+    while at < len(page):
+        now = pattern if at <= last else _TAIL
+        for m in now.finditer(page, at):
+            yield m
+            at = m.end()
+            if now is _TAIL:
+                continue
+            if m["text"] == "<" and page[at : at + 1].isalpha() and pattern is _TOKEN:
+                endless += 1
+                if endless == ENDLESS:
+                    pattern = _PLAIN_TOKEN
+                    break
+            if at > last:
+                break
+
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -77,12 +112,13 @@ _SPACE = re.compile(r"\s+")
 class Token:
     """A tag or a piece of text, with what it stands in."""
 
-    __slots__ = ("key", "name", "text", "block", "frame", "article", "link", "within")
+    __slots__ = ("key", "name", "text", "block", "frame", "article", "link", "within", "heading", "depth")
 
-    def __init__(self, key: str, name: str, text: str, block: bool, frame: bool, article: bool, link: bool, within: int):
+    def __init__(self, key: str, name: str, text: str, block: bool, frame: bool, article: bool, link: bool, within: int, heading: bool, depth: int):
         self.key, self.name, self.text, self.block = key, name, text, block
         self.frame, self.article, self.link = frame, article, link
         self.within = within  # the place of the tag that opens the innermost element around it, or -1
+        self.heading, self.depth = heading, depth
 
 
 def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
@@ -99,7 +135,7 @@ def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
 
 def tokens(page: str) -> list[Token]:
     """The page as tokens; an element that is never closed ends with the one around it."""
-    found = [m for m in _TOKEN.finditer(page)]
+    found = list(_matches(page))
     closes: dict[str, int] = {}
     for m in found:
         if m["name"] and m["close"]:
@@ -108,44 +144,51 @@ def tokens(page: str) -> list[Token]:
     stack: list[tuple[str, bool, bool, int]] = []  # name, frame, article, place
     frame = article = link = depth = 0
     path, within, marked = "", -1, False  # whether a plain element was ever opened
+    opened: Counter[str] = Counter()  # open elements by name
+    headings = 0
+
+    def pop() -> str:
+        nonlocal frame, article, link, headings
+        top, was_frame, was_article, _ = stack.pop()
+        frame, article, link = frame - was_frame, article - was_article, link - (top == "a")
+        opened[top] -= 1
+        headings -= top in _HEADINGS
+        return top
+
     for m in found:
         if len(stack) != depth or (stack and stack[-1][3] != within):
             depth, path, within = len(stack), "/".join(s[0] for s in stack[-4:]), stack[-1][3] if stack else -1
         if m["text"] is not None:
-            out.append(Token(f"{path}#{m['text']}", "", m["text"], False, frame > 0, article > 0, link > 0, within))
+            out.append(Token(f"{path}#{m['text']}", "", m["text"], False, frame > 0, article > 0, link > 0, within, headings > 0, depth))
             continue
         if not m["name"]:
             continue
         name = m["name"].lower()
         if m["close"]:
             closes[name] = closes.get(name, 0) - 1
-            out.append(Token(f"{path}</{name}>", name, "", name in _BLOCKS, frame > 0, article > 0, False, within))
-            if any(s[0] == name for s in stack):
-                while True:
-                    top, was_frame, was_article, _ = stack.pop()
-                    frame, article, link = frame - was_frame, article - was_article, link - (top == "a")
-                    if top == name:
-                        break
+            out.append(Token(f"{path}</{name}>", name, "", name in _BLOCKS, frame > 0, article > 0, False, within, headings > 0, depth))
+            if opened[name]:
+                while pop() != name:
+                    pass
             continue
-        if marked and name in _BLOCKS and any(s[0] == "p" for s in stack):  # a marked paragraph ends at the next block
-            while True:
-                top, was_frame, was_article, _ = stack.pop()
-                frame, article, link = frame - was_frame, article - was_article, link - (top == "a")
-                if top == "p":
-                    break
+        if marked and name in _BLOCKS and opened["p"]:  # a marked paragraph ends at the next block
+            while pop() != "p":
+                pass
             depth, path, within = len(stack), "/".join(s[0] for s in stack[-4:]), stack[-1][3] if stack else -1
-        out.append(Token(f"{path}<{name}>", name, "", name in _BLOCKS, frame > 0, article > 0, False, within))
+        out.append(Token(f"{path}<{name}>", name, "", name in _BLOCKS, frame > 0, article > 0, False, within, headings > 0, depth))
         if name in _VOID or m["attributes"].endswith("/"):
             continue
         is_frame = _is_frame(name, m["attributes"], article > 0)
         # Unclosed elements hold nothing open, but for marked paragraphs; nor do plain paragraphs and inline elements.
         if closes.get(name, 0) <= 0 and not (name == "p" and is_frame):
             continue
-        if name in _PLAIN and not is_frame and not (marked and any(s[0] == name for s in stack)):
+        if name in _PLAIN and not is_frame and not (marked and opened[name]):
             continue
         marked = marked or name in _PLAIN
         is_article = name in ("article", "main") and not is_frame
         stack.append((name, is_frame, is_article, len(out) - 1))
+        opened[name] += 1
+        headings += name in _HEADINGS
         frame, article, link = frame + is_frame, article + is_article, link + (name == "a")
     return out
 
@@ -273,12 +316,41 @@ def _blocks(listed: list[Token], kept: set[int]) -> list[str]:
     return blocks
 
 
-def _around(listed: list[Token], k: int) -> list[int]:
-    """The elements around a token, from the page down, each by the place of its tag."""
-    up = []
-    while (k := listed[k].within) >= 0:
-        up.append(k)
-    return up[::-1]
+class _Common:
+    """The innermost element around all tokens that were added, by its place; -1 is the page.
+
+    The deeper end of two ways climbs, and ways stop at elements that are known to lie in the common one, so no
+    way is gone twice.
+    """
+
+    def __init__(self, listed: list[Token]):
+        self.listed, self.top, self.below = listed, None, set()
+
+    def _depth(self, element: int) -> int:
+        return self.listed[element].depth + 1 if element >= 0 else 0
+
+    def add(self, k: int) -> None:
+        at, way = self.listed[k].within, []
+        if self.top is None:
+            self.top = at
+        while at != self.top and at not in self.below:
+            if self._depth(at) >= self._depth(self.top):
+                way.append(at)
+                at = self.listed[at].within
+            else:
+                self.below.add(self.top)
+                self.top = self.listed[self.top].within
+        self.below.update(way)
+
+    def holds(self, k: int) -> bool:
+        at, way = self.listed[k].within, []
+        while at != self.top and at not in self.below and self._depth(at) > self._depth(self.top):
+            way.append(at)
+            at = self.listed[at].within
+        inside = at == self.top or at in self.below
+        if inside:
+            self.below.update(way)
+        return inside
 
 
 def _content(listed: list[Token], slots: list[list[int]]) -> set[int]:
@@ -288,7 +360,7 @@ def _content(listed: list[Token], slots: list[list[int]]) -> set[int]:
     """
 
     def is_menu(slot: list[int]) -> bool:
-        if any(listed[e].name in _HEADINGS for k in slot for e in _around(listed, k)):
+        if any(listed[k].heading for k in slot):
             return False
         sizes = [(len(listed[k].text.strip()), listed[k].link) for k in slot]
         return 2 * sum(n for n, link in sizes if link) > sum(n for n, _ in sizes)
@@ -296,14 +368,12 @@ def _content(listed: list[Token], slots: list[list[int]]) -> set[int]:
     filled = [s for s in slots if any(listed[k].text.strip() for k in s)]
     menus = [is_menu(s) for s in filled]
     kept = {k for s, m in zip(filled, menus, strict=True) if not m for k in s}
-    common: list[int] | None = None
+    common = _Common(listed)
     for k in kept:
         if listed[k].text.strip():
-            up = _around(listed, k)
-            same = next((i for i, (a, b) in enumerate(zip(common or up, up)) if a != b), min(len(common or up), len(up)))
-            common = up[:same] if common is None else common[:same]
-    if common and listed[common[-1]].name not in ("html", "body"):
-        kept |= {k for s, m in zip(filled, menus, strict=True) if m for k in s if common[-1] in _around(listed, k)}
+            common.add(k)
+    if common.top is not None and common.top >= 0 and listed[common.top].name not in ("html", "body"):
+        kept |= {k for s, m in zip(filled, menus, strict=True) if m for k in s if common.holds(k)}
     return kept
 
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -385,6 +386,30 @@ def test_url_rules(spark):
     assert urlrules.judge(pages, spark.createDataFrame([], "host string, path string, verdict string")).count() == len(rows)
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000, '<a "' * 250_000, "<title " * 150_000, "<div>t" * 80_000 + "</div>" * 80_000, "<div>" * 40_000 + "t" + "</div>x" * 40_000,
+     '<a "' * 200_000 + "'>'", "<!x" * 300_000, "<div><a>t</a>" * 40_000],
+)
+def test_broken_pages_take_time_in_proportion(page):
+    def seconds(text):
+        start = time.perf_counter()
+        templates.main_text(text, None, None)
+        return time.perf_counter() - start
+
+    part = page[: len(page) // 8]
+    assert seconds(page) < 24 * seconds(part) + 1
+
+
+def test_broken_tags_are_text_and_quotes_hide_ends():
+    read = lambda page: templates.main_text(page, None, None)
+    assert read("<p>one <b two</p>") == "one"
+    assert read("<p>a &lt; b</p><p>c < d") == "a < b\n\nc < d"
+    assert read("<p title='a>b'>one</p><p>two") == "one\n\ntwo"
+    assert read("<p>kept</p><!-- never closed <p>not</p>") == "kept"
+    assert read("<p>kept</p> tail <b") == "kept\n\ntail <b"
+
+
 # -- mixtures --------------------------------------------------------------------------------------------------
 
 
