@@ -6,8 +6,9 @@ logarithm of the longest chain, and finds cycles.  Arguments are checked against
 serialised with sorted keys and no blanks.  Built-in functions only; no conversation is gathered in one place.
 
 Defined results: a call without a result is ``missing``, a result without a call ``orphan``.  Of several
-calls or results with one identifier the first by turn counts (ties: the least text), others are ``repeated``;
-rows that are alike in all columns count once.  A NULL identifier never links.  A call that builds on an unknown call starts a chain; calls on a cycle, or
+calls or results with one identifier the first by turn counts (ties: the least text, then the least tool and earlier
+call), others are ``repeated``; rows that are alike in all columns count once.  A NULL identifier or conversation
+never links: such calls are ``missing``, such results ``orphan``.  A call that builds on an unknown call starts a chain; calls on a cycle, or
 behind one, have no level.  NULL or broken arguments are no object and fail.  Empty tables give empty results;
 other columns are ignored.
 """
@@ -32,9 +33,9 @@ def _json(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(text)
 
 
-def _first(df: DataFrame, tie: str) -> DataFrame:
-    """Rows with ``first``: whether a row is the first of its identifier."""
-    key = F.struct("turn", F.col(tie))
+def _first(df: DataFrame, *ties: str) -> DataFrame:
+    """Rows with ``first``: whether a row is the first of its identifier, by turn and then by ``ties``."""
+    key = F.struct("turn", *ties)
     least = df.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(key).alias("least"))
     return df.join(least, ["conv_id", "call_id"], "left").withColumn("first", F.coalesce(key == F.col("least"), F.lit(False)))
 
@@ -113,7 +114,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     fields = schemas.groupBy("tool").agg(F.array_sort(F.collect_set(F.struct("field", "type", "required"))).alias("fields"))
     if schemas.count() <= BROADCAST_SCHEMAS:
         fields = F.broadcast(fields)
-    numbered = _first(calls.join(fields, "tool", "left"), "arguments")
+    numbered = _first(calls.join(fields, "tool", "left"), "arguments", "tool", "after")
     heads = numbered.where("first").dropDuplicates(["conv_id", "call_id"])
     answers = _first(results, "content")
     taken = answers.where("first").dropDuplicates(["conv_id", "call_id"])
@@ -140,7 +141,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     marked = answers.join(heads.select("conv_id", "call_id", F.lit(True).alias("known")), ["conv_id", "call_id"], "left")
     orphans = lone(marked.where("known IS NULL"), F.lit("orphan"))
     # Of equal first rows one counts, the others are repeated; NULL identifiers are calls without a link.
-    extra_calls = lone(numbered.where("call_id IS NULL OR NOT first"), F.when(F.col("call_id").isNull(), "missing").otherwise("repeated"))
+    extra_calls = lone(numbered.where("call_id IS NULL OR NOT first"), F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "missing").otherwise("repeated"))
     extra_results = lone(marked.where("known AND NOT first"), F.lit("repeated"))
     return good.unionByName(orphans).unionByName(extra_calls).unionByName(extra_results)
 

@@ -172,6 +172,20 @@ def test_tool_calls(spark):
     assert toolcalls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_tied_calls_and_calls_without_a_conversation(spark):
+    calls = spark.createDataFrame(
+        [(1, 1, "a", None, "search", '{"limit":1}'), (1, 1, "a", None, "count", '{"limit":1}'), (1, 1, "a", "z", "count", '{"limit":1}')]
+        + [(1, 1, "a", None, "count", '{"limit":1}'), (None, 4, "b", None, "count", "{}")],
+        "conv_id long, turn long, call_id string, after string, tool string, arguments string",
+    )
+    results = spark.createDataFrame([(None, 5, "b", "x")], "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame(toolcalls.SCHEMAS, "tool string, field string, type string, required boolean")
+    for parts in (1, 5):
+        got = toolcalls.link_tool_calls(calls.repartition(parts), results, schemas).collect()
+        rows = sorted((str(r.conv_id), r.turn, r.status, json.loads(r.json)["name"] if r.json != "null" else "") for r in got)
+        assert rows == [("1", 1, "missing", "count"), ("1", 1, "repeated", ""), ("1", 1, "repeated", ""), ("None", 4, "missing", ""), ("None", 5, "orphan", "")]
+
+
 def test_turns_without_a_role_are_results(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, None, "r"), (2, 5, None, "lone")]
     calls, results = toolcalls.calls_of_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
