@@ -48,7 +48,10 @@ CHUNK = 1 << 20
 SPREAD = 16
 #: Cells with at most so many pairs between components for each member are joined pair by pair, too; and all cells
 #: are, as soon as all of them together have no more.
-CROSSING = 64
+CROSSING = 4_096
+#: Partners of a member that are compared first where all that is left is joined pair by pair: most links of a
+#: group are found through them, so that few pairs stand between components when all others are compared.
+FIRST_PARTNERS = 3
 
 #: Words of the folded bitmap of a set.
 FOLD = tuple(f"w{k}" for k in range(8))
@@ -267,6 +270,17 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def _judged(placed: DataFrame, sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """Stored (a, b, common, total) of the asked pairs."""
+    spark = placed.sparkSession
+    hashed = _hashes(placed, sets, asked)
+    with_a = asked.join(hashed.withColumnRenamed("sid", "a").withColumnRenamed("hashes", "x"), "a")
+    with_b = with_a.join(hashed.withColumnRenamed("sid", "b").withColumnRenamed("hashes", "y"), "b")
+    judged = with_b.select("a", "b", "x", "y").mapInArrow(_common, "a long, b long, common int, total int")
+    # A copy beside the document that stands for its set gives the same distance again.
+    return _stored(spark, judged.distinct(), "distances")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(sid, comp) of every end of an edge (a, b) that reaches a smaller sid, with the smallest it reaches.
 
@@ -290,8 +304,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
 
 
-def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b) of all pairs within cells whose components differ and whose sizes and bitmaps allow a link, each pair once."""
+def _crossing(percent: int, most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b) of pairs within cells whose components differ and whose sizes and bitmaps allow a link, each pair once.
+
+    With ``most``, of each member outside the main component only the partners that its bitmap puts nearest.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,15 +325,24 @@ def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             outside = a + np.flatnonzero(comp[a:b] != main[a])
             # Every pair between components has a member outside the main one; a block of them at a time.
-            for k in range(0, len(outside), 256):
-                left = np.repeat(outside[k : k + 256], b - a)
-                right = np.tile(np.arange(a, b), len(outside[k : k + 256]))
-                least, most = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-                good = (comp[left] != comp[right]) & (100 * least >= percent * most)
+            step = max(1, (1 << 18) // (b - a))
+            for k in range(0, len(outside), step):
+                left = np.repeat(outside[k : k + step], b - a)
+                right = np.tile(np.arange(a, b), len(outside[k : k + step]))
+                less, more = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+                good = (comp[left] != comp[right]) & (100 * less >= percent * more)
                 left, right = left[good], right[good]
+                both = n[left] + n[right]
                 apart = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64)
-                good = 100 * (n[left] + n[right] - apart) >= percent * (n[left] + n[right] + apart)
-                x, y = sid[left[good]], sid[right[good]]
+                good = 100 * (both - apart) >= percent * (both + apart)
+                left, right = left[good], right[good]
+                if most is not None and len(left):
+                    order = np.lexsort((sid[right], (apart / both)[good], left))
+                    left, right = left[order], right[order]
+                    begins = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+                    place = np.arange(len(left)) - np.repeat(begins, np.diff(np.append(begins, len(left))))
+                    left, right = left[place < most], right[place < most]
+                x, y = sid[left], sid[right]
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 count += len(x)
                 if count > 2_000_000:
@@ -353,7 +379,7 @@ def _few_crossing(live: DataFrame) -> bool:
     return members > 0 and pairs <= 2 * CROSSING * members
 
 
-def _pairs(live: DataFrame, percent: int, first: bool, last: bool) -> tuple[DataFrame, DataFrame]:
+def _pairs(live: DataFrame, percent: int, first: bool, last: bool, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b) to compare now, and the pivots of the other cells: (region, a, b) with pivot b.
 
     A cell is joined pair by pair if it is small, or if few of its pairs stand between different components, so
@@ -367,17 +393,27 @@ def _pairs(live: DataFrame, percent: int, first: bool, last: bool) -> tuple[Data
     # Cells of one group of copies have the same main component; dealt by it, into a few tasks, most of their pairs
     # meet before they leave.
     few = live.where(direct).select("main", "region", "sid", "n", "comp", *FOLD).repartition(F.col("main"), F.pmod("region", F.lit(SPREAD)))
-    small = few.mapInArrow(_crossing(percent), "a long, b long")
+    small = few.mapInArrow(_crossing(percent, most), "a long, b long")
     large = live.where(~direct)
     ranked = F.struct((-F.col("degree")).alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"), *[F.col(w).alias(f"p{w}") for w in FOLD])
     slot = F.lit(0) if first else F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS))
     pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c", *[f"p.p{w}" for w in FOLD])
     apart = F.expr(" + ".join(f"bit_count({w} ^ p{w})" for w in FOLD)).alias("apart")
     star = large.join(pivots, "region").where("sid <> b")
-    star = star.select("region", F.col("sid").alias("a"), "b", "n", "m", "degree", "comp", "c", apart, *FOLD)
+    star = star.select("region", F.col("sid").alias("a"), "b", "n", "m", "degree", "comp", "c", apart)
     return small, star.withColumn("compare", (F.col("comp") != F.col("c")) & fits)
 
 
+def _nearest_pivots(star: DataFrame) -> DataFrame:
+    """(a, b) of every member to compare and the pivot that its bitmap puts nearest, over all its cells.
+
+    The pairs with other pivots stay untested: their members stay in the cells of the next round.
+    """
+    by_bits = (F.col("apart") / (F.col("n") + F.col("m"))).alias("by_bits")
+    best = star.where("compare").groupBy("a").agg(F.min(F.struct(by_bits, "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """The larger cells without their pivots, as near cells of each pivot and one far cell.
 
@@ -395,9 +431,9 @@ def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     known = known.withColumn("d", F.when(F.col("comp") != F.col("c"), F.col("d")))
     by_bits = 2 * F.col("apart") / (F.col("n") + F.col("m") + F.col("apart"))
     least = F.coalesce("d", F.greatest(1 - F.least("n", "m") / F.greatest("n", "m"), by_bits))
-    member = [F.col("a").alias("sid"), F.col("n"), F.col("degree"), *[F.col(w) for w in FOLD]]
+    member = [F.col("a").alias("sid"), F.col("n"), F.col("degree")]
     near = known.where((F.col("comp") != F.col("c")) & (least <= 2 * radius + 1e-9)).select(F.xxhash64("region", "b").alias("region"), *member)
-    nearest = known.groupBy("region", "a", "n", "degree", *FOLD).agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
+    nearest = known.groupBy("region", "a", "n", "degree").agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
     far = nearest.where(F.col("d") > radius - 1e-9)
     return near.union(far.select(F.xxhash64("region", F.lit("far")).alias("region"), *member))
 
@@ -418,29 +454,25 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     # A document that lies in many regions is close to many others and makes a good pivot.
     degree = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
     bitmaps = survey.where("n > 0").groupBy("sid").agg(*[F.min(w).alias(w) for w in FOLD])
-    degree = degree.join(bitmaps, "sid")
     labels: DataFrame | None = None
     tested: DataFrame | None = None
-    for number in range(ROUNDS + 1):
-        live = _live(cells, labels)
+    number, rest = 0, False
+    while True:
+        live = _live(cells, labels).join(bitmaps, "sid")
         live = _stored(spark, live.join(degree, "sid") if number == 0 else live, "cells")
         if live.isEmpty():
             break
-        last = number == ROUNDS or number > 0 and _few_crossing(live)
-        asked, star = _pairs(live, percent, number == 0, last)
+        last = rest or number == ROUNDS or number > 0 and _few_crossing(live)
+        # At last members are compared with their nearest partners, and then with all that are still apart.
+        asked, star = _pairs(live, percent, number == 0, last, FIRST_PARTNERS if last and not rest else None)
         if not last:
             star = _stored(spark, star, "stars")
-            asked = asked.union(star.where("compare").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            asked = asked.union(_nearest_pivots(star))
         asked = asked.distinct()
         if tested is not None:
             asked = asked.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         asked = _stored(spark, asked, "asked")
-        hashed = _hashes(placed, sets, asked)
-        with_a = asked.join(hashed.withColumnRenamed("sid", "a").withColumnRenamed("hashes", "x"), "a")
-        with_b = with_a.join(hashed.withColumnRenamed("sid", "b").withColumnRenamed("hashes", "y"), "b")
-        judged = with_b.select("a", "b", "x", "y").mapInArrow(_common, "a long, b long, common int, total int")
-        # A copy beside the document that stands for its set gives the same distance again.
-        judged = _stored(spark, judged.distinct(), "distances")
+        judged = _judged(placed, sets, asked)
         tested = judged if tested is None else tested.union(judged)
         links = judged.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
         # The components so far are stars already, so only the new links have to be worked in.
@@ -448,9 +480,11 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
             labels = components(spark, links)
         elif not links.isEmpty():
             labels = components(spark, labels.select(F.col("sid").alias("a"), F.col("comp").alias("b")).union(links))
-        if last or star.isEmpty():
+        if rest or not last and star.isEmpty():
             break
-        cells = _stored(spark, _next_cells(star, tested, percent), "regions")
+        if not last:
+            cells = _stored(spark, _next_cells(star, tested, percent), "regions")
+        rest, number = last, number + 1
     if labels is None:
         labels = spark.createDataFrame([], "sid long, comp long")
     return sets, labels
