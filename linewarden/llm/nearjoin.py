@@ -397,10 +397,10 @@ def _pairs(live: DataFrame, percent: int, first: bool, last: bool, most: int | N
     large = live.where(~direct)
     ranked = F.struct((-F.col("degree")).alias("k"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"), *[F.col(w).alias(f"p{w}") for w in FOLD])
     slot = F.lit(0) if first else F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS))
-    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c", *[f"p.p{w}" for w in FOLD])
+    pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(ranked).alias("p")).select("region", "p.b", "p.m", "p.c", (-F.col("p.k")).alias("pivot_degree"), *[f"p.p{w}" for w in FOLD])
     apart = F.expr(" + ".join(f"bit_count({w} ^ p{w})" for w in FOLD)).alias("apart")
     star = large.join(pivots, "region").where("sid <> b")
-    star = star.select("region", F.col("sid").alias("a"), "b", "n", "m", "degree", "comp", "c", apart)
+    star = star.select("region", F.col("sid").alias("a"), "b", "n", "m", "degree", "pivot_degree", "comp", "c", apart)
     return small, star.withColumn("compare", (F.col("comp") != F.col("c")) & fits)
 
 
@@ -415,7 +415,7 @@ def _nearest_pivots(star: DataFrame) -> DataFrame:
 
 
 def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """The larger cells without their pivots, as near cells of each pivot and one far cell.
+    """The larger cells as near cells of each pivot and one far cell.
 
     If one of two linked members was measured within the radius of a pivot, both lie within twice the radius, and
     it is in the pivot's component from now on; the other one matters only if it was not.  So a near cell takes no
@@ -426,16 +426,18 @@ def _next_cells(star: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     d = (1 - F.col("common") / F.col("total")).alias("d")
     measured = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"), d)
     pairs = star.select("*", F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-    pivots = star.select("region", F.col("b").alias("a")).distinct()
-    known = pairs.join(measured, ["ta", "tb"], "left").join(pivots, ["region", "a"], "left_anti")
-    known = known.withColumn("d", F.when(F.col("comp") != F.col("c"), F.col("d")))
+    known = pairs.join(measured, ["ta", "tb"], "left").withColumn("d", F.when(F.col("comp") != F.col("c"), F.col("d")))
     by_bits = 2 * F.col("apart") / (F.col("n") + F.col("m") + F.col("apart"))
     least = F.coalesce("d", F.greatest(1 - F.least("n", "m") / F.greatest("n", "m"), by_bits))
     member = [F.col("a").alias("sid"), F.col("n"), F.col("degree")]
     near = known.where((F.col("comp") != F.col("c")) & (least <= 2 * radius + 1e-9)).select(F.xxhash64("region", "b").alias("region"), *member)
     nearest = known.groupBy("region", "a", "n", "degree").agg(F.min(F.coalesce("d", F.lit(2.0))).alias("d"))
     far = nearest.where(F.col("d") > radius - 1e-9)
-    return near.union(far.select(F.xxhash64("region", F.lit("far")).alias("region"), *member))
+    # A pivot stays in its near cell beside the members that were not measured against it.
+    waiting = known.where("compare AND d IS NULL").select(
+        F.xxhash64("region", "b").alias("region"), F.col("b").alias("sid"), F.col("m").alias("n"), F.col("pivot_degree").alias("degree")
+    )
+    return near.union(far.select(F.xxhash64("region", F.lit("far")).alias("region"), *member)).union(waiting.distinct())
 
 
 def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
