@@ -45,13 +45,13 @@ SMALL_CELL, PIVOTS, ROUNDS = 8, 2, 3
 #: Bytes of texts that are hashed at a time.
 CHUNK = 1 << 20
 #: Tasks that the cells of one main component are dealt into.
-SPREAD = 16
+SPREAD = 2
 #: Cells with at most so many pairs between components for each member are joined pair by pair, too; and all cells
 #: are, as soon as all of them together have no more.
 CROSSING = 4_096
 #: Partners of a member that are compared first where all that is left is joined pair by pair: most links of a
 #: group are found through them, so that few pairs stand between components when all others are compared.
-FIRST_PARTNERS = 3
+FIRST_PARTNERS = 1
 
 #: Words of the folded bitmap of a set.
 FOLD = tuple(f"w{k}" for k in range(8))
@@ -71,30 +71,43 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def _folded(hashes: np.ndarray) -> np.ndarray:
-    """A set as a bitmap of ``FOLD``: two sets differ by as many elements as their bitmaps by bits, or by more."""
-    bits = np.zeros(64 * len(FOLD), bool)
-    bits[(mix(hashes + _U(5)) % _U(len(bits))).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """The words of ``FOLD``: a bitmap of fixed size like that of ``_parity``."""
+    size = 64 * len(FOLD)
+    bits = np.bincount((mix(hashes + _U(5)) % _U(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
-SETS = f"place long, sid long, n int, part int, block int, counts binary, {', '.join(f'{w} long' for w in FOLD)}"
+def _parity(hashes: np.ndarray) -> bytes:
+    """A set as a bitmap of two to four bits an element, each the parity of the elements that fall on it.
+
+    The bits in which two sets differ are the parities of what stands in one set only, so no more than that; and the
+    two halves of a bitmap, one upon the other, are the bitmap of half the size.
+    """
+    size = max(64 * len(FOLD), 1 << int(2 * len(hashes) - 1).bit_length())
+    bits = np.bincount((mix(hashes + _U(5)) % _U(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").tobytes()
+
+
+SETS = f"place long, sid long, n int, part int, block int, counts binary, parity binary, {', '.join(f'{w} long' for w in FOLD)}"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Identity and size of every document's set, and at the end this task's counts of shingles."""
     from pyspark import TaskContext
 
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * len(FOLD)]
-    schema = pa.schema(list(zip(("place", "sid", "n", "part", "block", "counts", *FOLD), types, strict=True)))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * len(FOLD)]
+    schema = pa.schema(list(zip(("place", "sid", "n", "part", "block", "counts", "parity", *FOLD), types, strict=True)))
     part = TaskContext.get().partitionId()
     counters = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         sid, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
         folded = np.zeros((batch.num_rows, len(FOLD)), np.int64)
+        parity: list[bytes | None] = [None] * batch.num_rows
         waiting: list[np.ndarray] = []
         held = 0
         for row, hashes in shingle_sets(batch.column(1), chunk=CHUNK):
             sid[row], n[row], folded[row] = _set_id(hashes), len(hashes), _folded(hashes)
+            parity[row] = _parity(hashes) if len(hashes) else None
             waiting.append((hashes & _U(COUNTERS - 1)).astype(np.int64))
             held += len(hashes)
             if held >= COUNTERS:
@@ -103,7 +116,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             counters += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         none = pa.nulls(batch.num_rows, pa.int32())
-        columns = [batch.column(0), pa.array(sid), pa.array(n), none, none, pa.nulls(batch.num_rows, pa.binary())]
+        columns = [batch.column(0), pa.array(sid), pa.array(n), none, none, pa.nulls(batch.num_rows, pa.binary()), pa.array(parity, pa.binary())]
         columns += [pa.array(folded[:, k]) for k in range(len(FOLD))]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
     if counters.any():
@@ -111,7 +124,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(small)
         none = pa.nulls(k, pa.int64())
         columns = [none, none, pa.nulls(k, pa.int32()), pa.array(np.full(k, part, np.int32))]
-        columns += [pa.array(np.arange(k), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary()), *[none] * len(FOLD)]
+        columns += [pa.array(np.arange(k), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary()), pa.nulls(k, pa.binary()), *[none] * len(FOLD)]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -270,15 +283,42 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _judged(placed: DataFrame, sets: DataFrame, asked: DataFrame) -> DataFrame:
-    """Stored (a, b, common, total) of the asked pairs."""
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, most elements in common, that beside the rest) of pairs with sizes and both parity bitmaps beside them."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32()), ("total", pa.int32())])
+    for batch in batches:
+        common, total = [], []
+        for n, m, x, y in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+            u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            while len(u) > len(v):
+                u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+            while len(v) > len(u):
+                v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+            apart, both = int(np.bitwise_count(u ^ v).sum()), n.as_py() + m.as_py()
+            common.append(both - apart)
+            total.append(both + apart)
+        columns = [batch.column(0), batch.column(1), pa.array(common, pa.int32()), pa.array(total, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _judged(placed: DataFrame, sets: DataFrame, parities: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """Stored (a, b, common, total) of the asked pairs.
+
+    Bitmaps in proportion to the sets go first; pairs that they hold apart keep the greatest similarity that they allow,
+    which is no link, and their sets never travel.
+    """
     spark = placed.sparkSession
+    one = asked.join(parities.toDF("a", "n", "x"), "a").join(parities.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    bound = _stored(spark, one.mapInArrow(_bounded, "a long, b long, common int, total int"), "bounds")
+    may_link = 100 * F.col("common") >= percent * F.col("total")
+    apart = bound.where(~may_link)
+    asked = bound.where(may_link).select("a", "b")
     hashed = _hashes(placed, sets, asked)
     with_a = asked.join(hashed.withColumnRenamed("sid", "a").withColumnRenamed("hashes", "x"), "a")
     with_b = with_a.join(hashed.withColumnRenamed("sid", "b").withColumnRenamed("hashes", "y"), "b")
     judged = with_b.select("a", "b", "x", "y").mapInArrow(_common, "a long, b long, common int, total int")
     # A copy beside the document that stands for its set gives the same distance again.
-    return _stored(spark, judged.distinct(), "distances")
+    return _stored(spark, judged.distinct().union(apart), "distances")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -456,6 +496,7 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     # A document that lies in many regions is close to many others and makes a good pivot.
     degree = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
     bitmaps = survey.where("n > 0").groupBy("sid").agg(*[F.min(w).alias(w) for w in FOLD])
+    parities = survey.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("parity").alias("parity"))
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     number, rest = 0, False
@@ -474,7 +515,7 @@ def link_components(docs: DataFrame, text: str = "text", percent: int = PERCENT)
         if tested is not None:
             asked = asked.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         asked = _stored(spark, asked, "asked")
-        judged = _judged(placed, sets, asked)
+        judged = _judged(placed, sets, parities, asked, percent)
         tested = judged if tested is None else tested.union(judged)
         links = judged.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
         # The components so far are stars already, so only the new links have to be worked in.
