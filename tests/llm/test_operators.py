@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -626,6 +628,33 @@ def test_near_join(spark, monkeypatch, small, rounds):
     assert got == brute_components(rows)
 
 
+def test_near_join_of_a_large_group_by_pivots(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "SMALL_CELL", 2)
+    monkeypatch.setattr(nearjoin, "CROSSING", 0)  # no cell is joined before the last round
+    rng = random.Random(13)
+    words = prose(rng, 110).split(" ")
+    rows = [(i * 31 % 997, edited(rng, words, i % 9)) for i in range(170)]
+    docs = stored(spark, rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in nearjoin.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_components(rows) and len({c for _, _, c in got}) > 3
+
+
+def test_bitmaps_bound_what_sets_have_in_common():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        both, one, two = (rng.integers(0, 1 << 62, rng.choice([0, 1, 5, 80, 900]), dtype=np.uint64) for _ in range(3))
+        x, y = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, two]))
+        if not len(x) or not len(y):
+            continue
+        columns = [[1], [2], [len(x)], [len(y)], [nearjoin._parity(x)], [nearjoin._parity(y)]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list("abnmxy"))
+        [row] = next(nearjoin._bounded(iter([batch]))).to_pylist()
+        common, total = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        assert common * row["total"] <= row["common"] * total
+        apart = int(np.bitwise_count(nearjoin._folded(x).view(np.uint64) ^ nearjoin._folded(y).view(np.uint64)).sum())
+        assert apart <= total - common
+
+
 def test_near_join_keeps_one(spark):
     rows = [*corpus(12), (1, None), (2, "")]
     docs = stored(spark, rows, "doc_id long, text string").withColumn("__place", F.lit(1)).withColumn("extra", F.lit("x"))
