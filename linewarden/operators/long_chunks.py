@@ -2,10 +2,12 @@
 
 Greedy packing is a sum with reset: how many bytes the open chunk has used is all that one line hands on to the
 next, and beyond the budget the exact number no longer matters.  So a block of lines is a function from the bytes
-used before it to the bytes used behind it, a table of some 6,000 numbers, and functions of consecutive blocks
-compose.  Blocks make their tables in parallel; rounds of composition, ``FAN`` tables at a time, lead to one
-function per file; on the way back every block learns what is used, and how many chunks are full, before it; then
-every block packs its own lines.  No task walks through a file.
+used before it to the bytes used behind it, and functions of consecutive blocks compose.  All numbers of bytes for which
+the same item closes the open chunk have the same effect, so a function is a few pieces: as many as there are items in
+a chunk, however many blocks it stands for.  Blocks make their pieces in parallel; rounds of composition, ``FAN``
+functions at a time, lead to one function per file; on the way back every block learns what is used, and how many
+chunks are full, before it; then every block packs its own lines.  No task walks through a file, and files of one
+block need no functions.
 
 Function starts come from pieces that begin behind a line with a semicolon: no start pattern matches across
 one, so pieces have the starts of the whole text.  Files with more than one start are packed from whole functions
@@ -14,7 +16,10 @@ by the same scan.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,14 @@ from linewarden.operators.chunks import CHUNK_BYTES, function_starts, hits_in_ch
 from linewarden.operators.totals import running_total
 from linewarden.session import work_folder
 
-#: Items of a block, and tables that are composed at a time.
+#: Items of a block, and functions that are composed at a time.
 BLOCK, FAN = 4_096, 64
 #: Bytes used: none, up to the budget, and beyond it.
 STATES = CHUNK_BYTES + 2
+#: Numbers that go from a task at a time.
+BATCH = 1 << 16
 
-_TABLE = "used array<int>, full array<bigint>"
+_PIECES = "begin array<int>, used array<int>, full array<bigint>, rises int"
 
 
 def _walk(sizes: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,23 +66,68 @@ def _walk(sizes: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return used, full, closes
 
 
-def block_table(sizes: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes used behind the block, and chunks filled in it, for all bytes used before it."""
+class Pieces(NamedTuple):
+    """Bytes used behind a block, and chunks filled in it, for all bytes used before it.
+
+    From ``begin`` on they are ``used`` and ``full``.  In the piece ``rises`` (-1: none) no chunk is closed, so
+    there the bytes used behind the block rise with those before it.
+    """
+
+    begin: list[int]
+    used: list[int]
+    full: list[int]
+    rises: int
+
+    def at(self, state: int) -> tuple[int, int]:
+        i = bisect_right(self.begin, state) - 1
+        return self.used[i] + (state - self.begin[i] if i == self.rises else 0), self.full[i]
+
+
+def block_pieces(sizes: np.ndarray, slack: int) -> Pieces:
+    """The function of a block."""
     sizes = np.asarray(sizes, np.int64)
-    n = len(sizes)
     used, full, _ = _walk(sizes, slack)
     before = np.concatenate([[0], np.cumsum(sizes + 1)])
-    start = np.arange(STATES)
     reach = np.maximum.accumulate(before[:-1] + sizes + slack)
-    closes = np.searchsorted(reach, CHUNK_BYTES - start, "right")
-    inside = closes < n
-    out = np.minimum(start + before[n], STATES - 1)
-    out[inside] = used[closes[inside]]
-    count = np.zeros(STATES, np.int64)
-    count[inside] = full[closes[inside]] + 1
+    # With so many bytes used an item closes the open chunk, if no earlier item does.
+    least = np.maximum(CHUNK_BYTES + 1 - reach, 1)
+    closers = np.flatnonzero(least < np.concatenate([[STATES], least[:-1]]))[::-1]
     # Nothing used before: the first item opens the buffer, or leaves it empty.
-    out[0], count[0] = used[0], full[0]
-    return out, count
+    start = [[0, used[0], full[0]]]
+    if least[-1] > 1:
+        start.append([1, 1 + before[-1], 0])
+    rises = len(start) - 1 or -1
+    each = np.concatenate([start, np.stack([least[closers], used[closers], full[closers] + 1], 1)])
+    same = (each[1:, 1:] == each[:-1, 1:]).all(1)
+    same[: rises + 1] = False
+    return Pieces(*each[np.concatenate([[True], ~same])].T.tolist(), rises)
+
+
+def composed(first: Pieces, second: Pieces) -> Pieces:
+    """The function of two consecutive stretches."""
+    begin, used, full, rises = [], [], [], -1
+
+    def add(at: int, state: int, filled: int, rising: bool = False) -> None:
+        nonlocal rises
+        plain = not rising and begin and rises != len(begin) - 1
+        if plain and used[-1] == state and full[-1] == filled:
+            return
+        begin.append(at), used.append(state), full.append(filled)
+        rises = len(begin) - 1 if rising else rises
+
+    for i, (b, u, f) in enumerate(zip(first.begin, first.used, first.full, strict=True)):
+        if i != first.rises:
+            state, more = second.at(u)
+            add(b, state, f + more)
+            continue
+        end = u + (first.begin[i + 1] if i + 1 < len(first.begin) else STATES) - b
+        for j in range(bisect_right(second.begin, u) - 1, len(second.begin)):
+            if second.begin[j] >= end:
+                break
+            low = max(second.begin[j], u)
+            state, more = second.at(low)
+            add(b + low - u, state, f + more, j == second.rises)
+    return Pieces(begin, used, full, rises)
 
 
 def packed(sizes: np.ndarray, slack: int, used: int, full: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,43 +156,66 @@ def packed(sizes: np.ndarray, slack: int, used: int, full: int) -> tuple[np.ndar
     return chunk, kept
 
 
-def _tables(slack: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("used", pa.list_(pa.int32())), ("full", pa.list_(pa.int64()))])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, as a whole batch of them would be large as Python objects."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                used, full = block_table(np.array(row["sizes"], np.int64), slack)
-                columns = [[row["path"]], [row["at"]], [used.astype(np.int32)], [full]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return make
+def _gathered(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with their sizes as batches."""
+    waiting, size = [], 0
+    for n, row in rows:
+        waiting.append(row)
+        size += n
+        if size >= BATCH:
+            yield pa.RecordBatch.from_pylist(waiting, schema)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.RecordBatch.from_pylist(waiting, schema)
 
 
-def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consecutive tables of a group as one."""
-    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("used", pa.list_(pa.int32())), ("full", pa.list_(pa.int64()))])
-    for batch in batches:
-        for row in batch.to_pylist():
-            used, full = np.arange(STATES), np.zeros(STATES, np.int64)
-            for t in row["tables"]:
-                full = full + np.array(t["full"])[used]
-                used = np.array(t["used"])[used]
-            columns = [[row["path"]], [row["at"]], [used.astype(np.int32)], [full]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _batch(paths: list[str], parts: list[tuple[np.ndarray, ...]], schema: pa.Schema) -> pa.RecordBatch:
+    columns = map(np.concatenate, zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *map(pa.array, columns)], schema=schema)
+
+
+_PIECES_SCHEMA = pa.schema(
+    [("path", pa.string()), ("at", pa.int64()), ("begin", pa.list_(pa.int32())), ("used", pa.list_(pa.int32())), ("full", pa.list_(pa.int64())), ("rises", pa.int32())]
+)
+
+
+def _sized(row: dict, found: Pieces) -> tuple[int, dict]:
+    return 3 * len(found.begin) + 1, {"path": row["path"], "at": row["at"], **found._asdict()}
+
+
+def _pieces(row: dict) -> Pieces:
+    return Pieces(row["begin"], row["used"], row["full"], row["rises"])
+
+
+def _of_blocks(slack: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _gathered((_sized(row, block_pieces(np.array(row["sizes"], np.int64), slack)) for row in _rows(batches)), _PIECES_SCHEMA)
+
+
+def _of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive functions of a group as one."""
+    return _gathered((_sized(row, reduce(composed, map(_pieces, row["blocks"]))) for row in _rows(batches)), _PIECES_SCHEMA)
 
 
 def _handed_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is used and full before every table of a group, from what is before the group."""
+    """What is used and full before every block of a group, from what is before the group."""
     schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("before_used", pa.int32()), ("before_full", pa.int64())])
-    for batch in batches:
-        for row in batch.to_pylist():
-            used, full, rows = row["before_used"], row["before_full"], []
-            for t in row["tables"]:
-                rows.append({"path": row["path"], "at": t["at"], "before_used": used, "before_full": full})
-                full += t["full"][used]
-                used = t["used"][used]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def each() -> Iterator[tuple[int, dict]]:
+        for row in _rows(batches):
+            used, full = row["before_used"], row["before_full"]
+            for block in row["blocks"]:
+                yield 4, {"path": row["path"], "at": block["at"], "before_used": used, "before_full": full}
+                used, more = _pieces(block).at(used)
+                full += more
+
+    return _gathered(each(), schema)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -150,18 +225,20 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def entries(blocks: DataFrame, slack: int, fan: int = FAN) -> DataFrame:
-    """``path, at, before_used, before_full`` for blocks ``path, at, sizes``."""
-    schema = f"path string, at bigint, {_TABLE}"
-    levels = [_stored(blocks.mapInArrow(_tables(slack), schema), "tables")]
+    """``path, at, before_used, before_full`` for blocks ``path, at, sizes`` of the files that have more than the first."""
+    schema = f"path string, at bigint, {_PIECES}"
+    several = blocks.where("at > 0").select("path").distinct()
+    levels = [_stored(blocks.join(several, "path", "left_semi").mapInArrow(_of_blocks(slack), schema), "pieces")]
     while True:
         level = levels[-1]
         group = F.floor(F.col("at") / fan).cast("bigint").alias("at")
-        grouped = level.groupBy("path", group).agg(F.array_sort(F.collect_list(F.struct("at", "used", "full"))).alias("tables"))
+        block = F.struct("at", "begin", "used", "full", "rises")
+        grouped = level.groupBy("path", group).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
         grouped = _stored(grouped, "groups")
         levels[-1] = grouped
         if not (level.agg(F.max("at")).first()[0] or 0) >= fan:
             break
-        levels.append(_stored(grouped.mapInArrow(_composed, schema), "tables"))
+        levels.append(_stored(grouped.mapInArrow(_of_groups, schema), "pieces"))
     handed = "path string, at bigint, before_used int, before_full bigint"
     known = levels[-1].select("path", "at", F.lit(0).alias("before_used"), F.lit(0).cast("bigint").alias("before_full"))
     for grouped in reversed(levels):
@@ -172,19 +249,24 @@ def entries(blocks: DataFrame, slack: int, fan: int = FAN) -> DataFrame:
 def pack_items(items: DataFrame, slack: int, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """Items ``path, number, bytes`` (numbers from 0 without gaps) with ``chunk_id`` and ``kept``."""
     at = F.floor(F.col("number") / block).cast("bigint").alias("at")
-    blocks = items.groupBy("path", at).agg(F.array_sort(F.collect_list(F.struct("number", "bytes"))).alias("items"))
+    blocks = items.where("path IS NOT NULL").groupBy("path", at).agg(F.array_sort(F.collect_list(F.struct("number", "bytes"))).alias("items"))
     blocks = _stored(blocks.select("path", "at", F.transform("items", lambda x: x["bytes"]).alias("sizes")), "blocks")
     schema = pa.schema([("path", pa.string()), ("number", pa.int64()), ("chunk_id", pa.int64()), ("kept", pa.bool_())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk, kept = packed(np.array(row["sizes"], np.int64), slack, row["before_used"], row["before_full"])
-                number = row["at"] * block + np.arange(len(chunk))
-                columns = [pa.array([row["path"]] * len(chunk), pa.string()), pa.array(number), pa.array(chunk), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    entered = blocks.join(entries(blocks, slack, fan), ["path", "at"])
+        paths, parts = [], []
+        for row in _rows(batches):
+            # Nothing is used before the only block of a file.
+            chunk, kept = packed(np.array(row["sizes"], np.int64), slack, row["before_used"] or 0, row["before_full"] or 0)
+            paths += [row["path"]] * len(chunk)
+            parts.append((row["at"] * block + np.arange(len(chunk)), chunk, kept))
+            if len(paths) >= BATCH:
+                yield _batch(paths, parts, schema)
+                paths, parts = [], []
+        if parts:
+            yield _batch(paths, parts, schema)
+
+    entered = blocks.join(entries(blocks, slack, fan), ["path", "at"], "left")
     return entered.mapInArrow(place, "path string, number bigint, chunk_id bigint, kept boolean")
 
 
@@ -283,13 +365,18 @@ def _owners(lines: DataFrame, segments: DataFrame, block: int) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("number", pa.int64()), ("bytes", pa.int64()), ("segment", pa.int64())])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                number = row["at"] * block + np.arange(len(row["sizes"]))
-                segment = row["before"] - row["least"] - 1 + np.searchsorted(np.array(row["begins"] or [], np.int64), number, "right")
-                some = segment >= 0
-                columns = [[row["path"]] * int(some.sum()), number[some], np.array(row["sizes"], np.int64)[some], segment[some]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        paths, parts = [], []
+        for row in _rows(batches):
+            number = row["at"] * block + np.arange(len(row["sizes"]))
+            segment = row["before"] - row["least"] - 1 + np.searchsorted(np.array(row["begins"] or [], np.int64), number, "right")
+            some = segment >= 0
+            paths += [row["path"]] * int(some.sum())
+            parts.append((number[some], np.array(row["sizes"], np.int64)[some], segment[some]))
+            if len(paths) >= BATCH:
+                yield _batch(paths, parts, schema)
+                paths, parts = [], []
+        if parts:
+            yield _batch(paths, parts, schema)
 
     each = blocks.join(first, "path").select("path", "at", "sizes", "begins", "before", "least")
     return each.mapInArrow(own, "path string, number bigint, bytes bigint, segment bigint")

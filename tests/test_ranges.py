@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linewarden.operators import documents
 from linewarden.operators.chunks import chunk_files
 from linewarden.operators.lines import explode_lines, with_language
+from linewarden.operators import long_chunks
 from linewarden.operators.long_chunks import line_chunks
 from linewarden.operators.prompts import chunk_hits, prompts
 from linewarden.operators.totals import running_total
@@ -172,6 +173,41 @@ def test_chunks_from_lines_equal_chunks_of_rows(spark):
     assert chunk_rows(line_chunks(explode_lines(files), block=10, fan=6)) == chunk_rows(chunk_files(files))
 
 
+def test_blocks_hand_on_little(spark, tmp_path, monkeypatch):
+    folders = []
+
+    def folder(_, name):
+        folders.append(f"{tmp_path}/{name}-{len(folders)}")
+        return folders[-1]
+
+    monkeypatch.setattr(long_chunks, "work_folder", folder)
+    rows = [(f"{i}.c", "some words of a line\n" * (400 if i < 3 else 5)) for i in range(200)]
+    files = with_language(spark.createDataFrame(rows, "path string, content string"))
+    got = line_chunks(explode_lines(files), block=16, fan=4).groupBy("path").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 197 + [2] * 3
+    stored = [spark.read.parquet(f).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("n"), F.max("n")).first() for f in folders]
+    # a row for each block of the long files alone, and no row with a number for each byte of the budget
+    assert [n for n, _ in stored] == [197 + 3 * 25, 3 * 25, 3 * 7, 3 * 7, 3 * 2, 3 * 2, 3]
+    assert max(m for _, m in stored) < 10_000
+
+
+def test_functions_of_stretches(spark):
+    rng = random.Random(3)
+    for shapes in ([0, 1], [0, 30, 70], [0, 0, 200, 6000], [1, 2500, 5999, 6000, 6001], [6001, 6002, 0]):
+        for slack in (0, 1):
+            sizes = [rng.choice(shapes) for _ in range(90)]
+            cuts = [0, 1, 40, 90]
+            pieces = [long_chunks.block_pieces(sizes[a:b], slack) for a, b in zip(cuts, cuts[1:])]
+            whole = long_chunks.composed(long_chunks.composed(*pieces[:2]), pieces[2])
+            for before in (0, 1, 2, 500, 5929, 5998, 5999, 6000, 6001):
+                used, full = before, 0
+                for n in sizes:
+                    closes = used > 0 and used + n + slack > 6000
+                    full += closes
+                    used = min(n if closes or not used else used + 1 + n, 6001)
+                assert whole.at(before) == (used, full)
+
+
 def test_chunks_and_prompts_of_files_of_every_size(spark, tmp_path):
     rng = random.Random(9)
     for i in range(5):
