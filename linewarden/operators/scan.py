@@ -129,12 +129,18 @@ def _indexed(catalogue: Catalogue) -> tuple[list[tuple], list[Rule]]:
     return rows, [r for r, needles in needed if not needles]
 
 
-def _grams(lengths: list[int]) -> str:
-    """SQL expression: the distinct grams of a line's characters."""
-    each = [
-        f"IF(size(chars) >= {n}, transform(sequence(1, greatest(size(chars) - {n - 1}, 1)), i -> array_join(slice(chars, i, {n}), '')), array())"
-        for n in lengths
-    ]
+def _grams(rows: list[tuple], small: bool) -> str:
+    """SQL expression: the distinct grams of a folded line, of a small index those that it has.
+
+    A look ahead finds a gram at every character in one pass over the line.
+    """
+    known = {r[1] for r in rows}
+    each = []
+    for n in sorted({len(g) for g in known}):
+        found = f"regexp_extract_all(folded, '(?s)(?=(.{{{n}}}))', 1)"
+        if small:
+            found = f"filter({found}, g -> g IN ({', '.join(sorted(sql_text(g) for g in known if len(g) == n))}))"
+        each.append(found)
     return f"array_distinct(concat({', '.join(each)}))"
 
 
@@ -165,11 +171,9 @@ def _scan_index(lines: DataFrame, rows: list[tuple]) -> DataFrame:
         " earlier array<string>",
     )
     small = sum(sum(len(x) for x in (*r[:2], *r[3:8])) + sum(map(len, r[8])) + 128 for r in rows) <= MAX_BROADCAST_BYTES
-    grams = _grams(sorted({len(r[1]) for r in rows}))
-    if small:
-        grams = f"filter({grams}, g -> g IN ({', '.join(sorted({sql_text(r[1]) for r in rows}))}))"
     folded = settled(lines.select("path", "lang", "line", "code"), folded=F.expr(fold_case_sql("code")))
-    each = settled(folded, chars=F.split("folded", "", -1)).withColumn("gram", F.explode(F.expr(grams))).drop("chars")
+    # settled: the optimizer would find the grams a second time in a filter
+    each = settled(folded, grams=F.expr(_grams(rows, small))).withColumn("gram", F.explode("grams")).drop("grams")
     if small:
         tried = each.join(F.broadcast(index), ["lang", "gram"])
     else:

@@ -150,6 +150,19 @@ def test_thousands_of_rules_meet_only_by_grams(spark):
     assert got == sorted(expected) and len(got) > 300
 
 
+def test_grams_are_found_once_and_in_one_pass(spark, monkeypatch):
+    words = ["gets", "é☃", "😀", "a😀b", "x\u2028y", "ſystem", "tail😀z"]
+    rules = [Rule("C", f"r{i}", re.escape(w), "LOW", "d", rule_ord=i) for i, w in enumerate(words)]
+    codes = ["", "g", "gets", "é☃", "😀😀", "a😀b", "x\u2028y", "ſystem gets", "tail😀z", "tail", "a😀😀b", "b" * 5000 + "gets"]
+    lines = spark.createDataFrame([("f", "C", i, c) for i, c in enumerate(codes)], "path string, lang string, line int, code string")
+    expected = sorted((i, r.rule_ord) for i, c in enumerate(codes) for r in rules if words[r.rule_ord] in c)
+    for most in (8 << 20, 0):
+        monkeypatch.setattr("linewarden.operators.scan.MAX_BROADCAST_BYTES", most)
+        found = scan_lines_by_join(lines, Catalogue(tuple(rules)))
+        assert sorted((r["line"], r["rule_ord"]) for r in found.collect()) == expected
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("(?=(.{4}))") == 1
+
+
 def test_required_texts():
     cases = {
         r"\bgets\s*\(": ("gets",), r"(foo|bar+)x": ("ba", "foo"), r"a?b*": (), r"(?:ab|c\d)+ef": ("ef",), r"x{0,2}yz": ("yz",),
