@@ -395,11 +395,16 @@ def reviewed_files(spark, sf):
     return report.reviewed_summary(document_files(spark, sf), document_review(spark, sf))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table for what is read more than once."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _stored_review(spark, sf):
     """The reviewed findings as a table, for reports that read them more than once."""
-    folder = work_folder(spark, "reviewed")
-    document_review(spark, sf).write.parquet(folder)
-    return spark.read.parquet(folder)
+    return _stored(document_review(spark, sf), "reviewed")
 
 
 def reviewed_json(spark, sf):
@@ -415,11 +420,10 @@ def reviewed_sarif_documents(spark, sf):
 def reviewed_report(spark, sf):
     """The text sections of all files, where every third chunk has no answer."""
     chunks = chunking.chunk_files(document_files(spark, sf)).drop("content")
-    answers = document_responses(spark, sf).where("start_line % 3 <> 0")
-    folder = work_folder(spark, "reviewed")
-    audit.review(answers, audit.static_hits(document_sources(spark, sf), fields=_COUNTED)).write.parquet(folder)
-    found = spark.read.parquet(folder)
-    return documents.report_fragments(document_files(spark, sf).select("path", "lang"), found, unreviewed_lines(chunks, answers))
+    answers = _stored(document_responses(spark, sf).where("start_line % 3 <> 0"), "answers")
+    found = _stored(audit.review(answers, audit.static_hits(document_sources(spark, sf), fields=_COUNTED)), "reviewed")
+    missing = _stored(unreviewed_lines(chunks, answers), "missing")
+    return documents.report_fragments(document_files(spark, sf).select("path", "lang"), found, missing)
 
 
 def json_index(spark, sf):

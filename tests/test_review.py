@@ -8,6 +8,7 @@ from linewarden.functions.json_text import field, first_array, objects
 from linewarden.operators.correlate import correlate, near_lines
 from linewarden.operators.findings import CONFIDENCES, min_confidence, suppress, with_severity
 from linewarden.operators.responses import decode_responses, parse_responses, rebase_lines, response_coverage, unreviewed_lines
+from linewarden.plans import queries
 from linewarden.plans.audit import build_prompts, review, review_sources, static_audit, static_hits
 
 GOOD = {"line": 3, "severity": "HIGH", "category": "c", "pattern": "p", "explanation": "e", "suggestion": "s"}
@@ -257,3 +258,13 @@ def test_parse_keeps_order(spark):
     df = spark.createDataFrame([("f", 0, answer), ("g", 0, None)], "path string, chunk_id int, response string")
     rows = parse_responses(df).orderBy("seq").collect()
     assert [(r["seq"], r["pattern"]) for r in rows] == [(i, str(i)) for i in range(5)]
+
+
+def test_report_makes_answers_once(spark, tmp_path):
+    texts = ["one line. two lines. " * 200, "short", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    report = queries.reviewed_report(spark, str(tmp_path))
+    # answers, findings and gaps are stored tables: what is left reads files for their names alone
+    assert "rlike" not in report._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r["file"] for r in report.collect()} == {"doc/d0.c", "doc/d1.cpp", "doc/d2.cs", "doc/d3.rs"}
