@@ -31,8 +31,10 @@ END_ID = 0
 FRAME_IDS, FRAME_LIMIT = 1 << 16, 1 << 22
 #: Bytes of texts that are encoded at a time; one longer text is encoded whole.
 STRIDE = 1 << 23
-#: Words whose ids a worker remembers; beyond that the memory starts anew.
-REMEMBERED = 700_000
+#: New words that are encoded at a time.
+WORDS = 10_000
+#: Words whose ids a worker remembers, and bytes of them; beyond that the memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 700_000, 1 << 26
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 #: Texts with other white space than single blanks and line feeds between words are encoded by themselves.
@@ -46,7 +48,8 @@ class Encoder:
     """Encodes columns of texts by the distinct words in them.
 
     A byte-level vocabulary never merges across the start of a blank and a word, so the ids of a text are the
-    ids of its words with their leading blanks, and each distinct word is encoded once per worker.
+    ids of its words with their leading blanks, and each distinct word is encoded once per worker.  Words are held
+    as Arrow text: workers live on when their stage is over, and as Python strings the words were most of their memory.
     """
 
     def __init__(self, path: str):
@@ -57,26 +60,28 @@ class Encoder:
         self.fresh()
 
     def fresh(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: pa.Array) -> None:
         """Encode new words many at a time, with line feeds between them as marks."""
         [mark] = self.break_ids
-        groups = ["\n".join(words[k : k + 500]) + "\n" for k in range(0, len(words), 500)]
-        ids = np.concatenate([np.array(x, np.uint32) for x in self.plain(groups)])
-        cut = np.flatnonzero(ids == mark)
-        if len(cut) != len(words):
-            raise ValueError("the vocabulary joins line feeds with words; use Encoder.plain")
-        lengths = np.diff(np.concatenate([[-1], cut])) - 1
-        first = len(self.known)
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, ids[ids != mark]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        ids, starts = [self.ids], [self.starts]
+        for k in range(0, len(words), WORDS):
+            part = words.slice(k, WORDS).to_pylist()
+            groups = ["\n".join(part[i : i + 500]) + "\n" for i in range(0, len(part), 500)]
+            got = np.concatenate([np.array(x, np.uint32) for x in self.plain(groups)])
+            cut = np.flatnonzero(got == mark)
+            if len(cut) != len(part):
+                raise ValueError("the vocabulary joins line feeds with words; use Encoder.plain")
+            ids.append(got[got != mark])
+            starts.append(starts[-1][-1] + np.cumsum(np.diff(np.concatenate([[-1], cut])) - 1))
+        self.known = pa.concat_arrays([self.known, words])
+        self.ids, self.starts = np.concatenate(ids), np.concatenate(starts)
 
     def by_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each text, for texts with single blanks and line feeds only."""
@@ -84,20 +89,24 @@ class Encoder:
         offsets = np.asarray(pieces.offsets)
         coded = pieces.flatten().dictionary_encode()
         index = np.asarray(coded.indices).astype(np.int64)
-        words = np.asarray(coded.dictionary.to_numpy(zero_copy_only=False))
+        words = coded.dictionary
         # A piece opens a text, follows a line feed, or follows a blank.
         opening = offsets[:-1][offsets[:-1] < offsets[1:]]
         initial, where = np.unique(index[opening], return_inverse=True)
         index[opening] = len(words) + where
-        broken = np.fromiter((w[:1] == "\n" for w in words), bool, len(words))
-        plain = [w[1:] if b else " " + w for w, b in zip(words, broken, strict=True)] + list(words[initial])
-        broken = np.concatenate([broken, np.zeros(len(initial), bool)])
-        if len(self.known) > REMEMBERED:
+        broken = pc.starts_with(words, "\n")
+        plain = pc.if_else(broken, pc.utf8_slice_codeunits(words, 1), pc.binary_join_element_wise(" ", words, ""))
+        plain = pa.concat_arrays([plain, words.take(pa.array(initial))])
+        broken = np.concatenate([np.asarray(broken), np.zeros(len(initial), bool)])
+        if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
             self.fresh()
-        new = sorted({w for w in plain if w and w not in self.known})
-        if new:
+        place = np.asarray(pc.fill_null(pc.index_in(plain, value_set=self.known), -1)).astype(np.int64)
+        unknown = (place < 0) & (np.asarray(pc.binary_length(plain)) > 0)
+        if unknown.any():
+            plain = plain.filter(pa.array(unknown))
+            new, before = plain.unique(), len(self.known)
+            place[unknown] = before + np.asarray(pc.index_in(plain, value_set=new))
             self.learn(new)
-        place = np.fromiter((self.known.get(w, -1) for w in plain), np.int64, len(plain))
         length = np.where(place >= 0, self.starts[place + 1] - self.starts[place], 0)
         extra = broken.astype(np.int64)
         n = (length + extra)[index]
@@ -120,6 +129,8 @@ class Encoder:
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STRIDE, "right")))
             yield from self._encoded(column.slice(i, j - i))
             i = j
+        # Else what a batch took stays with the worker, beside the stages that come after this one.
+        pa.default_memory_pool().release_unused()
 
     def _encoded(self, column: pa.Array) -> list[np.ndarray]:
         odd = np.asarray(pc.match_substring_regex(column, ODD_SPACE))

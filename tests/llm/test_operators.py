@@ -5,6 +5,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -331,6 +332,34 @@ def test_grammar_reads_clauses():
 # -- token files -----------------------------------------------------------------------------------------------
 
 
+def test_encoder_holds_words_outside_of_python():
+    path = queries.tokenizer_path()
+    code = tokens.Encoder(path)
+    texts = [" ".join(f"w{i * 7919:x} Straße{i}\nline{i % 50}" for i in range(k, k + 1000)) for k in range(0, 20_000, 1000)] + ["", None, "\n", "a"]
+    column = pa.array(texts, pa.string())
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for _ in code.encode(column):
+        pass
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    # ids and where they start stay as numbers; as Python strings 40,000 words would take about 5 MB more
+    assert len(code.known) > 40_000
+    assert held < 60 * len(code.known)
+    for _ in range(2):  # words that are new, and words that are known
+        got = [x.tolist() for x in code.encode(column)]
+        assert got == code.plain([t or "" for t in texts])
+
+
+def test_encoder_forgets_long_words(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 1000)
+    monkeypatch.setattr(tokens, "STRIDE", 500)
+    code = tokens.Encoder(queries.tokenizer_path())
+    texts = ["x" * 900 + f" word{k}\nnext y{k}" for k in range(20)]
+    assert [x.tolist() for x in code.encode(pa.array(texts))] == code.plain(texts)
+    assert code.known.nbytes < 4000
+
+
 def test_token_files(spark):
     path = queries.tokenizer_path()
     rows = [*corpus(7), (3, "again id 3"), (None, "no id"), (900, "a  b\n\n c\td"), (901, " x "), (902, "<|endoftext|> it's 'tis")]
