@@ -40,6 +40,8 @@ USER_RULES = (
 CATALOGUE = Catalogue.builtin()
 #: What counts of hits need of them.
 _COUNTED = ("rule_ord", "rule", "severity")
+#: What a review needs of them beside their lines.
+_PLACED = ("rule_ord",)
 
 
 def order_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +73,8 @@ def document_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_review(spark: SparkSession, sf: str, minimum: str = "low") -> DataFrame:
-    return audit.review(document_responses(spark, sf), audit.static_hits(document_sources(spark, sf)), minimum=minimum)
+    hits = audit.static_hits(document_sources(spark, sf), fields=_PLACED)
+    return audit.review(document_responses(spark, sf), hits, minimum=minimum)
 
 
 def _flat(file_results: DataFrame) -> DataFrame:

@@ -268,3 +268,14 @@ def test_report_makes_answers_once(spark, tmp_path):
     # answers, findings and gaps are stored tables: what is left reads files for their names alone
     assert "rlike" not in report._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r["file"] for r in report.collect()} == {"doc/d0.c", "doc/d1.cpp", "doc/d2.cs", "doc/d3.rs"}
+
+
+def test_review_cuts_no_matched_text_out_of_lines(spark, tmp_path):
+    spark.createDataFrame([(0, "one line. two lines. " * 200)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def cut(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(code")
+
+    assert cut(static_hits(queries.document_sources(spark, str(tmp_path)))) > 0
+    # the lines' hits say where they are, and no more: the only matched texts are those of the answers
+    assert cut(queries.document_review(spark, str(tmp_path))) == cut(queries.document_responses(spark, str(tmp_path)))
