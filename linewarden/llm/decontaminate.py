@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewarden.llm.words import SHINGLE, byte_chunks, gram_hashes, word_hashes
+from linewarden.llm.words import SHINGLE, byte_chunks, freeing, gram_hashes, word_hashes
 from linewarden.session import work_folder
 
 #: Bits of the bitmap that shingles pass before the join: 2 MB, whatever the number of items.
 BITMAP_BITS = 1 << 24
 PERCENT = 75
+#: Bytes of texts that are hashed at a time.
+CHUNK = 1 << 20
 GRAMS = "row long, hash long, words int"
 
 
@@ -34,10 +36,11 @@ def _grams(lengths: tuple[int, ...], bitmap: bytes | None) -> Callable[[Iterator
     schema = pa.schema([("row", pa.int64()), ("hash", pa.int64()), ("words", pa.int32())])
     bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
 
+    @freeing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.asarray(batch.column(0))
-            for part in byte_chunks(batch.column(1)):
+            for part in byte_chunks(batch.column(1), CHUNK):
                 words, first = word_hashes(part)
                 counts = np.diff(first)
                 for n in lengths:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewarden.llm.words import mix, shingle_sets
+from linewarden.llm.words import freeing, mix, shingle_sets
 from linewarden.session import work_folder
 
 #: Jaccard similarity of a link, in percent, and radius of a link as a distance.
@@ -91,6 +91,7 @@ def _parity(hashes: np.ndarray) -> bytes:
 SETS = f"place long, sid long, n int, part int, block int, counts binary, parity binary, {', '.join(f'{w} long' for w in FOLD)}"
 
 
+@freeing
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Identity and size of every document's set, and at the end this task's counts of shingles."""
     from pyspark import TaskContext
@@ -164,6 +165,7 @@ def _window(hashes: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarr
 def _regions(frequency, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("shingle", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())])
 
+    @freeing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -190,6 +192,7 @@ def _regions(frequency, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return made
 
 
+@freeing
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions of a partition with two members or more, each set of members once under its signature."""
     schema = pa.schema([("region", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())])
@@ -228,6 +231,7 @@ def _slot(places: np.ndarray) -> np.ndarray:
     return (mix(places.astype(np.uint64) + _U(7)) % _U(SLOTS)).astype(np.int64)
 
 
+@freeing
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("slot", pa.int64())])
     for batch in batches:
@@ -238,6 +242,7 @@ def _sets(needed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """(sid, sorted hashes) of the documents whose place is in a bitmap of fixed size."""
     schema = pa.schema([("sid", pa.int64()), ("hashes", pa.binary())])
 
+    @freeing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
@@ -267,6 +272,7 @@ def _hashes(placed: DataFrame, sets: DataFrame, asked: DataFrame) -> DataFrame:
     return _stored(spark, placed.mapInArrow(_sets(needed), "sid long, hashes binary"), "hashes")
 
 
+@freeing
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, shingles in common) of pairs with both sets beside them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32()), ("total", pa.int32())])
@@ -283,6 +289,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+@freeing
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, most elements in common, that beside the rest) of pairs with sizes and both parity bitmaps beside them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32()), ("total", pa.int32())])
@@ -351,6 +358,7 @@ def _crossing(percent: int, most: int | None) -> Callable[[Iterator[pa.RecordBat
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @freeing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
         if not got:

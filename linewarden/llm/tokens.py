@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linewarden.llm.words import freeing
 from linewarden.session import work_folder
 
 END_ID = 0
@@ -262,6 +263,7 @@ class FrameReader:
 
 
 def _writer(folder: str, tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @freeing
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -314,6 +316,7 @@ def read_files(spark: SparkSession, folder: str, wanted: list[int] | None = None
     files = f"{folder}/files"
     chosen = None if wanted is None else np.array(sorted(wanted), np.int64)
 
+    @freeing
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

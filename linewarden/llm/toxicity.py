@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewarden.llm.words import Bytes, byte_chunks, words_of
+from linewarden.llm.words import Bytes, byte_chunks, freeing, give_back, words_of
 
 THRESHOLD = 0.7
 #: The lexicon and the weights are fitted on about this many labelled rows at most, chosen by a hash of the id.
@@ -163,6 +163,7 @@ def _counted(candidates) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """(word or beginning, toxic rows, clean rows) of a task; with candidates only of these, else of toxic rows."""
     schema = pa.schema([("key", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
+    @freeing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = None if candidates is None else np.sort(candidates.value)
         counts = None if keys is None else np.zeros((2, len(keys)), np.int64)
@@ -204,6 +205,7 @@ def _counted(candidates) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _masses(lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("toxic", pa.int32()), ("masses", pa.list_(pa.float64()))])
 
+    @freeing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, kinds = composed(*GRAMMAR)
         for batch in batches:
@@ -273,6 +275,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         step, kinds = composed(*GRAMMAR)
         rows = [lexicon.value.read(p, step, kinds) for p in byte_chunks(texts, CHUNK)]
         x = features(np.concatenate(rows)) if rows else np.zeros((0, KINDS))
+        give_back()
         return pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -40, 40))))
 
     kept = docs.drop("score", "predicted")

@@ -6,7 +6,9 @@ text with fewer words has one shingle, the whole sequence.  NULL and blank texts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +46,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][: n + 1], _powers["down"][: n + 1]
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.pythonapi, "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def freeing(made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task, which gives back at its end what it took.
+
+    Workers outlive their stages, so what they keep lies beside the memory of all stages that come after.
+    """
+
+    @wraps(made)
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from made(batches)
+        give_back()
+
+    return freed
+
+
 class Bytes(NamedTuple):
     """Rows first..last of a column: their bytes and the offsets of each row in them."""
 

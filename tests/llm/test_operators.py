@@ -2,8 +2,11 @@
 
 import hashlib
 import json
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import tracemalloc
 import zlib
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from linewarden.llm import decontaminate, mixture, nearjoin, quality, queries, repeats, templates, tokens, toolcalls, toxicity, urlrules
 from linewarden.session import work_folder
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -143,6 +147,40 @@ def test_decontaminate(spark):
 # -- tool calls ------------------------------------------------------------------------------------------------
 
 
+HELD = """
+import random, re
+import numpy as np
+import pyarrow as pa
+from linewarden.llm import decontaminate, nearjoin
+
+def memory():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+rng = random.Random(1)
+words = [rng.choice("abcdefgh") * rng.randint(1, 9) + str(k) for k in range(5000)]
+texts = pa.array([" ".join(rng.choices(words, k=400)) for _ in range(8000)])
+ids = pa.array(np.arange(len(texts)))
+bitmap = np.packbits(np.arange(decontaminate.BITMAP_BITS) % 1000 == 0, bitorder="little").tobytes()
+for batch, made in [
+    (pa.record_batch([ids, texts], ["row", "text"]), decontaminate._grams((1, 5), bitmap)),
+    (pa.record_batch([ids, texts], ["place", "text"]), nearjoin._sets(type("Sent", (), {"value": b"\\xff" * (nearjoin.SLOTS // 8)}))),
+]:
+    pa.default_memory_pool().release_unused()
+    before = memory()
+    rows = sum(b.num_rows for b in made(iter([batch])))
+    print(rows, memory() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads the process's memory from /proc")
+def test_tasks_give_back_what_they_took():
+    """Workers outlive their stages, so what a task keeps lies beside the memory of the next ones."""
+    got = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=ROOT)
+    for line in got.stdout.splitlines():
+        rows, held = map(int, line.split())
+        assert rows and held < 25, got.stdout
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [
