@@ -13,6 +13,7 @@ frames.  Other columns of the input are not stored.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -32,25 +33,30 @@ END_ID = 0
 FRAME_IDS, FRAME_LIMIT = 1 << 16, 1 << 22
 #: Bytes of texts that are encoded at a time; one longer text is encoded whole.
 STRIDE = 1 << 23
-#: New words that are encoded at a time.
-WORDS = 10_000
-#: Words whose ids a worker remembers, and bytes of them; beyond that the memory starts anew.
+#: New words that are encoded at a time, and those of one text of them.
+WORDS, GROUP = 10_000, 100
+#: Words whose ids a worker remembers, and bytes of them; beyond that it keeps those that it met again.
 REMEMBERED, REMEMBERED_BYTES = 700_000, 1 << 26
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
-#: Texts with other white space than single blanks and line feeds between words are encoded by themselves.
-ODD_SPACE = (
-    r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-    r"|[ \n][ \n]|^[ \n]|[ \n]$|<\|"
-)
+#: Texts with other white space than blanks and line feeds are encoded by themselves.
+ODD_SPACE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|<\|"
+#: So are those with more than one of these between words, unless the tokenizer cuts such runs as it does here.
+RUNS = r"[ \n][ \n]|^[ \n]|[ \n]$"
+RUNS_TEXT, RUNS_CUT = "\n\na.\n\n  b \n\n!c  ", ["Ċ", "Ċ", "a", ".", "ĊĊĠ", "Ġb", "ĠĊ", "Ċ", "!", "c", "ĠĠ"]
+MARKS = ".,;:!?"
+MARKED = f"[A-Za-z0-9][{MARKS}]$"
 
 
 class Encoder:
     """Encodes columns of texts by the distinct words in them.
 
     A byte-level vocabulary never merges across the start of a blank and a word, so the ids of a text are the
-    ids of its words with their leading blanks, and each distinct word is encoded once per worker.  Words are held
-    as Arrow text: workers live on when their stage is over, and as Python strings the words were most of their memory.
+    ids of its words with their leading blanks, and each distinct word is encoded once while a worker remembers it.
+    Nor does it merge a letter with a mark behind it, if its tokenizer says so: then a word and its last mark are
+    remembered apart.  And of a run of blanks and line feeds all but the last are a word, at the end of a text all.
+    Words are held as Arrow text: workers live on when their stage is over, and as Python strings the words were most
+    of their memory.
     """
 
     def __init__(self, path: str):
@@ -58,12 +64,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.break_ids = self.plain(["\n"])[0]
+        self.marks_apart = all(self.cut(f"{c}{m}") == [c, m] for c in "aZ9" for m in MARKS)
+        self.odd = ODD_SPACE if self.cut(RUNS_TEXT) == RUNS_CUT else f"{ODD_SPACE}|{RUNS}"
         self.fresh()
 
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text that the tokenizer encodes by themselves."""
+        cut = self.tokenizer.pre_tokenizer
+        return [text] if cut is None else [x for x, _ in cut.pre_tokenize_str(text)]
+
     def fresh(self) -> None:
-        self.known = pa.array([], pa.string())
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        """Remember the empty word and the line feed alone, in the places 0 and 1."""
+        self.known = pa.array(["", "\n"], pa.string())
+        self.ids = np.array(self.break_ids, np.uint32)
+        self.starts = np.array([0, 0, len(self.ids)], np.int64)
+        self.again = np.ones(2, bool)
+
+    def forget(self) -> None:
+        """Remember words that were met again after they were learned; none, if these are too many as well."""
+        kept = np.flatnonzero(self.again)
+        known = self.known.take(pa.array(kept))
+        if len(known) > REMEMBERED // 2 or known.nbytes > REMEMBERED_BYTES // 2:
+            self.fresh()
+            return
+        lists = self.lists().take(pa.array(kept))
+        self.known, self.ids, self.starts = known, np.array(lists.flatten()), np.array(lists.offsets)
+        self.again = np.arange(len(known)) < 2
+
+    def lists(self) -> pa.Array:
+        """The ids of each known word."""
+        return pa.LargeListArray.from_arrays(pa.array(self.starts), pa.array(self.ids))
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,8 +103,9 @@ class Encoder:
         [mark] = self.break_ids
         ids, starts = [self.ids], [self.starts]
         for k in range(0, len(words), WORDS):
-            part = words.slice(k, WORDS).to_pylist()
-            groups = ["\n".join(part[i : i + 500]) + "\n" for i in range(0, len(part), 500)]
+            part = pc.binary_join_element_wise(words.slice(k, WORDS), "", "\n")
+            bounds = np.append(np.arange(0, len(part), GROUP), len(part))
+            groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), part), "").to_pylist()
             got = np.concatenate([np.array(x, np.uint32) for x in self.plain(groups)])
             cut = np.flatnonzero(got == mark)
             if len(cut) != len(part):
@@ -83,43 +114,61 @@ class Encoder:
             starts.append(starts[-1][-1] + np.cumsum(np.diff(np.concatenate([[-1], cut])) - 1))
         self.known = pa.concat_arrays([self.known, words])
         self.ids, self.starts = np.concatenate(ids), np.concatenate(starts)
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The places of words among the known ones; new words are learned."""
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1)).astype(np.int64)
+        unknown = place < 0
+        self.again[place[~unknown]] = True
+        if unknown.any():
+            words = words.filter(pa.array(unknown))
+            new, before = words.unique(), len(self.known)
+            place[unknown] = before + np.asarray(pc.index_in(words, value_set=new))
+            self.learn(new)
+        return place
 
     def by_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and the offsets of each text, for texts with single blanks and line feeds only."""
+        """Ids of all texts and the offsets of each text, for texts without odd white space."""
         pieces = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         offsets = np.asarray(pieces.offsets)
         coded = pieces.flatten().dictionary_encode()
-        index = np.asarray(coded.indices).astype(np.int64)
+        index = np.array(coded.indices)
         words = coded.dictionary
         # A piece opens a text, follows a line feed, or follows a blank.
         opening = offsets[:-1][offsets[:-1] < offsets[1:]]
         initial, where = np.unique(index[opening], return_inverse=True)
         index[opening] = len(words) + where
+        # Pieces without a word: each run of them is encoded as it stands.
+        white = pc.is_in(words, value_set=pa.array(["", "\n"]))
+        at = np.flatnonzero(np.append(np.asarray(white), np.zeros(len(initial), bool))[index])
+        first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        signs = words.take(pa.array(index[at]))
+        signs = pc.if_else(pc.equal(signs, ""), " ", signs)
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), signs), "").dictionary_encode()
         broken = pc.starts_with(words, "\n")
         plain = pc.if_else(broken, pc.utf8_slice_codeunits(words, 1), pc.binary_join_element_wise(" ", words, ""))
-        plain = pa.concat_arrays([plain, words.take(pa.array(initial))])
-        broken = np.concatenate([np.asarray(broken), np.zeros(len(initial), bool)])
+        plain = pa.concat_arrays([pc.if_else(white, "", plain), words.take(pa.array(initial))])
+        index[at] = len(plain) + len(runs.dictionary)
+        index[at[first]] = len(plain) + np.asarray(runs.indices)
         if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
-            self.fresh()
-        place = np.asarray(pc.fill_null(pc.index_in(plain, value_set=self.known), -1)).astype(np.int64)
-        unknown = (place < 0) & (np.asarray(pc.binary_length(plain)) > 0)
-        if unknown.any():
-            plain = plain.filter(pa.array(unknown))
-            new, before = plain.unique(), len(self.known)
-            place[unknown] = before + np.asarray(pc.index_in(plain, value_set=new))
-            self.learn(new)
-        length = np.where(place >= 0, self.starts[place + 1] - self.starts[place], 0)
-        extra = broken.astype(np.int64)
-        n = (length + extra)[index]
-        ends = np.cumsum(n)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        begin = ends - n
-        out[begin[broken[index]]] = self.break_ids[0]
-        begin = begin + extra[index]
-        n = length[index]
-        source = np.repeat(self.starts[place][index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = self.ids[source]
-        return out, np.concatenate([[0], ends])[offsets]
+            self.forget()
+        # Each word as a line feed or nothing, the word without its last mark, and that mark or nothing.
+        marked = pc.match_substring_regex(plain, MARKED) if self.marks_apart else pa.repeat(False, len(plain))
+        ends = plain.filter(marked)
+        stems = pc.replace_with_mask(plain, marked, pc.utf8_slice_codeunits(ends, 0, -1))
+        place = self.places(pa.concat_arrays([stems, pc.utf8_slice_codeunits(ends, -1)]))
+        parts = np.zeros((len(plain) + len(runs.dictionary) + 1, 3), np.int64)
+        parts[: len(words), 0] = np.asarray(broken)
+        parts[: len(plain), 1] = place[: len(plain)]
+        parts[np.flatnonzero(marked), 2] = place[len(plain) :]
+        lists = self.lists()
+        if len(runs.dictionary):
+            parts[len(plain) : -1, 1] = len(lists) + np.arange(len(runs.dictionary))
+            lists = pa.concat_arrays([lists, pa.array(self.plain(runs.dictionary.to_pylist()), lists.type)])
+        ids = lists.take(pa.array(parts.ravel()))
+        ids = pa.LargeListArray.from_arrays(pa.array(np.asarray(ids.offsets)[::3]), ids.flatten()).take(pa.array(index))
+        return np.asarray(ids.flatten()), np.asarray(ids.offsets)[offsets]
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text in order."""
@@ -134,7 +183,7 @@ class Encoder:
         pa.default_memory_pool().release_unused()
 
     def _encoded(self, column: pa.Array) -> list[np.ndarray]:
-        odd = np.asarray(pc.match_substring_regex(column, ODD_SPACE))
+        odd = np.asarray(pc.match_substring_regex(column, self.odd))
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(column)
         usual = np.flatnonzero(~odd)
         if len(usual):
@@ -151,6 +200,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """The encoder of this worker, on one thread: the cores beside it belong to other tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)

@@ -398,6 +398,81 @@ def test_encoder_forgets_long_words(monkeypatch):
     assert code.known.nbytes < 4000
 
 
+def test_encoder_keeps_words_that_come_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 400)
+    monkeypatch.setattr(tokens, "STRIDE", 1)
+    code = tokens.Encoder(queries.tokenizer_path())
+    learned, learn = Counter(), code.learn
+    monkeypatch.setattr(code, "learn", lambda words: [learned.update(words.to_pylist()), learn(words)])
+    common = [f"common{i}" for i in range(100)]
+    texts = [" ".join(["on", *common, *(f"rare{k}x{i}" for i in range(100))]) for k in range(20)]
+    assert [x.tolist() for x in code.encode(pa.array(texts))] == code.plain(texts)
+    assert {learned[f" {w}"] for w in common} == {1}
+    assert len(code.known) < 800
+
+
+def test_encoder_learns_words_without_their_last_mark(monkeypatch, tmp_path):
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    texts = [
+        "so word word, word. word; word: word! word?\nword,\nword",
+        "it's, don't. U.S., 3.14, 1,000. a!? b?! ... , . (x), 'q', _a. a_, x9: é, ß. e\u0301. 中文。 \u0661. \u00bd, a\u200b,",
+        ",", "a,", ".\n,\n!", "", None,
+    ]
+    code = tokens.Encoder(queries.tokenizer_path())
+    learned, learn = Counter(), code.learn
+    monkeypatch.setattr(code, "learn", lambda words: [learned.update(words.to_pylist()), learn(words)])
+    for _ in range(2):
+        assert [x.tolist() for x in code.encode(pa.array(texts))] == code.plain([t or "" for t in texts])
+    assert [w for w in learned if "word" in w] == [" word", "word"] and set(learned.values()) == {1}
+    # a vocabulary that has marks together with letters
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    joined = Tokenizer(models.BPE({w: i for i, w in enumerate([*letters, "d,", "rd,"])}, [("d", ","), ("r", "d,")]))
+    joined.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(Regex(" ?[^ \\n]+|\\n"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    joined.save(str(tmp_path / "joined.json"))
+    code = tokens.Encoder(str(tmp_path / "joined.json"))
+    assert len(code.plain(["word,"])[0]) == 3
+    assert [x.tolist() for x in code.encode(pa.array(texts))] == code.plain([t or "" for t in texts])
+
+
+def test_encoder_learns_words_between_runs_of_white_space(monkeypatch, tmp_path):
+    rng = random.Random(3)
+    texts = ["", " ", "\n", "  ", " \n", "\n ", "\n\n", " a", "\na", "a ", "a\n", "  a", "\n\na\n\n", "a \n b\n  c", None]
+    texts += ["".join(rng.choice([" ", " ", "\n", "  ", "\n\n", "\n    ", "\ta", "ab", "ab", "it's", "x.", "é"]) for _ in range(30)) for _ in range(300)]
+    texts += ["\n\n".join("    word other" for _ in range(50)), "x" + " " * 5000 + "\n" * 3000]
+    code = tokens.Encoder(queries.tokenizer_path())
+    wanted = code.plain([t or "" for t in texts])
+    alone, plain = [], code.plain
+    monkeypatch.setattr(code, "plain", lambda texts: [alone.extend(texts), plain(texts)][1])
+    assert [x.tolist() for x in code.encode(pa.array(texts))] == wanted
+    assert any("\t" in x for x in alone) and not any("word" in x for x in alone if "    " in x)
+    # a tokenizer that keeps line feeds apart from blanks
+    from tokenizers import Regex, pre_tokenizers
+
+    code.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(Regex(" ?[^ \\n]+|\\n+| +"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    code.tokenizer.save(str(tmp_path / "other.json"))
+    code = tokens.Encoder(str(tmp_path / "other.json"))
+    assert [x.tolist() for x in code.encode(pa.array(texts))] == code.plain([t or "" for t in texts])
+
+
+def test_tasks_encode_on_one_thread():
+    run = """
+import os
+from linewarden.llm import queries, tokens
+before = len(os.listdir("/proc/self/task"))
+tokens.encoder(queries.tokenizer_path()).plain([f"text {k} of many" for k in range(1000)])
+print(before, len(os.listdir("/proc/self/task")))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    done = subprocess.run([sys.executable, "-c", run], cwd=ROOT, env=env, capture_output=True, text=True, check=True, timeout=100)
+    before, after = done.stdout.split()
+    assert before == after
+
+
 def test_token_files(spark):
     path = queries.tokenizer_path()
     rows = [*corpus(7), (3, "again id 3"), (None, "no id"), (900, "a  b\n\n c\td"), (901, " x "), (902, "<|endoftext|> it's 'tis")]
